@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES: list[str] = ["similar", "topn", "split", "peaks"]
+_MODULES: list[str] = ["similar", "topn", "split", "peaks", "pack", "mix"]
 
 
 def _collect(what: str) -> dict:
