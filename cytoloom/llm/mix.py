@@ -60,7 +60,26 @@ def flight(prob: np.ndarray, size: np.ndarray, seed: int, land: bool = False) ->
         best = min(corners, key=lambda c: (abs(sum(s * x[a] for s, a in zip(c, inside)) - want_x), abs(sum(c) - want_n)))
         for a, s in zip(inside, best):
             p[a] = float(s)
-    return np.array(p)
+    out = np.array(p)
+    return _swap(out, prob, size.astype(float)) if land else out
+
+
+def _swap(p: np.ndarray, prob: np.ndarray, x: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """What rounding the last records cost in tokens, mended by swapping a chosen record for one that wasn't."""
+    free = (prob > 0) & (prob < 1)
+    for _ in range(rounds):
+        off = float((p * x).sum() - (prob * x).sum())
+        chosen, others = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
+        if not len(chosen) or not len(others):
+            break
+        others = others[np.argsort(x[others], kind="stable")]
+        at = np.clip(np.searchsorted(x[others], x[chosen] - off), 1, max(1, len(others) - 1))
+        pairs = [(abs(off - (x[c] - x[o])), c, o) for c, k in zip(chosen, at) for o in (others[k - 1], others[min(k, len(others) - 1)])]
+        rest, c, o = min(pairs)
+        if rest >= abs(off):
+            break
+        p[c], p[o] = 0.0, 1.0
+    return p
 
 
 @dataclass(frozen=True)
