@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES: list[str] = ["similar", "topn", "split", "peaks", "pack", "mix"]
+_MODULES: list[str] = ["similar", "topn", "split", "peaks", "pack", "mix", "truncated"]
 
 
 def _collect(what: str) -> dict:
