@@ -16,29 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cytoloom.operators.graph import components
 from cytoloom.operators.spatial import voronoi_blocks, vp_pairs
 from cytoloom.runtime import column, cut, latest, map_groups
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that links lead to. ``edges`` has a and b, in any direction; nodes without
-    edges keep themselves. Labels spread both ways along the edges and then jump to their own label's label, so
-    the rounds grow with the logarithm of the longest chain, about; each round is written to the shared folder."""
-    e = cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    while label.limit(1).count():
-        near = e.join(label, e.b == label.node).groupBy("a").agg(F.min("label").alias("m"))
-        step = label.join(near, label.node == near.a, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
-        up = label.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        step = step.join(up, step.label == up.n2, "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"), "was")
-        step = cut(step)
-        changed = step.where("label <> was").limit(1).count()
-        label = step.select("node", "label")
-        if not changed:
-            break
-    return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-
 def _resolve(pointer: np.ndarray) -> np.ndarray:
     while True:
         onward = pointer[pointer]
