@@ -444,3 +444,39 @@ def spline_points(points: DataFrame, splines: DataFrame, by: Sequence[str], id_c
 
     p = points.select(*by, id_col, "x", "y")
     return map_chunks(p, splines, by, id_col, move, _key_columns(p, by) + f"{id_col} {dict(p.dtypes)[id_col]}, {out[0]} double, {out[1]} double")
+
+
+# -- refinement that keeps neighbour distances -------------------------------------------------------------------
+
+
+def refine_with_neighbours(matches: DataFrame, models: DataFrame, by: Sequence[str], id_col: str, k: int = 5, scale: bool = False, landmark_weight: float = 10.0, neighbour_weight: float = 1.0, max_deg: float = 10.0, max_shift: float = 30.0, max_scale: float = 0.05, accept_worse: float = 1.05) -> DataFrame:
+    """(by, a..ty, accepted): each group's similarity moved a little, so that both the landmarks and the distances among
+    them agree best.
+
+    The loss is landmark_weight x mean squared landmark error + neighbour_weight x mean squared difference of the k nearest
+    distances on both sides. Neighbour distances change with the scale only, so the least loss has a closed form in grouped
+    sums. Angle, scale and shift stay within their limits around the start, and a result whose mean or median squared error
+    is over ``accept_worse`` times the start's is dropped for it, as are groups of fewer than three matches."""
+    m = cut(residuals(matches, models, by, "_r0"))
+    near = lambda x, y: knn(m.select(*by, F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")), None, by, ["x", "y"], "id", k).select("id", "ordinal", "distance")
+    d = near("x1", "y1").withColumnRenamed("distance", "d1").join(near("x2", "y2").withColumnRenamed("distance", "d2"), ["id", "ordinal"])
+    d = d.join(m.select(F.col(id_col).alias("id"), *by), "id").groupBy(*by).agg(F.avg(F.col("d1") * F.col("d2")).alias("_B"), F.avg(F.col("d2") * F.col("d2")).alias("_C"))
+    s = _sums(m, by, None)
+    c = lambda p, q: F.col(f"s_{p}{q}") - F.col(f"s_{p}") * F.col(f"s_{q}") / F.col("n")
+    g = on(by, on(by, s, d, "left"), models.select(*by, *[F.col(x).alias(f"_o_{x}") for x in MODEL]))
+    re, im, v2 = (c("x", "u") + c("y", "v")) / F.col("n"), (c("x", "v") - c("y", "u")) / F.col("n"), (c("x", "x") + c("y", "y")) / F.col("n")
+    g = g.withColumns({"_s0": F.sqrt(F.abs(F.col("_o_a") * F.col("_o_d") - F.col("_o_b") * F.col("_o_c"))), "_t0": F.atan2("_o_c", "_o_a"), "_t": F.atan2(im, re)})
+    best = (landmark_weight * F.sqrt(re * re + im * im) + neighbour_weight * F.coalesce("_B", F.lit(0.0))) / F.nullif(landmark_weight * v2 + neighbour_weight * F.coalesce("_C", F.lit(0.0)), F.lit(0.0))
+    turn = F.pmod(F.col("_t") - F.col("_t0") + math.pi, F.lit(2 * math.pi)) - math.pi
+    lim = math.radians(max_deg)
+    g = g.withColumns({"_s": clip(F.coalesce(best, "_s0"), F.col("_s0") * (1 - max_scale), F.col("_s0") * (1 + max_scale)) if scale else F.col("_s0"), "_t": F.col("_t0") + clip(turn, -lim, lim)})
+    g = g.withColumns({"a": F.col("_s") * F.cos("_t"), "c": F.col("_s") * F.sin("_t")})
+    tx = (F.col("s_u") - F.col("a") * F.col("s_x") + F.col("c") * F.col("s_y")) / F.col("n")
+    ty = (F.col("s_v") - F.col("c") * F.col("s_x") - F.col("a") * F.col("s_y")) / F.col("n")
+    g = g.select(*by, "n", "a", (-F.col("c")).alias("b"), clip(tx, F.col("_o_tx") - max_shift, F.col("_o_tx") + max_shift).alias("tx"), "c", F.col("a").alias("d"), clip(ty, F.col("_o_ty") - max_shift, F.col("_o_ty") + max_shift).alias("ty"))
+    g = cut(g)
+    r = residuals(m, g, by, "_r1")
+    st = r.groupBy(*by).agg(*[f(F.pow(f"_r{i}", 2)).alias(f"{n}{i}") for i in (0, 1) for n, f in (("mean", F.avg), ("med", F.median))])
+    ok = (F.col("n") >= 3) & (F.col("mean1") <= accept_worse * F.col("mean0")) & (F.col("med1") <= accept_worse * F.col("med0"))
+    j = on(by, on(by, g, st, "left"), models.select(*by, *[F.col(x).alias(f"_o_{x}") for x in MODEL])).withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    return j.select(*by, *[F.when(F.col("accepted"), F.col(x)).otherwise(F.col(f"_o_{x}")).alias(x) for x in MODEL], "accepted")
