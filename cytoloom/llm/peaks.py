@@ -162,6 +162,6 @@ n AS (SELECT label, count(*) AS cells FROM m GROUP BY label HAVING count(*) >= 1
 SQL = {
     "p6_found": f"{_P6} SELECT label AS cluster_key, node AS cell_key FROM m JOIN n USING (label)",
     "p6_described": f"""{_P6}, d AS (SELECT a AS node, count(*) AS density FROM e GROUP BY a)
-SELECT label AS cluster_key, cells, place, node AS typical_key, density FROM (
+SELECT label AS cluster_key, cells, CAST(place AS INTEGER) AS place, node AS typical_key, density FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY density DESC, node) AS place FROM m JOIN n USING (label) JOIN d USING (node)) WHERE place <= 3""",
 }
