@@ -23,11 +23,11 @@ def _in_frame(df: DataFrame) -> DataFrame:
 def output_grid(source: DataFrame, models: DataFrame, sizes: DataFrame, by: Sequence[str], margin: int = 1, tile: int = 64) -> DataFrame:
     """(by, y, x, sx, sy): the output pixels that some source pixel may reach, with their place in the source. Source
     pixels are moved forward tile by tile, so only tiles of the output that get anything are listed."""
-    t = source.select(*by, F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).distinct()
+    t = source.select(*by, F.floor(F.col("x") / tile).alias("_cx"), F.floor(F.col("y") / tile).alias("_cy")).distinct()
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
-    c = on(by, t, models.select(*by, *MODEL)).select(*by, "tx", "ty", *MODEL, corner)
-    px, py = apply_xy((F.col("tx") + F.col("k.a")) * tile, (F.col("ty") + F.col("k.b")) * tile)
-    box = c.groupBy(*by, "tx", "ty").agg(F.floor(F.min(px) - margin).alias("x0"), F.ceil(F.max(px) + margin).alias("x1"), F.floor(F.min(py) - margin).alias("y0"), F.ceil(F.max(py) + margin).alias("y1"))
+    c = on(by, t, models.select(*by, *MODEL)).select(*by, "_cx", "_cy", *MODEL, corner)
+    px, py = apply_xy((F.col("_cx") + F.col("k.a")) * tile, (F.col("_cy") + F.col("k.b")) * tile)
+    box = c.groupBy(*by, "_cx", "_cy").agg(F.floor(F.min(px) - margin).alias("x0"), F.ceil(F.max(px) + margin).alias("x1"), F.floor(F.min(py) - margin).alias("y0"), F.ceil(F.max(py) + margin).alias("y1"))
     box = on(by, box, sizes.select(*by, "width", "height"))
     clip = lambda c, e: F.least(F.greatest(F.col(c), F.lit(0)), F.col(e) - 1)
     span = lambda a, b, e: F.explode(F.sequence(F.floor(clip(a, e) / tile), F.floor(clip(b, e) / tile)))

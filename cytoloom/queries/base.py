@@ -46,7 +46,8 @@ def mask(spark: SparkSession, sf: str) -> DataFrame:
     x0, y0 = F.pmod(k, F.lit(25)) * 40 + 5, F.floor(k / 25) * 40 + 5
     p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 500).cast("int").alias("image"), (k + 1).cast("int").alias("label"), x0.alias("x0"), y0.alias("y0"), w.alias("w"), h.alias("h"))
     p = p.select("image", "label", "x0", "w", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)).alias("y"))
-    return p.select("image", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1)).cast("int").alias("x"), "label")
+    p = p.select("image", F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1)).alias("x"), "label")
+    return p.withColumn("x", F.col("x").cast("int"))
 
 
 def r(c: str, n: int = 6):
@@ -67,4 +68,4 @@ linked AS (SELECT k.slide_id, k.match_id, f.cell_key AS id1, m.cell_key AS id2,
   WHERE k.rn = 1 AND k.distance >= 0 AND isfinite(k.distance))"""
 MASK = """parts AS (SELECT CAST(p_partkey // 500 AS INTEGER) AS image, CAST(p_partkey % 500 + 1 AS INTEGER) AS label, CAST((p_partkey % 500) % 25 * 40 + 5 AS INTEGER) AS x0,
     CAST((p_partkey % 500) // 25 * 40 + 5 AS INTEGER) AS y0, CAST(4 + p_size % 12 AS INTEGER) AS w, CAST(4 + p_partkey % 9 AS INTEGER) AS h FROM part),
-mask AS (SELECT image, label, y, unnest(range(x0, x0 + w)) AS x FROM (SELECT *, unnest(range(y0, y0 + h)) AS y FROM parts))"""
+mask AS (SELECT image, label, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT image, label, y, unnest(range(x0, x0 + w)) AS x FROM (SELECT *, unnest(range(y0, y0 + h)) AS y FROM parts)))"""

@@ -93,7 +93,7 @@ def discs(spark: SparkSession, sf: str) -> DataFrame:
 
 def warped_mask(spark: SparkSession, sf: str) -> DataFrame:
     w = raster.affine_warp(mask(spark, sf).withColumnRenamed("label", "value"), _shifted_model(spark, sf), _frames(spark, sf), IMG)
-    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").cast("int").alias("x0"), F.min("y").cast("int").alias("y0"))
 
 
 def warped_smoothly(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +108,7 @@ def field_warped(spark: SparkSession, sf: str) -> DataFrame:
     n = F.explode(F.sequence(F.lit(0), F.lit(8)))
     f = _frames(spark, sf).select("image", n.alias("gy")).select("image", "gy", n.alias("gx")).withColumns({"sx": F.col("gx") * 125.0 - 12, "sy": F.col("gy") * 125.0 + 7})
     w = raster.field_warp(mask(spark, sf).withColumnRenamed("label", "value"), f, _frames(spark, sf), IMG, 125)
-    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").cast("int").alias("x0"), F.min("y").cast("int").alias("y0"))
 
 
 def valid_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +138,7 @@ def mass_centres(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def downsampled(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.downsample(mask(spark, sf), 4).groupBy("image", "label").agg(F.count("*").alias("pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return raster.downsample(mask(spark, sf), 4).groupBy("image", "label").agg(F.count("*").alias("pixels"), F.min("x").cast("int").alias("x0"), F.min("y").cast("int").alias("y0"))
 
 
 def projected(spark: SparkSession, sf: str) -> DataFrame:
