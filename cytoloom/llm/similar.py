@@ -77,7 +77,7 @@ class Quantiser:
         self.cutoff = (d + 1) // 2
         # the weight of parallel error over orthogonal error for inner products beyond the threshold
         self.eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
-        self.books = [_centres(p, CODES, seed + i) for i, p in enumerate(self._parts(r))]
+        self.books = [b[np.minimum(np.arange(CODES), len(b) - 1)] for b in (_centres(p, CODES, seed + i) for i, p in enumerate(self._parts(r)))]
         for _ in range(rounds):
             codes = self.encode(r)
             for m in range(len(self.books)):
