@@ -182,7 +182,7 @@ def _scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, centr
     return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
 
 
-def similar_vectors(df: DataFrame, id_col: str, vector: Sequence[Column], k: int, query: Column | None = None, max_distance: float | None = None, probes: int = 4, rerank: int = 48, leaf: int = 256, sample: int = 65_536, max_leaves: int = 4096) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vector: Sequence[Column], k: int, query: Column | None = None, max_distance: float | None = None, probes: int = 4, rerank: int = 48, leaf: int = 256, sample: int = 32_768, max_leaves: int = 4096) -> DataFrame:
     """(id, neighbour, distance): the ``k`` nearest other vectors of each one, by Euclidean distance, smaller id
     first among equals. ``query`` picks the rows that ask; every row is searched. ``max_distance`` leaves out
     farther neighbours.
