@@ -120,7 +120,7 @@ def contour_length(contour: Column | str) -> Column:
 
 
 def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
 
 
 def axes_of(sxx: Column, syy: Column, sxy: Column) -> tuple[Column, Column, Column]:

@@ -21,9 +21,9 @@ def parallel_displacements(matches: DataFrame, reference: DataFrame, by: Sequenc
     group whose reference is shorter than 1 has no direction: it keeps nothing, or with ``pass_short`` all."""
     j = on(by, matches, reference.select(*by, F.col("dx0").alias("_dx0"), F.col("dy0").alias("_dy0")))
     n, r = norm("dx", "dy"), norm("_dx0", "_dy0")
-    cos = (F.col("dx") * F.col("_dx0") + F.col("dy") * F.col("_dy0")) / (n * r)
+    cos = (F.col("dx") * F.col("_dx0") + F.col("dy") * F.col("_dy0")) / F.nullif(n * r, F.lit(0.0))
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
-    return j.where(F.when(r < 1, F.lit(pass_short)).otherwise((n >= 1) & (angle <= max_deg))).select(*matches.columns)
+    return j.where(F.when(r < 1, F.lit(pass_short)).otherwise((n >= 1) & F.coalesce(angle <= max_deg, F.lit(False)))).select(*matches.columns)
 
 
 def short_lines(matches: DataFrame, by: Sequence[str]) -> DataFrame:

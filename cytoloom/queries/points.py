@@ -27,7 +27,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """mpp_x, downsample and origin_x of each record in one unit each."""
     q = read_metadata_quantities(table(spark, sf, "wsi_metadata"), table(spark, sf, "scanner_sources"))
     scale = F.when(F.col("field_name") == "mpp_x", 10_000.0).otherwise(1.0)
-    return q.select("record_id", "field_name", F.round(F.col("value") * scale).cast("long").alias("amount"))
+    return q.select("record_id", "field_name", F.round(F.col("value") * scale).try_cast("long").alias("amount")).where("amount is not null")
 
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found}

@@ -68,8 +68,8 @@ def normalise_metadata(meta: DataFrame) -> DataFrame:
         "origin_x": F.coalesce(number(field["origin_x"]), F.lit(0.0)),
         "origin_y": F.coalesce(number(field["origin_y"]), F.lit(0.0)),
         "downsample": F.coalesce(number(field["downsample"]), F.when(level.isNull() | (level == 0), 1.0).otherwise(F.coalesce(scale, F.lit(1.0)))),
-        "image_width": number(field["image_width"]).cast("int"),
-        "image_height": number(field["image_height"]).cast("int"),
+        "image_width": number(field["image_width"]).try_cast("int"),
+        "image_height": number(field["image_height"]).try_cast("int"),
         "mpp_x": number(field["mpp_x"]),
         "mpp_y": number(field["mpp_y"]),
         "mpp_reliable": S.truthy(field["mpp_reliable"].cast("string")) if "mpp_reliable" in have else mpp_known,
@@ -112,7 +112,7 @@ def normalise_features(table: DataFrame, width: Column | float, height: Column |
     if "area" not in table.columns:
         table = table.withColumn("area", F.lit(1.0))
     num = lambda c: S.clean(F.col(c).cast("string").try_cast("double"))
-    t = table.withColumns({"cell_id": num("cell_id").cast("long"), **{c: num(c) for c in ("centroid_x", "centroid_y", "area")}})
+    t = table.withColumns({"cell_id": num("cell_id").try_cast("long"), **{c: num(c) for c in ("centroid_x", "centroid_y", "area")}})
     t = t.where("centroid_x is not null and centroid_y is not null and area is not null").withColumn("area", F.greatest("area", F.lit(1.0)))
     if min_area > 0:
         t = t.where(F.col("area") >= min_area)
@@ -136,11 +136,11 @@ def contour_features(docs: DataFrame, text: str, by: Sequence[str]) -> DataFrame
     Cell ids count from 1 through the list, cells without a centroid of two numbers included, which give no row. Shapes come
     from the contour's polygon and its points' spread; without a contour the area is the box's, and at least 1."""
     cells = F.coalesce(F.from_json(F.col(text), f"struct<cells:array<{CELL}>>").cells, F.from_json(F.col(text), f"array<{CELL}>"))
-    c = docs.select(*by, F.posexplode(cells).alias("pos", "cell")).where("size(cell.centroid) >= 2 and cell.centroid[0] is not null and cell.centroid[1] is not null")
-    pts = F.transform(F.filter(F.coalesce(F.col("cell.contour"), F.array().cast("array<array<double>>")), lambda p: F.size(p) >= 2), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    c = docs.select(*by, F.posexplode(cells).alias("pos", "cell")).where("size(cell.centroid) >= 2 and get(cell.centroid, 0) is not null and get(cell.centroid, 1) is not null")
+    pts = F.transform(F.filter(F.coalesce(F.col("cell.contour"), F.array().cast("array<array<double>>")), lambda p: F.size(p) >= 2), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
     box = F.col("cell.bbox")
-    box_area = F.when(F.size(box) >= 2, F.abs((F.get(F.get(box, 1), 0) - F.get(F.get(box, 0), 0)) * (F.get(F.get(box, 1), 1) - F.get(F.get(box, 0), 1))))
-    c = c.select(*by, (F.col("pos") + 1).alias("cell_id"), F.col("cell.centroid")[0].alias("centroid_x"), F.col("cell.centroid")[1].alias("centroid_y"), pts.alias("contour"), box_area.alias("_box"))
+    box_area = F.when(F.size(box) >= 2, F.abs((F.get(F.get(box, F.lit(1)), F.lit(0)) - F.get(F.get(box, F.lit(0)), F.lit(0))) * (F.get(F.get(box, F.lit(1)), F.lit(1)) - F.get(F.get(box, F.lit(0)), F.lit(1)))))
+    c = c.select(*by, (F.col("pos") + 1).alias("cell_id"), F.get("cell.centroid", F.lit(0)).alias("centroid_x"), F.get("cell.centroid", F.lit(1)).alias("centroid_y"), pts.alias("contour"), box_area.alias("_box"))
     has = F.size("contour") >= 3
     area = F.when(has, S.shoelace_area("contour"))
     xs, ys = F.transform("contour", lambda p: p.x), F.transform("contour", lambda p: p.y)
