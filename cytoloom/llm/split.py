@@ -87,7 +87,8 @@ def split_tiles(tiles: DataFrame, longest: int = 1024, shortest: int = 128, over
     """
     cols = ["y0", "y1", "x0", "x1", "core_y0", "core_y1", "core_x0", "core_x1", "row_gaps", "col_gaps"]
     t = latest(tiles, ["tile_id"], ["ingested_at"], cols)
-    t = t.where("core_y1 > core_y0 and core_x1 > core_x0").where((F.col("core_y1") - F.col("core_y0") > longest) | (F.col("core_x1") - F.col("core_x0") > longest))
+    wide = lambda a, b: F.col(b).cast("long") - F.col(a) > longest
+    t = t.where("core_y1 > core_y0 and core_x1 > core_x0").where(wide("core_y0", "core_y1") | wide("core_x0", "core_x1"))
     t = t.withColumns({"rows": cut_pieces(F.col("core_y0"), F.col("core_y1"), F.col("row_gaps"), longest, shortest, balance), "columns": cut_pieces(F.col("core_x0"), F.col("core_x1"), F.col("col_gaps"), longest, shortest, balance)})
     t = t.select("tile_id", "y0", "y1", "x0", "x1", F.explode("rows").alias("r"), "columns").select("*", F.explode("columns").alias("c"))
     return t.select("tile_id", F.col("r.a").alias("core_y0"), F.col("r.b").alias("core_y1"), F.col("c.a").alias("core_x0"), F.col("c.b").alias("core_x1"), F.greatest(F.col("r.a") - overlap, "y0").alias("y0"), F.least(F.col("r.b") + overlap, "y1").alias("y1"), F.greatest(F.col("c.a") - overlap, "x0").alias("x0"), F.least(F.col("c.b") + overlap, "x1").alias("x1"))
