@@ -169,25 +169,61 @@ def relabel_components(pixels: DataFrame, by: Sequence[str], connectivity: int =
     """(by, y, x, label): connected foreground as labels 1..N in raster order of their first pixel. Connectivity 1 joins
     sides, 2 corners too; with ``same_label`` only pixels of one label join.
 
-    Rows of pixels become runs first, so components are searched over runs, not pixels."""
+    Each tile of pixels is searched by itself, as runs of its rows; only the runs at tile borders meet in a join, and only
+    components that touch a border take part in the global search."""
     lab = ["label"] if same_label else []
-    p = pixels.where("label > 0").select(*by, "y", "x", *lab)
-    w = W.partitionBy(*by, "y", *lab).orderBy("x")
-    runs = p.withColumn("_g", F.col("x") - F.row_number().over(w)).groupBy(*by, "y", *lab, "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = cut(runs.withColumn("node", F.xxhash64(*by, "y", "x0")).drop("_g"))
+    size = 512
+    p = pixels.where("label > 0").select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label") if same_label else F.lit(1).cast("long").alias("label"))
+    p = p.withColumns({"_ty": F.floor(F.col("y") / size), "_tx": F.floor(F.col("x") / size)})
     reach = connectivity - 1
-    # two runs of neighbouring rows meet in the buckets their columns share; each is listed in every bucket it spans
-    bucket = 64
-    span = lambda d: F.explode(F.sequence(F.floor((F.col("x0") - d) / bucket), F.floor((F.col("x1") + d) / bucket))).alias("_b")
-    up = runs.select(*by, (F.col("y") + 1).alias("y"), *lab, F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("a"), span(reach))
-    here = runs.select(*by, "y", *lab, "x0", "x1", F.col("node").alias("b"), span(reach))
-    edges = here.join(up, [*by, "y", *lab, "_b"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)).select("a", "b").distinct()
-    lbl = components(runs.select("node"), edges)
+
+    def local(t: pa.Table) -> pa.Table:
+        y, x, v = (column(t, c) for c in ("y", "x", "label"))
+        o = np.lexsort((x, y))
+        y, x, v = y[o], x[o], v[o]
+        first = np.r_[True, (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1) | (v[1:] != v[:-1])]
+        last = np.r_[first[1:], True]
+        ry, r0, r1, rv = y[first], x[first], x[last], v[first]
+        root = list(range(len(ry)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        rows = np.searchsorted(ry, np.arange(ry.min(), ry.max() + 2))
+        for a, b, c in zip(rows[:-2], rows[1:-1], rows[2:]):
+            i, j = int(a), int(b)
+            while i < b and j < c:  # both rows' runs from left to right
+                if r0[i] <= r1[j] + reach and r0[j] <= r1[i] + reach and rv[i] == rv[j]:
+                    p, q = top(i), top(j)
+                    root[max(p, q)] = min(p, q)
+                if r1[i] < r1[j]:
+                    i += 1
+                else:
+                    j += 1
+        lead = np.array([top(i) for i in range(len(root))], dtype=np.int64)
+        n = len(ry)
+        return pa.table({**{g: t.column(g).take(np.zeros(n, np.int64)) for g in by}, "y": ry, "x0": r0, "x1": r1, "label": rv, "ly": ry[lead], "lx": r0[lead]})
+
+    runs = map_groups(p, [*by, "_ty", "_tx"], local, _key_columns(p, by) + "y long, x0 long, x1 long, label long, ly long, lx long")
+    runs = cut(runs.withColumn("node", F.xxhash64(*by, "ly", "lx")))
+    # at the borders: the row below another tile's last, and the column right of its last
+    down = runs.where(F.pmod("y", F.lit(size)) == size - 1).select(*by, (F.col("y") + 1).alias("y"), *lab, F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("a"))
+    under = runs.where(F.pmod("y", F.lit(size)) == 0).select(*by, "y", *lab, "x0", "x1", F.col("node").alias("b"))
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - reach) / 64), F.floor((F.col(b) + reach) / 64))).alias("_b")
+    edges = under.select("*", span("x0", "x1")).join(down.select("*", span("u0", "u1")), [*by, "y", *lab, "_b"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach)).select("a", "b")
+    step = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_s")
+    right = runs.where(F.pmod("x1", F.lit(size)) == size - 1).select(*by, (F.col("x1") + 1).alias("x0"), *lab, F.col("node").alias("a"), "y", step).withColumn("y", F.col("y") + F.col("_s"))
+    edges = edges.unionByName(runs.where(F.pmod("x0", F.lit(size)) == 0).select(*by, "x0", "y", *lab, F.col("node").alias("b")).join(right, [*by, "x0", "y", *lab]).select("a", "b")).distinct()
+    lbl = components(runs.select("node").distinct(), edges)
     runs = cut(runs.join(lbl.withColumnRenamed("label", "part"), "node"))
     first = runs.groupBy(*by, "part").agg(F.min(_raster_id(F.col("y"), F.col("x0"))).alias("_f"))
     # 1..N per group, by a rank over components, not pixels
     num = first.withColumn("new", F.row_number().over(W.partitionBy(*by).orderBy("_f"))).select(*by, "part", "new")
-    return runs.join(num, [*by, "part"]).select(*by, "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("new").alias("label"))
+    out = runs.join(num, [*by, "part"]).select(*by, F.col("y").cast("int").alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"), F.col("new").alias("label"))
+    return out.withColumn("x", F.col("x").cast("int"))
 
 
 def is_binary(pixels: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators import masks, models, raster
+from cytoloom.operators import masks, models, raster, segment
 from cytoloom.operators.models import MODEL
 from cytoloom.queries.base import BY, CELLS, MASK, cells, mask, r, sides, table
 from cytoloom.runtime import cut
 from cytoloom.sources import sinks, tables
+from cytoloom.sources import tiles as dense
 
 IMG = ["image"]
 
@@ -208,7 +209,15 @@ def contour_cells(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("image", "cell_id", r("centroid_x"), r("centroid_y"), r("area"), r("perimeter"))
 
 
-QUERIES = {f.__name__: f for f in (mask_moments, mask_perimeters, mask_solidity, mask_features, mask_translation, relabelled, binary_masks, tile_plan, stitched, blank_tiles, polygons, discs, warped_mask, warped_smoothly, field_warped, valid_overlap, merged_masks, fused_images, dice_overlap, mass_centres, downsampled, projected, max_projection, cell_density, blurred_density, density_preview, stretched_density, coarse_rotations, tissue_similarity, mask_tiles, contour_cells)}
+def segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The rectangles as images in dense tiles, segmented tile by tile, and stitched: their boxes."""
+    t = dense.dense_tiles(mask(spark, sf), IMG, "label", 250).withColumn("tile", (F.col("y0") / 250 * 4 + F.col("x0") / 250).cast("long"))
+    p = segment.segment_tiles(t, segment.threshold_segmenter(), IMG).withColumns({"tile": F.col("tile").cast("int"), "in_core": F.lit(True)})
+    s = masks.stitch_tiles(p, IMG, union=False)
+    return s.groupBy("image", "label").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0")).select("image", "area", "x0", "y0")
+
+
+QUERIES = {f.__name__: f for f in (mask_moments, mask_perimeters, mask_solidity, mask_features, mask_translation, relabelled, binary_masks, tile_plan, stitched, segmented, blank_tiles, polygons, discs, warped_mask, warped_smoothly, field_warped, valid_overlap, merged_masks, fused_images, dice_overlap, mass_centres, downsampled, projected, max_projection, cell_density, blurred_density, density_preview, stretched_density, coarse_rotations, tissue_similarity, mask_tiles, contour_cells)}
 
 _MOVED = f"{MASK}, moved AS (SELECT image, label, y + 3 AS y, x + 4 AS x FROM mask WHERE y + 3 < 800 AND x + 4 < 1000)"
 _DENS = lambda p: f"{CELLS}, d AS (SELECT slide_id, round_no, CAST(round_even(centroid_y / {p}, 0) AS INTEGER) AS y, CAST(round_even(centroid_x / {p}, 0) AS INTEGER) AS x, CAST(count(*) AS DOUBLE) AS value FROM placed GROUP BY ALL)"
@@ -234,6 +243,7 @@ t AS (SELECT *, unnest(range(0, h, 256)) AS cy FROM s), u AS (SELECT *, unnest(r
 SELECT slide_id, CAST(cy // 256 * ceil(w / 256.0) + cx // 256 AS INTEGER) AS tile, CAST(greatest(cy - 32, 0) AS INTEGER) AS y0, CAST(least(least(cy + 256, h) + 32, h) AS INTEGER) AS y1, CAST(greatest(cx - 32, 0) AS INTEGER) AS x0, CAST(least(least(cx + 256, w) + 32, w) AS INTEGER) AS x1,
   CAST(cy AS INTEGER) AS core_y0, CAST(least(cy + 256, h) AS INTEGER) AS core_y1, CAST(cx AS INTEGER) AS core_x0, CAST(least(cx + 256, w) AS INTEGER) AS core_x1 FROM u""",
     "stitched": f"WITH {MASK} SELECT image, CAST(w * h AS BIGINT) AS area, x0, y0 FROM parts",
+    "segmented": f"""WITH {MASK} SELECT image, count(*) AS area, min(x) AS x0, min(y) AS y0 FROM mask GROUP BY image, label, x // 250, y // 250""",
     "blank_tiles": f"""WITH {MASK}, v AS (SELECT image, CAST(y // 100 AS INTEGER) AS ty, CAST(x // 100 AS INTEGER) AS tx, label % 40 AS value FROM mask)
 SELECT image, ty, tx, count(*) / 10000.0 < 0.03 OR count(*) FILTER (WHERE value > 5) <= 100 AS blank FROM v WHERE value > 0 GROUP BY ALL""",
     "polygons": f"""WITH {MASK}, b AS (SELECT image, label, avg(x) AS cx, avg(y) AS cy FROM mask GROUP BY ALL), g AS (SELECT image, label, cx, cy, unnest(range(CAST(floor(cy) AS INTEGER) - 8, CAST(floor(cy) AS INTEGER) + 9)) AS y FROM b),
