@@ -46,6 +46,12 @@ def text_core(text: str) -> tuple[str, bool]:
     return (t[: e.start()] if e else t), bool(e)
 
 
+def _in_prose(core: str) -> bool:
+    """Whether a text ends in a word of running text, not in a menu or a copyright line."""
+    line = core[core.rfind("\n") + 1 :]
+    return len(line) >= 40 and bool(re.search(r"\w$", line)) and not re.search(r"©|\(c\)|[|>·»]|\d{4}|  ", line)
+
+
 def _decodings(raw: bytes, headers: str | None) -> Iterator[str]:
     stated = [m.decode("ascii", "replace") for m in _CHARSET.findall((headers or "").encode("utf-8", "replace")) + _CHARSET.findall(raw[:2048])]
     for c in dict.fromkeys(["utf-8", *[s.lower() for s in stated], "cp1252", "latin-1", "iso-8859-2", "cp1251", "cp1250"]):
@@ -77,7 +83,7 @@ def body_value(page: str) -> tuple[str, list[int], int, bool]:
     return "".join(parts), breaks, content, is_open
 
 
-VALUES = "doc_id long, source string, is_text boolean, h1 long, h2 long, key string, breaks array<int>, content int, chars int, bytes int, ellipsis boolean, stops boolean, broken boolean, own string"
+VALUES = "doc_id long, source string, is_text boolean, h1 long, h2 long, key string, breaks array<int>, content int, chars int, bytes int, ellipsis boolean, stops boolean, broken boolean, own string, body int, prose boolean"
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +110,16 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 broken = page[3] or bool(stated and int(stated.group(1)) > len(raw))
             if key:
                 own = "none" if page is None or not page[0] else "equal" if page[0] == key else "longer" if page[0].startswith(key) else "other"
-                rows.append((doc, source, True, key, None, None, len(core), len(core.encode("utf-8", "replace")), ellipsis, stops, broken, own))
+                rows.append((doc, source, True, key, None, None, len(core), len(core.encode("utf-8", "replace")), ellipsis, stops, broken, own, len(raw) if raw else None, _in_prose(core)))
             if page is not None and page[0] and page[0] != key:
-                rows.append((doc, source, False, page[0], page[1], page[2], None, None, None, None, None, None))
+                rows.append((doc, source, False, page[0], page[1], page[2], None, None, None, None, None, None, None, None))
         if not rows:
             continue
         cols = list(zip(*rows))
         digest = [hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=16).digest() for k in cols[3]]
         h = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
         data = dict(zip([n for n in names if n not in ("h1", "h2")], cols)) | {"h1": h[:, 0], "h2": h[:, 1]}
-        types = {"breaks": pa.list_(pa.int32()), "content": pa.int32(), "chars": pa.int32(), "bytes": pa.int32(), "key": pa.string(), "source": pa.string(), "doc_id": pa.int64(), "is_text": pa.bool_(), "ellipsis": pa.bool_(), "stops": pa.bool_(), "broken": pa.bool_(), "own": pa.string()}
+        types = {"breaks": pa.list_(pa.int32()), "content": pa.int32(), "chars": pa.int32(), "bytes": pa.int32(), "key": pa.string(), "source": pa.string(), "doc_id": pa.int64(), "is_text": pa.bool_(), "ellipsis": pa.bool_(), "stops": pa.bool_(), "broken": pa.bool_(), "own": pa.string(), "body": pa.int32(), "prose": pa.bool_()}
         out = [pa.array(data[n], type=types.get(n)) for n in names]
         yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -150,7 +156,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.R
 
 def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> DataFrame:
     """(doc_id, source, by) of every text that was cut: ``by`` is 'copy' (a longer copy goes on), 'transfer' (its body
-    is broken) or 'limit' (it stops at a length at which its source's texts are cut). A text that says all that its own
+    is broken) or 'limit' (it stops at a length at which its source's texts are cut,
+    or where texts stop whose bodies that source cut at one size). A text that says all that its own
     kept page says is whole, unless that page is broken.
 
     ``docs`` has doc_id, source, text, raw_bytes and headers. Values under ``least`` letters and digits are no evidence
@@ -168,7 +175,7 @@ def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> D
     # two rows per partition: a partition's last value and the next one's first meet here
     border = scanned.where("edge").select("h1", "h2", "key", "breaks", "content").dropDuplicates(["h1", "h2"]).repartition(1).sortWithinPartitions("key").mapInArrow(lambda it: _neighbours(it, False), FOUND)
     cuts = scanned.where("cut").unionByName(border.where("cut")).select("h1", "h2").distinct().withColumn("longer", F.lit(True))
-    texts = v.where("is_text").select("doc_id", "source", "h1", "h2", "chars", "bytes", "ellipsis", "stops", "broken", "own", F.length("key").alias("n"))
+    texts = v.where("is_text").select("doc_id", "source", "h1", "h2", "chars", "bytes", "ellipsis", "stops", "broken", "own", "body", "prose", F.length("key").alias("n"))
     t = texts.join(cuts, ["h1", "h2"], "left")
     # a text that says all its own page says is whole, whatever other copies add; without a page it must stop short
     copied = (F.col("own") == "longer") | (F.col("own").isin("none", "other") & (F.col("n") >= least) & (F.col("stops") | F.col("ellipsis")))
@@ -177,11 +184,15 @@ def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> D
     limits = t.where("by = 'copy'").select("source", "ellipsis", unit.alias("u")).groupBy("source", "ellipsis", "u.unit", "u.length").agg(F.count("*").alias("cases")).where(F.col("cases") >= limit_cases)
     total = t.where("by = 'copy'").groupBy("source").agg(F.count("*").alias("cut_in_source"))
     limits = limits.join(total, "source").where(F.col("cases") >= 0.1 * F.col("cut_in_source"))
+    # a source that keeps no more than so many bytes of a body: its texts without a body end about where the others do
+    bodies = t.where("by = 'transfer'").groupBy("source", "body").agg(F.count("*").alias("cases"), F.min("bytes").alias("low"), F.max("bytes").alias("high")).where(F.col("cases") >= limit_cases)
+    bodies = bodies.groupBy("source").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    at_body = t.where("by is null and own = 'none' and prose and stops").join(bodies, "source").where("bytes between low and high").select("doc_id", "source").withColumn("by", F.lit("limit"))
     open_ = t.where("by is null and own in ('none', 'other') and (stops or ellipsis)").select("doc_id", "source", "ellipsis", unit.alias("u")).select("doc_id", "source", "ellipsis", "u.*")
     small = take_bounded(limits.select("source", "ellipsis", "unit", "length"), 10_000)
     known = docs.sparkSession.createDataFrame(small, limits.select("source", "ellipsis", "unit", "length").schema) if small is not None else limits.select("source", "ellipsis", "unit", "length")
     at_limit = open_.join(F.broadcast(known) if small is not None else known, ["source", "ellipsis", "unit", "length"], "left_semi").select("doc_id", "source").distinct().withColumn("by", F.lit("limit"))
-    return t.where("by is not null").select("doc_id", "source", "by").unionByName(at_limit).dropDuplicates(["doc_id"])
+    return t.where("by is not null").select("doc_id", "source", "by").unionByName(at_limit).unionByName(at_body).dropDuplicates(["doc_id"])
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
