@@ -57,29 +57,50 @@ def region_properties(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     return m.select(*by, "label", *keep)
 
 
-def _shifted(pixels: DataFrame, by: Sequence[str], steps: Sequence[tuple[int, int]]) -> DataFrame:
-    """Every pixel once per step, at the place it steps to."""
-    s = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])).alias("s")
-    return pixels.select(*by, "y", "x", "label", s).select(*by, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "label", F.col("s.dy").alias("dy"), F.col("s.dx").alias("dx"))
+def with_halo(pixels: DataFrame, by: Sequence[str], size: int, halo: int) -> DataFrame:
+    """Every pixel in its tile (_ty, _tx of ``size``) and in each neighbouring tile it lies within ``halo`` of."""
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))
+    p = pixels.select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label"))
+    return p.withColumn("_ty", span("y")).withColumn("_tx", span("x"))
 
 
-SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-CORNERS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
-
-
-def perimeters(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
+def perimeters(pixels: DataFrame, by: Sequence[str], size: int = 512) -> DataFrame:
     """(by, label, perimeter): the length of the line through the centres of each label's border pixels (those with a
     pixel of another label, or none, at a side). A border pixel counts by its neighbours on the border, 2 for each at a
     side and 10 for each at a corner: 1 for sums 5, 7, 15, 17, 25, 27 plus itself; sqrt 2 for 21 and 33; half of 1 + sqrt 2
-    for 13 and 23. This is the usual estimator for pixel borders."""
-    p = pixels.where("label > 0").select(*by, "y", "x", "label")
-    near = _shifted(p, by, [(0, 0), *SIDES]).groupBy(*by, "y", "x", "label").agg(F.count("*").alias("n"), F.max(((F.col("dy") == 0) & (F.col("dx") == 0)).cast("int")).alias("own"))
-    border = cut(near.where("own = 1 and n < 5").select(*by, "y", "x", "label"))
-    w = F.when((F.col("dy") == 0) & (F.col("dx") == 0), 1).when((F.col("dy") == 0) | (F.col("dx") == 0), 2).otherwise(10)
-    code = _shifted(border, by, [(0, 0), *SIDES, *CORNERS]).groupBy(*by, "y", "x", "label").agg(F.sum(w).alias("code"))
-    code = code.where(F.pmod(F.col("code"), F.lit(2)) == 1)  # those that are border pixels themselves
-    v = F.when(F.col("code").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("code").isin(21, 33), math.sqrt(2)).when(F.col("code").isin(13, 23), (1 + math.sqrt(2)) / 2).otherwise(0.0)
-    return code.groupBy(*by, "label").agg(F.sum(v).alias("perimeter"))
+    for 13 and 23. This is the usual estimator for pixel borders.
+
+    Tiles are measured by themselves, with two pixels of what is around them, and their parts of a label added up."""
+    weight = np.zeros(60)
+    weight[[5, 7, 15, 17, 25, 27]], weight[[21, 33]], weight[[13, 23]] = 1.0, math.sqrt(2), (1 + math.sqrt(2)) / 2
+    label_type = dict(pixels.dtypes)["label"]
+
+    def measure(t: pa.Table) -> pa.Table:
+        y0, x0 = t.column("_ty")[0].as_py() * size - 2, t.column("_tx")[0].as_py() * size - 2
+        n = size + 4
+        lab = np.zeros((n + 2, n + 2), np.int64)  # a rim, so that shifts stay inside
+        lab[column(t, "y") - y0 + 1, column(t, "x") - x0 + 1] = column(t, "label")
+
+        def beside(img: np.ndarray, dy: int, dx: int) -> np.ndarray:
+            return img[1 + dy : n + 1 + dy, 1 + dx : n + 1 + dx]
+
+        own = beside(lab, 0, 0)
+        edge = np.zeros_like(lab)
+        on = (own > 0) & ~np.logical_and.reduce([beside(lab, *s) == own for s in SIDES])
+        edge[1:-1, 1:-1] = np.where(on, own, 0)
+        code = on + sum(2 * (beside(edge, *s) == own) for s in SIDES) + sum(10 * (beside(edge, *c) == own) for c in CORNERS)
+        core = on[2:-2, 2:-2]
+        labels, at = np.unique(own[2:-2, 2:-2][core], return_inverse=True)
+        total = np.bincount(at, weight[code[2:-2, 2:-2][core]], len(labels))
+        return pa.table({**{g: t.column(g).take(np.zeros(len(labels), np.int64)) for g in by}, "label": labels, "perimeter": total})
+
+    p = with_halo(pixels.where("label > 0"), by, size, 2)
+    parts = map_groups(p, [*by, "_ty", "_tx"], measure, _key_columns(p, by) + "label long, perimeter double")
+    return parts.groupBy(*by, F.col("label").cast(label_type).alias("label")).agg(F.sum("perimeter").alias("perimeter"))
+
+
+SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+CORNERS = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
 def _hull_area(y: np.ndarray, x: np.ndarray) -> float:

@@ -183,18 +183,23 @@ _NEAR = "row_number() OVER (PARTITION BY a.cell_key ORDER BY sqrt((a.centroid_x
 _PATCHED = f"""{LINKED}, patched AS (SELECT l.*, CAST(least(3, floor(least(1, greatest(0, y1 / image_height)) * 4)) AS INTEGER) AS patch_y,
     CAST(least(3, floor(least(1, greatest(0, x1 / image_width)) * 4)) AS INTEGER) AS patch_x FROM linked l JOIN (SELECT slide_id, max(image_width) AS image_width, max(image_height) AS image_height FROM slides GROUP BY slide_id) USING (slide_id))"""
 _INP = """s AS (SELECT slide_id, max(image_width) AS w, max(image_height) AS h FROM slides GROUP BY slide_id),
-c3 AS (SELECT placed.slide_id, round_no, cell_key, centroid_x AS x, centroid_y AS y, w, h, CAST(least(2, floor(least(1, greatest(0, centroid_y / h)) * 3)) AS INTEGER) AS py,
+c3 AS MATERIALIZED (SELECT placed.slide_id, round_no, cell_key, centroid_x AS x, centroid_y AS y, w, h, CAST(least(2, floor(least(1, greatest(0, centroid_y / h)) * 3)) AS INTEGER) AS py,
   CAST(least(2, floor(least(1, greatest(0, centroid_x / w)) * 3)) AS INTEGER) AS px FROM placed JOIN s USING (slide_id)),
-nn AS (SELECT * FROM (SELECT a.cell_key AS id, b.cell_key AS nb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.cell_key ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_key) AS o
+nn AS MATERIALIZED (SELECT * FROM (SELECT a.cell_key AS id, b.cell_key AS nb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, row_number() OVER (PARTITION BY a.cell_key ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.cell_key) AS o
   FROM c3 a JOIN c3 b USING (slide_id, round_no, py, px) WHERE a.cell_key <> b.cell_key) WHERE o <= 4),
 cnt AS (SELECT slide_id, round_no, py, px, count(*) AS n FROM c3 GROUP BY ALL),
-tp AS (SELECT DISTINCT id1, id2, a.slide_id, a.py, a.px, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.w, a.h FROM linked l JOIN c3 a ON a.cell_key = id1 JOIN c3 b ON b.cell_key = id2 WHERE a.py = b.py AND a.px = b.px {extra}),
-nei AS (SELECT tp.*, least(4, c1.n - 1, c2.n - 1) AS k FROM tp JOIN cnt c1 ON c1.slide_id = tp.slide_id AND c1.round_no = 1 AND c1.py = tp.py AND c1.px = tp.px JOIN cnt c2 ON c2.slide_id = tp.slide_id AND c2.round_no = 2 AND c2.py = tp.py AND c2.px = tp.px),
-rms AS (SELECT id1, id2, sqrt(avg((p.d - q.d) ** 2)) AS rms FROM nei JOIN nn p ON p.id = id1 JOIN nn q ON q.id = id2 AND q.o = p.o WHERE p.o <= k GROUP BY id1, id2),
-loss AS (SELECT nei.*, sqrt((((ax - bx) / (w / 6)) ** 2 + ((ay - by_) / (h / 6)) ** 2) / 2) AS l_pos, rms / sqrt((w / 3) ** 2 + (h / 3) ** 2) AS l_nei FROM nei JOIN rms USING (id1, id2)),
+tp AS MATERIALIZED (SELECT DISTINCT id1, id2, a.slide_id, a.py, a.px, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.w, a.h FROM linked l JOIN c3 a ON a.cell_key = id1 JOIN c3 b ON b.cell_key = id2 WHERE a.py = b.py AND a.px = b.px {extra}),
+nei AS MATERIALIZED (SELECT tp.*, least(4, c1.n - 1, c2.n - 1) AS k FROM tp JOIN cnt c1 ON c1.slide_id = tp.slide_id AND c1.round_no = 1 AND c1.py = tp.py AND c1.px = tp.px JOIN cnt c2 ON c2.slide_id = tp.slide_id AND c2.round_no = 2 AND c2.py = tp.py AND c2.px = tp.px),
+nl AS MATERIALIZED (SELECT id, list(d ORDER BY o) AS ds FROM nn GROUP BY id),
+rms AS (SELECT id1, id2, sqrt(list_avg(list_transform(range(1, CAST(k AS INTEGER) + 1), lambda i: (p.ds[i] - q.ds[i]) ** 2))) AS rms FROM nei JOIN nl p ON p.id = id1 JOIN nl q ON q.id = id2 WHERE k > 0),
+loss AS MATERIALIZED (SELECT nei.*, sqrt((((ax - bx) / (w / 6)) ** 2 + ((ay - by_) / (h / 6)) ** 2) / 2) AS l_pos, rms / sqrt((w / 3) ** 2 + (h / 3) ** 2) AS l_nei FROM nei JOIN rms USING (id1, id2)),
 top AS (SELECT * FROM loss WHERE l_pos <= 0.5 AND l_nei <= 0.3)"""
 
+_FOLD = "list_reduce(list([{'d': distance, 'a': id1, 'b': id2}] ORDER BY distance, id1, id2), lambda got, e: CASE WHEN len(list_filter(got, lambda g: g.a = e[1].a OR g.b = e[1].b)) > 0 THEN got ELSE got || e END)"
+
 SQL = {
+    "greedy_match": f"""WITH {LINKED}, g AS (SELECT slide_id, unnest(list_slice({_FOLD}, 1, 320)) AS p FROM linked WHERE distance <= 2 GROUP BY slide_id) SELECT slide_id, p.a AS id1, p.b AS id2, round(p.d, 6) AS distance FROM g""",
+    "greedy_per_patch": f"""WITH {_PATCHED}, g AS (SELECT slide_id, patch_y, patch_x, unnest(list_slice({_FOLD}, 1, 10)) AS p FROM patched GROUP BY slide_id, patch_y, patch_x) SELECT slide_id, patch_y, patch_x, p.a AS id1, p.b AS id2 FROM g""",
     "radius_candidates": f"WITH {_PAIRS} SELECT id1, id2, round(spatial, 6) AS spatial FROM pairs",
     "scored_candidates": f"WITH {_SCORED} SELECT id1, id2, round(score, 6) AS score FROM scored WHERE score IS NOT NULL",
     "topk_candidates": f"WITH {_SCORED} SELECT id1, id2, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY score, spatial, id2) AS rn FROM scored WHERE score <= 2) WHERE rn <= 3",

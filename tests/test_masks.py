@@ -133,3 +133,25 @@ def test_empty_masks(spark):
     assert masks.cell_features(e, ["g"]).count() == 0
     assert masks.relabel_components(e, ["g"]).count() == 0
     assert raster.dice(e, e, ["g"]).count() == 0
+
+
+def border_length(img):
+    """By definition, on one label."""
+    p = np.pad(img, 2).astype(int)
+    inner = p[1:-1, 1:-1] & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+    e = np.pad(p[1:-1, 1:-1] - inner, 1)
+    code = 1 * e[1:-1, 1:-1] + 2 * (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:]) + 10 * (e[:-2, :-2] + e[:-2, 2:] + e[2:, :-2] + e[2:, 2:])
+    w = {**dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0), **dict.fromkeys((21, 33), 2**0.5), **dict.fromkeys((13, 23), (1 + 2**0.5) / 2)}
+    return sum(w.get(int(c), 0.0) for c, on in zip(code.ravel(), e[1:-1, 1:-1].ravel()) if on)
+
+
+@pytest.mark.parametrize("size", [7, 512])
+def test_perimeters_across_tiles(spark, size):
+    rng = np.random.default_rng(3)
+    img = np.zeros((40, 40), int)
+    img[3:25, 4:20] = 1
+    img[rng.random(img.shape) < 0.1] = 0
+    img[10:34, 20:37] = 2
+    got = {r.label: r.perimeter for r in masks.perimeters(pixels(spark, img), ["g"], size).collect()}
+    for n in (1, 2):
+        assert got[n] == pytest.approx(border_length(img == n))
