@@ -90,7 +90,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     names = [c.split()[0] for c in VALUES.split(", ")]
-    for b in batches:
+    for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):  # few texts at a time
         rows: list[tuple] = []
         for doc, source, text, raw, headers in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text", "raw_bytes", "headers"))):
             key, core, ellipsis, stops = "", "", False, False
@@ -139,7 +139,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.R
     last = None
     first = True
     out: list[tuple] = []
-    for b in batches:
+    for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
         for row in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "key", "breaks", "content"))):
             h1, h2, key, breaks, content = row
             if last is not None and _cut_here(last[2], key, breaks, content):
