@@ -170,7 +170,8 @@ def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> D
     # one row per value; copies collapse before the shuffle. Where pages end is the widest that any copy tells.
     seen = F.max(F.struct(F.coalesce("content", F.lit(-1)).alias("c"), "breaks", "key"))
     values = v.groupBy("h1", "h2").agg(seen.alias("s")).select("h1", "h2", F.col("s.key").alias("key"), F.col("s.breaks").alias("breaks"), F.nullif(F.col("s.c"), F.lit(-1)).alias("content"))
-    ranged = values.repartitionByRange("key").sortWithinPartitions("key")
+    # ranges are set by beginnings, as Spark samples what it ranges by to the driver
+    ranged = values.repartitionByRange(F.substring("key", 1, 512)).sortWithinPartitions("key")
     scanned = cut(ranged.mapInArrow(lambda it: _neighbours(it, True), FOUND))
     # two rows per partition: a partition's last value and the next one's first meet here
     border = scanned.where("edge").select("h1", "h2", "key", "breaks", "content").dropDuplicates(["h1", "h2"]).repartition(1).sortWithinPartitions("key").mapInArrow(lambda it: _neighbours(it, False), FOUND)
