@@ -11,6 +11,7 @@ stated length, or inside its text, cuts the text made from it.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -154,10 +155,29 @@ def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((last[0], last[1], False, True, *last[2:]), schema)], schema=schema)
 
 
+def _body_limits(broken: DataFrame, least: int, near: int = 256) -> DataFrame:
+    """(source, body, low, high): the sizes at which a source cuts bodies, and between how many bytes their texts end.
+
+    Transfers break anywhere, so with enough rows several break at one size by chance. A size is a limit if at least
+    ``least`` different texts of its source end there, eight times as many as on average at the sizes around it (its
+    block of ``near`` bytes and the two beside it), and if that many at any of the source's sizes would come by chance
+    once in a thousand times at most (Chernoff's bound for Poisson counts)."""
+    at = broken.where("body is not null").groupBy("source", "body").agg(F.countDistinct("value").alias("cases"), F.percentile_approx("bytes", [0.01, 0.99], 10_000).alias("ends"))
+    at = cut(at.withColumn("_b", F.floor(F.col("body") / near)))
+    blocks = at.groupBy("source", "_b").agg(F.sum("cases").alias("_n"), F.min("body").alias("_lo"), F.max("body").alias("_hi"))
+    around = blocks.withColumn("_b", F.explode(F.array(*[F.col("_b") + i for i in (-1, 0, 1)]))).groupBy("source", "_b").agg(F.sum("_n").alias("_n"), (F.max("_hi") - F.min("_lo") + 1).alias("_span"))
+    sizes = blocks.groupBy("source").agg((F.max("_hi") - F.min("_lo") + 1).alias("_sizes"))
+    some = at.where(F.col("cases") >= least).join(around, ["source", "_b"]).join(sizes, "source")
+    usual = (F.col("_n") - F.col("cases") + 1) / F.greatest("_span", F.lit(near // 4))
+    rare = F.col("cases") * F.ln(F.col("cases") / usual) - F.col("cases") + usual
+    some = some.where((F.col("cases") >= 8 * usual) & (rare >= F.ln("_sizes") + math.log(1000)))
+    return some.select("source", "body", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+
 def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> DataFrame:
     """(doc_id, source, by) of every text that was cut: ``by`` is 'copy' (a longer copy goes on), 'transfer' (its body
     is broken) or 'limit' (it stops at a length at which its source's texts are cut,
-    or where texts stop whose bodies that source cut at one size). A text that says all that its own
+    or where texts stop whose bodies that source cut at a size far commoner than those near it). A text that says all that its own
     kept page says is whole, unless that page is broken.
 
     ``docs`` has doc_id, source, text, raw_bytes and headers. Values under ``least`` letters and digits are no evidence
@@ -180,14 +200,12 @@ def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> D
     t = texts.join(cuts, ["h1", "h2"], "left")
     # a text that says all its own page says is whole, whatever other copies add; without a page it must stop short
     copied = (F.col("own") == "longer") | (F.col("own").isin("none", "other") & (F.col("n") >= least) & (F.col("stops") | F.col("ellipsis")))
-    t = cut(t.withColumn("by", F.when(F.col("longer") & copied, "copy").when(F.col("broken") & F.col("stops"), "transfer")).drop("h1", "h2", "longer"))
+    t = cut(t.withColumn("by", F.when(F.col("longer") & copied, "copy").when(F.col("broken") & F.col("stops"), "transfer")).withColumn("value", F.xxhash64("h1", "h2")).drop("h1", "h2", "longer"))
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.ceil(F.col("bytes") / 4).cast("int").alias("length"))))
     limits = t.where("by = 'copy'").select("source", "ellipsis", unit.alias("u")).groupBy("source", "ellipsis", "u.unit", "u.length").agg(F.count("*").alias("cases")).where(F.col("cases") >= limit_cases)
     total = t.where("by = 'copy'").groupBy("source").agg(F.count("*").alias("cut_in_source"))
     limits = limits.join(total, "source").where(F.col("cases") >= 0.1 * F.col("cut_in_source"))
-    # a source that keeps no more than so many bytes of a body: its texts without a body end about where the others do
-    bodies = t.where("by = 'transfer'").groupBy("source", "body").agg(F.count("*").alias("cases"), F.min("bytes").alias("low"), F.max("bytes").alias("high")).where(F.col("cases") >= limit_cases)
-    bodies = bodies.groupBy("source").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    bodies = _body_limits(t.where("by = 'transfer'"), limit_cases)
     at_body = t.where("by is null and own = 'none' and prose and stops").join(bodies, "source").where("bytes between low and high").select("doc_id", "source").withColumn("by", F.lit("limit"))
     open_ = t.where("by is null and own in ('none', 'other') and (stops or ellipsis)").select("doc_id", "source", "ellipsis", unit.alias("u")).select("doc_id", "source", "ellipsis", "u.*")
     small = take_bounded(limits.select("source", "ellipsis", "unit", "length"), 10_000)

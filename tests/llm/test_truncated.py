@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ def prose(n, seed=0):
     return " ".join(WORDS[(i * 7 + seed * i * i + seed) % len(WORDS)] + ("." if i % 9 == 8 else "") for i in range(n)).capitalize()
 
 
+def random_prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(n))
+
+
 def page(*paragraphs, end="</body></html>"):
     return ("<html><head><title>t</title></head><body>" + "".join(f"<p>{p}</p>\n" for p in paragraphs) + "<footer>(c) 2020 A &amp; B</footer>" + end).encode()
 
@@ -56,6 +62,29 @@ def test_limits_are_learned_from_copies(spark):
     assert got == {**{i: "copy" for i in range(8)}, 100: "limit"}
 
 
+@pytest.mark.parametrize("n", [150, 900])
+def test_random_breaks_are_no_limit(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):  # the sizes of 150 within 40, of 900 within 240: chance repeats of five and more at both
+        body = page(random_prose(rng, 200))[: 400 + rng.randrange(n * 4 // 15)]
+        rows.append((i, "s", body.decode().split("<p>")[1], body, "Content-Length: 9000"))
+    rows += [(10_000 + i, "s", random_prose(rng, 200)[: 340 + 5 * i].strip(), None, None) for i in range(20)]
+    got = found(spark, rows)
+    assert {i for i in got if i >= 10_000} == set() and "limit" not in got.values()
+
+
+def test_each_body_limit_has_its_own_range(spark):
+    rng = random.Random(1)
+    bodies = [page(random_prose(rng, 400))[: (500, 1500)[i % 2]] for i in range(40)]
+    rows = [(i, "s", b.decode().split("<p>")[1], b, "Content-Length: 9000") for i, b in enumerate(bodies)]
+    whole = lambda n: random_prose(rng, 400)[: n - 1].rstrip().ljust(n, "z")
+    short, long = len(rows[0][2]), len(rows[1][2])
+    rows += [(100, "s", whole(short), None, None), (101, "s", whole(long), None, None), (102, "s", whole(1000), None, None), (103, "t", whole(short), None, None)]
+    got = found(spark, rows)
+    assert {i: by for i, by in got.items() if i >= 100} == {100: "limit", 101: "limit"}
+
+
 def test_crowds_of_copies_and_partition_borders(spark):
     rows = [(i, "s", prose(100, i % 40)[: 150 + i % 7], None, None) for i in range(400)] + [(1000 + i, "s", prose(100, i) + ".", None, None) for i in range(40)]
     spark.conf.set("spark.sql.shuffle.partitions", "16")
