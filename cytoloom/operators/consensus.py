@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoloom.functions.stats import MAD, medians, on
+from cytoloom.runtime import column, map_groups
 
 
 def norm(x: Column | str, y: Column | str) -> Column:
@@ -93,6 +96,20 @@ def direction_consensus(matches: DataFrame, by: Sequence[str], id_col: str, max_
     return j.where(~applies | F.coalesce("_stay", F.lit(False))).select(*matches.columns)
 
 
+def dominant_direction(matches: DataFrame, by: Sequence[str], id_col: str, max_deg: float = 5.0, length_px: float = 5.0) -> DataFrame:
+    """The most matches (dx, dy) of each group within ``max_deg`` and ``length_px`` of one of them (ties: least id). All
+    pairs of a group are compared, so the caller bounds it."""
+
+    def best(t: pa.Table) -> pa.Table:
+        dx, dy = column(t, "dx"), column(t, "dy")
+        n, a = np.hypot(dx, dy), np.arctan2(dy, dx)
+        turn = np.abs(a[:, None] - a[None, :])
+        near = (np.minimum(turn, 2 * np.pi - turn) <= np.radians(max_deg)) & (np.abs(n[:, None] - n[None, :]) <= length_px)
+        return t.filter(pa.array(near[near.sum(1).argmax()]))
+
+    return map_groups(matches, list(by), best, ", ".join(f"`{c}` {t}" for c, t in matches.dtypes), sort=[id_col])
+
+
 def accept_coarse(marked: DataFrame, by: Sequence[str], least: int = 6, ratio: float = 0.35, max_residual: float = 5.0) -> DataFrame:
     """(by, accepted, inliers, inlier_ratio, median_residual) of matches with ransac_inlier and residual_px."""
     g = marked.groupBy(*by).agg(F.count_if("ransac_inlier").alias("inliers"), F.avg(F.col("ransac_inlier").cast("double")).alias("inlier_ratio"), F.median(F.when(F.col("ransac_inlier"), F.col("residual_px"))).alias("median_residual"))

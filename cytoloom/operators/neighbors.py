@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cytoloom.functions.stats import on
 from cytoloom.operators.spatial import distances, voronoi_blocks, vp_pairs
 from cytoloom.runtime import column, cut, map_groups
 
 
-def _points(df: DataFrame, group: Sequence[str], coords: Sequence[str], id_col: str, side: int) -> DataFrame:
-    p = df.select(*group, F.col(id_col).cast("long").alias("_id"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(coords)], F.lit(side).alias("_side"))
+def _points(df: DataFrame, group: Sequence[str], coords: Sequence[str], id_col: str, side: int, more: Sequence[Column] = ()) -> DataFrame:
+    p = df.select(*group, F.col(id_col).cast("long").alias("_id"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(coords)], F.lit(side).alias("_side"), *more)
     return p.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*group, "_id")] + [F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}") & (F.abs(f"_x{i}") < float("inf")) for i in range(len(coords))]))
 
 
@@ -51,6 +52,47 @@ def radius_pairs(fixed: DataFrame, moving: DataFrame, group: Sequence[str], coor
     return map_groups(blocks, [*group, "block"], pairs, _key_columns(both, group) + "id1 long, id2 long, spatial double")
 
 
+def like_pairs(fixed: DataFrame, moving: DataFrame, group: Sequence[str], coords: Sequence[str], id_col: str, radius: float, cols: Sequence[str], scales: DataFrame, k: int | str, threshold: float | None = None, cap: int = 2048) -> DataFrame:
+    """(group, id1, id2, spatial, score): of each fixed point's pairs within ``radius`` the ``k`` of least shape score, ties
+    by nearness, then id2. The same as ``top_candidates`` of ``shape_score`` of ``radius_pairs``, but a block ranks its own
+    pairs, so a wide radius writes k rows a point. ``k`` may name a column of ``scales``."""
+    if not cols:
+        raise ValueError("a shape score needs at least one column")
+    fs = [f"_f{i}" for i in range(len(cols))]
+    more = [*[(F.col(c).cast("double") / F.col(f"scale_{c}")).alias(f) for c, f in zip(cols, fs)], (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("_k")]
+    st = scales.select(*group, *[f"scale_{c}" for c in cols], *([k] if isinstance(k, str) else []))
+    both = cut(reduce(DataFrame.unionByName, [_points(on(group, t, st), group, coords, id_col, i, more) for i, t in ((1, fixed), (2, moving))]))
+    xs = [f"_x{i}" for i in range(len(coords))]
+    blocks = voronoi_blocks(both, list(group), xs, "_id", radius, cap=cap)
+
+    def pairs(t: pa.Table) -> pa.Table | None:
+        side, ids, most = column(t, "_side"), column(t, "_id"), column(t, "_k")
+        every = np.flatnonzero(column(t, "core").astype(bool) & (side == 1))
+        other = np.flatnonzero(side == 2)
+        if not len(every) or not len(other):
+            return None
+        x, f = (np.column_stack([column(t, c) for c in cs]).astype(float) for cs in (xs, fs))
+        step = max(1, 1_000_000 // len(other))
+        parts = []
+        for a in range(0, len(every), step):
+            rows = np.concatenate([other, every[a : a + step]])
+            i, j, d = vp_pairs(x[rows], np.arange(len(other), len(rows)), radius)
+            keep = j < len(other)
+            i, j, d = rows[i[keep]], rows[j[keep]], d[keep]
+            score = np.sqrt(((f[i] - f[j]) ** 2).mean(1))
+            ok = np.isfinite(score) if threshold is None else score <= threshold
+            i, j, d, score = i[ok], j[ok], d[ok], score[ok]
+            o = np.lexsort((ids[j], d, score, i))
+            i, j, d, score = i[o], j[o], d[o], score[o]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            best = rank < most[i]
+            parts.append((i[best], j[best], d[best], score[best]))
+        i, j, d, score = (np.concatenate(c) for c in zip(*parts))
+        return pa.table({**{g: t.column(g).take(i) for g in group}, "id1": ids[i], "id2": ids[j], "spatial": d, "score": score})
+
+    return map_groups(blocks, [*group, "block"], pairs, _key_columns(both, group) + "id1 long, id2 long, spatial double, score double")
+
+
 def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords: Sequence[str], id_col: str, k: int, data_coords: Sequence[str] | None = None, cap: int = 2048) -> DataFrame:
     """(group, id, neighbour, ordinal, distance): the k nearest ``data`` points of each query in its group, ordinal 1 the
     nearest, ties by smaller id. Without ``data`` the queries search each other, never themselves (by id).

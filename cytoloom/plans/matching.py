@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cytoloom.functions.scalar import axis_difference_deg
 from cytoloom.functions.stats import on, robust_scales, robust_standardise
 from cytoloom.operators import consensus, matching, models
-from cytoloom.operators.neighbors import knn, mutual_least, radius_pairs, shape_score, top_candidates
+from cytoloom.operators.neighbors import knn, like_pairs, mutual_least, radius_pairs, top_candidates
 from cytoloom.runtime import cut
 
 SHAPE = ["area", "eccentricity", "solidity", "hu_0"]
@@ -20,11 +20,13 @@ SHAPE = ["area", "eccentricity", "solidity", "hu_0"]
 
 @dataclass
 class Matching:
-    """Matches (id1, id2, distance, ...), the models of each group, and a row of diagnostics of each."""
+    """Matches (id1, id2, distance, ...), the models of each group, a row of diagnostics of each, and its spline where one
+    is fitted."""
 
     matches: DataFrame
     models: DataFrame
     diagnostics: DataFrame
+    splines: DataFrame | None = None
 
 
 def with_xy(pairs: DataFrame, fixed: DataFrame, moving: DataFrame, id_col: str, x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
@@ -40,55 +42,127 @@ def fine_candidates(pairs: DataFrame, window: float, weight: float = 1.0, thresh
     return c if threshold is None else c.where(F.col("distance") <= threshold)
 
 
-def two_stage_match(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = SHAPE, coarse_window: float = 50.0, window: float = 25.0, top_k: int = 320, coarse_top_k: int = 50, coarse_threshold: float = 2.0, residual: float = 5.0, trials: int = 200, min_cells: int = 20) -> Matching:
-    """Coarse: like cells within a wide window give a translation by consensus. Fine: in groups whose translation is
-    accepted, moving cells are shifted and matched one to one within a narrow window; in the others as they lie."""
-    scales = cut(robust_scales(fixed.unionByName(moving), by, list(cols)))
-    pairs = cut(shape_score(radius_pairs(fixed, moving, by, ["centroid_x", "centroid_y"], id_col, coarse_window), fixed, moving, scales, by, id_col, cols))
-    coarse = top_candidates(pairs, by, 5, threshold=coarse_threshold)
+def _fine(fixed: DataFrame, moved: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str], scales: DataFrame, window: float, top_k: int, strict: bool = False) -> DataFrame:
+    """One-to-one matches within the window, best first by score + spatial / window; if ``strict`` of candidates that pass
+    the hard constraints."""
+    fine = like_pairs(fixed, moved, by, ["centroid_x", "centroid_y"], id_col, window, cols, scales, "per_cell")
+    fine = fine.withColumn("distance", F.col("score") + F.col("spatial") / max(window, 1e-6))
+    if strict:
+        fine = _constrained(fine, fixed, moved, id_col).select(*fine.columns)
+    return cut(matching.greedy_match(fine, by, ("distance", "spatial", "id1", "id2"), top_k))
+
+
+def _constrained(pairs: DataFrame, fixed: DataFrame, moving: DataFrame, id_col: str) -> DataFrame:
+    return matching.hard_constraints(matching.match_report(pairs, fixed, moving, id_col, [c for c in ("area", "aspect_ratio", "orientation", "eccentricity") if c in fixed.columns]))
+
+
+def _scales(fixed: DataFrame, moving: DataFrame, by: Sequence[str], cols: Sequence[str], top_k: int) -> DataFrame:
+    """Robust scales, and per_cell: how many candidates of a fixed cell the fine stage compares, more in groups of so few
+    fixed cells that ``top_k`` matches need more."""
+    n = fixed.groupBy(*by).agg(F.count("*").alias("_n1"))
+    per = F.least(F.lit(32), F.greatest(F.lit(8), F.ceil(F.lit(8 * top_k) / F.col("_n1")))).cast("int")
+    return cut(on(by, robust_scales(fixed.unionByName(moving), by, list(cols)), n).withColumn("per_cell", per).drop("_n1"))
+
+
+def _moved(moving: DataFrame, model: DataFrame, by: Sequence[str]) -> DataFrame:
+    m = models.transform_points(moving, model, by, "centroid_x", "centroid_y")
+    return cut(m.withColumns({"centroid_x": F.coalesce("x_reg", "centroid_x"), "centroid_y": F.coalesce("y_reg", "centroid_y")}).drop("x_reg", "y_reg"))
+
+
+def two_stage_match(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = SHAPE, coarse_window: float = 200.0, window: float = 100.0, top_k: int = 320, coarse_top_k: int = 50, coarse_threshold: float = 2.0, residual: float = 5.0, trials: int = 200, min_cells: int = 20) -> Matching:
+    """Coarse: like cells within a wide window give a translation by consensus, from the ``coarse_top_k`` likest of each
+    group. Fine: in groups whose translation is accepted, moving cells are shifted and matched one to one within a narrow
+    window; in the others as they lie."""
+    scales = _scales(fixed, moving, by, cols, top_k)
     sizes = fixed.groupBy(*by).agg(F.count("*").alias("_n1")).join(moving.groupBy(*by).agg(F.count("*").alias("_n2")), list(by)).where((F.col("_n1") >= min_cells) & (F.col("_n2") >= min_cells))
-    coarse = coarse.join(sizes.select(*by), list(by), "left_semi")
-    one = mutual_least(cut(coarse), by, "score").withColumn("mid", F.xxhash64("id1", "id2"))
-    xy = with_xy(one, fixed, moving, id_col)
+    coarse = cut(like_pairs(fixed, moving, by, ["centroid_x", "centroid_y"], id_col, coarse_window, cols, scales, 5, coarse_threshold))
+    coarse = _constrained(coarse, fixed, moving, id_col)
+    place = F.row_number().over(W.partitionBy(*by).orderBy("score", "spatial", "id1", "id2"))
+    coarse = on(by, coarse, sizes).withColumn("_r", place).where(F.col("_r") <= F.least(F.lit(coarse_top_k), "_n1", "_n2"))
+    xy = with_xy(coarse.select(*by, "id1", "id2", "spatial", "score", F.xxhash64("id1", "id2").alias("mid")), fixed, moving, id_col)
     model, marked = models.ransac(xy, by, "mid", "translation", residual, trials)
     verdict = cut(consensus.accept_coarse(marked, by, max_residual=residual))
     good = model.join(verdict.where("accepted").select(*by), list(by), "left_semi")
-    moved = models.transform_points(moving, good, by, "centroid_x", "centroid_y")
-    moved = cut(moved.withColumns({"centroid_x": F.coalesce("x_reg", "centroid_x"), "centroid_y": F.coalesce("y_reg", "centroid_y")}).drop("x_reg", "y_reg"))
-    fine = shape_score(radius_pairs(fixed, moved, by, ["centroid_x", "centroid_y"], id_col, window), fixed, moving, scales, by, id_col, cols)
-    cands = matching.hard_constraints(matching.match_report(fine_candidates(fine, window), fixed, moving, id_col, [c for c in ("area", "aspect_ratio", "orientation", "eccentricity") if c in fixed.columns]))
-    got = cut(matching.greedy_match(cands.select(*by, "id1", "id2", "score", "spatial", "distance"), by, ("distance", "spatial", "id1", "id2"), top_k))
+    got = _fine(fixed, _moved(moving, good, by), by, id_col, cols, scales, window, top_k, strict=True)
     n = got.groupBy(*by).agg(F.count("*").alias("matches"), F.avg("distance").alias("mean_distance"))
     diagnostics = on(by, verdict, n, "full")
     return Matching(got, models.fit_translation(with_xy(got, fixed, moving, id_col), by, "median"), diagnostics)
 
 
-def register_cells(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = SHAPE, window: float = 25.0, top_k: int = 320, trials: int = 1000, threshold: float = 2.0, patches: int = 4) -> Matching:
+def _upright(got: DataFrame, fixed: DataFrame, moving: DataFrame, id_col: str) -> DataFrame:
+    """Matches whose orientations agree to 5 degrees where both cells have one."""
+    if not {"orientation", "eccentricity"} <= set(fixed.columns):
+        return got
+    rep = matching.match_report(got, fixed, moving, id_col, ["orientation", "eccentricity"])
+    return rep.where((F.col("eccentricity_1") < 0.15) | (F.col("eccentricity_2") < 0.15) | (axis_difference_deg("orientation_1", "orientation_2") <= 5) | F.col("orientation_1").isNull() | F.col("orientation_2").isNull()).select(*got.columns)
+
+
+def _placed(got: DataFrame, fixed: DataFrame, moving: DataFrame, id_col: str) -> DataFrame:
+    return cut(with_xy(got, fixed, moving, id_col).withColumns({"dx": F.col("x1") - F.col("x2"), "dy": F.col("y1") - F.col("y2"), "mid": F.xxhash64("id1", "id2")}))
+
+
+def register_cells(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = SHAPE, window: float = 100.0, top_k: int = 320, trials: int = 1000, threshold: float = 2.0, patches: int = 4, enough: int = 50, narrow: float = 25.0) -> Matching:
     """The whole mask registration: two-stage matches, a translation by consensus, residual filters, a second matching
-    within a smaller window after it, orientation and direction checks, and the final translation."""
-    first = two_stage_match(fixed, moving, by, id_col, cols, window=window, top_k=top_k)
-    xy = with_xy(first.matches.withColumn("mid", F.xxhash64("id1", "id2")), fixed, moving, id_col)
-    model, marked = models.ransac(xy, by, "mid", "translation", threshold, trials)
-    kept = consensus.residual_filter(marked.where("ransac_inlier"), by, "residual_px", threshold)
-    model = cut(models.fit_translation(kept, by))
-    moved = models.transform_points(moving, model, by, "centroid_x", "centroid_y")
-    moved = cut(moved.withColumns({"centroid_x": F.coalesce("x_reg", "centroid_x"), "centroid_y": F.coalesce("y_reg", "centroid_y")}).drop("x_reg", "y_reg"))
-    scales = robust_scales(fixed.unionByName(moving), by, list(cols))
-    near = max(10.0, 0.6 * window)
-    again = shape_score(radius_pairs(fixed, moved, by, ["centroid_x", "centroid_y"], id_col, near), fixed, moving, scales, by, id_col, cols)
-    got = matching.greedy_match(fine_candidates(again, near).select(*by, "id1", "id2", "score", "spatial", "distance"), by, ("distance", "spatial", "id1", "id2"), top_k)
-    if {"orientation", "eccentricity"} <= set(fixed.columns):
-        rep = matching.match_report(got, fixed, moving, id_col, ["orientation", "eccentricity"])
-        got = rep.where((F.col("eccentricity_1") < 0.15) | (F.col("eccentricity_2") < 0.15) | (axis_difference_deg("orientation_1", "orientation_2") <= 5) | F.col("orientation_1").isNull() | F.col("orientation_2").isNull()).select(*got.columns)
-    xy = cut(with_xy(got, fixed, moving, id_col).withColumns({"dx": F.col("x1") - F.col("x2"), "dy": F.col("y1") - F.col("y2"), "mid": F.xxhash64("id1", "id2")}))
-    box = fixed.groupBy(*by).agg(F.max("centroid_x").alias("_w"), F.max("centroid_y").alias("_h"))
+    within a smaller window after it, orientation and direction checks. Groups short of ``enough`` agreeing matches are
+    done again: within ``window``, then twice that, then by the main direction alone. Of these stages (0 the ``narrow``
+    one, 1 to 3) each group takes the one of which most matches agree, as chance pairs grow with the window; ties go to
+    the earlier. Then the final translation and, from ``enough`` matches on, a spline from moving to fixed places with
+    anchors on the frame."""
+    box = cut(fixed.groupBy(*by).agg(F.max("centroid_x").alias("_w"), F.max("centroid_y").alias("_h")))
     cell = lambda c, e: F.least(F.lit(patches - 1), F.floor(F.col(c) * patches / F.greatest(F.col(e), F.lit(1.0)))).cast("int")
-    xy = on(by, xy, box).withColumns({"patch_y": cell("y1", "_h"), "patch_x": cell("x1", "_w")}).drop("_w", "_h")
-    steady = cut(consensus.direction_consensus(xy, [*by, "patch_y", "patch_x"], "mid"))
+
+    def again(f: DataFrame, m: DataFrame, model: DataFrame, near: float) -> DataFrame:
+        got = _fine(f, _moved(m, model, by), by, id_col, cols, _scales(f, m, by, cols, top_k), near, top_k)
+        return _placed(_upright(got, f, m, id_col), f, m, id_col)
+
+    def attempt(f: DataFrame, m: DataFrame, window: float, near: float) -> tuple[DataFrame, DataFrame]:
+        first = two_stage_match(f, m, by, id_col, cols, 2 * window, window, top_k, max(24, top_k), residual=max(5.0, 2 * threshold), trials=min(max(trials, 200), 2000), min_cells=10).matches
+        _, marked = models.ransac(with_xy(first.withColumn("mid", F.xxhash64("id1", "id2")), f, m, id_col), by, "mid", "translation", threshold, trials)
+        kept = consensus.residual_filter(marked.where("ransac_inlier"), by, "residual_px", threshold)
+        xy = again(f, m, cut(models.fit_translation(kept, by)), near)
+        xy = on(by, xy, box).withColumns({"patch_y": cell("y1", "_h"), "patch_x": cell("x1", "_w")}).drop("_w", "_h")
+        return first, cut(consensus.direction_consensus(xy, [*by, "patch_y", "patch_x"], "mid").drop("patch_y", "patch_x"))
+
+    def support(found: DataFrame) -> DataFrame:
+        """How many matches of a stage lie within two thresholds of its median displacement, and which stage has most."""
+        near = models.residuals(found, models.fit_translation(found, [*by, "stage"], "median"), [*by, "stage"], "_off")
+        n = near.groupBy(*by, "stage").agg(F.count_if(F.col("_off") <= 2 * threshold).alias("_n"))
+        return cut(n.groupBy(*by).agg(F.min(F.struct((-F.col("_n")).alias("n"), "stage")).alias("s")).select(*by, F.col("s.stage").alias("stage"), (-F.col("s.n")).alias("_n")))
+
+    def short(found: DataFrame) -> DataFrame:
+        full = support(found).where(F.col("_n") >= enough)
+        return cut(fixed.select(*by).distinct().join(moving.select(*by).distinct(), list(by), "left_semi").join(full, list(by), "left_anti"))
+
+    of = lambda t, groups: cut(t.join(groups, list(by), "left_semi"))
+    at = lambda t, n: t.withColumn("stage", F.lit(n))
+    found = at(attempt(fixed, moving, narrow, max(10.0, 0.6 * narrow))[1], 0)
+    firsts: DataFrame | None = None
+    for stage, wide, near in ((1, window, max(10.0, 0.6 * window)), (2, 2 * window, max(150.0, 1.2 * window))):
+        few = short(found)
+        if not few.limit(1).count():
+            break
+        f, m = of(fixed, few), of(moving, few)
+        first, got = attempt(f, m, wide, near)
+        firsts = first if firsts is None else firsts
+        found = found.unionByName(at(got, stage))
+    few = short(found)
+    if firsts is not None and few.limit(1).count():
+        f, m = of(fixed, few), of(moving, few)
+        model, _ = models.ransac(with_xy(of(firsts, few).withColumn("mid", F.xxhash64("id1", "id2")), f, m, id_col), by, "mid", "translation", threshold, trials)
+        main = cut(consensus.dominant_direction(again(f, m, model, max(10.0, 0.6 * window)), by, "mid"))
+        three = main.groupBy(*by).count().where("count >= 3").select(*by)
+        found = found.unionByName(at(main.join(three, list(by), "left_semi"), 3))
+    steady = cut(found.join(support(found).drop("_n"), [*by, "stage"], "left_semi"))
     final = cut(models.fit_translation(steady, by))
-    res = models.residuals(steady, final, by)
-    diag = on(by, final.select(*by, "tx", "ty"), res.groupBy(*by).agg(F.count("*").alias("matches"), F.median("residual_px").alias("median_residual")))
-    return Matching(res, final, diag)
+    res = cut(models.residuals(steady, final, by))
+    diag = on(by, final.select(*by, "tx", "ty"), res.groupBy(*by).agg(F.count("*").alias("matches"), F.median("residual_px").alias("median_residual"), F.max("stage").alias("stage")))
+    many = res.join(diag.where(F.col("matches") >= enough).select(*by), list(by), "left_semi")
+    ends = models.boundary_anchors(final.join(many.select(*by).distinct(), list(by), "left_semi"), box.withColumnsRenamed({"_w": "width", "_h": "height"}), by)
+    pts = many.select(*by, "x1", "y1", "x2", "y2").unionByName(ends).select(*by, F.col("x2").alias("fx"), F.col("y2").alias("fy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    splines = cut(models.fit_spline(pts, by))  # at most top_k matches and the anchors
+    there = models.spline_points(many.select(*by, F.col("mid").alias("id"), F.col("x2").alias("x"), F.col("y2").alias("y")), splines, by)
+    off = there.join(many.select(*by, F.col("mid").alias("id"), "x1", "y1"), [*by, "id"]).groupBy(*by).agg(F.avg(F.sqrt(F.pow(F.col("x_spline") - F.col("x1"), 2) + F.pow(F.col("y_spline") - F.col("y1"), 2))).alias("spline_residual"))
+    return Matching(res, final, on(by, diag, off, "left"), splines)
 
 
 def register_centroids(fixed: DataFrame, moving: DataFrame, by: Sequence[str], rounds: int = 3, k: int = 8, power: float = 2.0, scale: DataFrame | None = None, start: DataFrame | None = None) -> Matching:

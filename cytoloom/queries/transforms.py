@@ -180,7 +180,7 @@ def two_stage_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered_slides(spark: SparkSession, sf: str) -> DataFrame:
     f, m = sides(spark, sf)
-    return plans.register_cells(f, m, BY, "cell_key").diagnostics.select("slide_id", r("tx", 3), r("ty", 3), "matches", r("median_residual", 3))
+    return plans.register_cells(f, m, BY, "cell_key").diagnostics.select("slide_id", r("tx", 3), r("ty", 3), "matches", r("median_residual", 3), "stage", r("spline_residual", 3))
 
 
 def registered_centroids(spark: SparkSession, sf: str) -> DataFrame:
