@@ -99,16 +99,30 @@ def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords
 
     Small groups are searched whole. In large ones a block sees its surroundings up to a radius; a query whose k-th
     neighbour lies beyond it is asked again with a radius four times as large, until all are settled, so the result is
-    exact. Groups with fewer than k candidates give what they have."""
+    exact. Groups of no more candidates than k give what they have: their queries meet those few rows by an equi-join."""
     alone = data is None
     both = _points(queries, group, coords, id_col, 3 if alone else 1)
     if not alone:
         both = both.unionByName(_points(data, group, data_coords or coords, id_col, 2))
     both = cut(both.withColumn("_asks", F.col("_side") != 2))
     xs = [f"_x{i}" for i in range(len(coords))]
+    few = k + 1 if alone else k
+    found = both.where("_side >= 2")
+    some = cut(found.groupBy(*group).agg(F.count("*").alias("_n")))
+    found = on(group, found, some).where(F.col("_n") <= few)
+    listed = found.groupBy(*group).agg(F.collect_list(F.struct("_id", *xs)).alias("_all"))
+    asks = on(group, both.where("_asks"), listed)
+    away = lambda c: F.sqrt(reduce(lambda a, b: a + b, [F.pow(c[x] - F.col(x), F.lit(2.0)) for x in xs]))
+    near = F.transform(F.filter("_all", lambda c: c["_id"] != F.col("_id")) if alone else F.col("_all"), lambda c: F.struct(away(c).alias("d"), c["_id"].alias("i")))
+    small = asks.select(*group, F.col("_id").alias("id"), F.posexplode(F.array_sort(near)).alias("_p", "_c"))
+    small = small.select(*group, "id", F.col("_c.i").alias("neighbour"), (F.col("_p") + 1).cast("int").alias("ordinal"), F.col("_c.d").alias("distance")).where(F.col("ordinal") <= k)
+    if group:
+        both = cut(both.join(some.where(F.col("_n") > few), list(group), "left_semi"))
+    elif some.first()._n <= few:
+        both = both.limit(0)
     area = reduce(lambda a, b: a * b, [F.greatest(F.max(c) - F.min(c), F.lit(1e-9)) for c in xs])
     dense = both.groupBy(*group).agg(F.count("*").alias("n"), area.alias("a")).orderBy(F.desc("n")).first()
-    radius = 2 * math.sqrt(k * dense.a / (math.pi * dense.n)) if dense else 1.0
+    radius = 2 * math.sqrt(k * dense.a / (math.pi * dense.n)) if dense and dense.n else 1.0
     keys = _key_columns(both, group)
 
     def search(t: pa.Table, radius: float) -> pa.Table | None:
@@ -150,7 +164,7 @@ def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords
         radius *= 4
         again = points.join(left.select(*group).distinct(), list(group), "left_semi") if group else points
         points = cut(again.join(left, [again[g] == left[g] for g in group] + [again["_id"] == left["_again"]], "left").select(*[again[c] for c in again.columns if c != "_asks"], (F.col("_again").isNotNull() & (F.col("_side") != 2)).alias("_asks")))
-    return reduce(DataFrame.unionByName, done).drop("settled")
+    return reduce(DataFrame.unionByName, done).drop("settled").unionByName(small)
 
 
 def shape_score(pairs: DataFrame, features: DataFrame, moving: DataFrame, scales: DataFrame, group: Sequence[str], id_col: str, cols: Sequence[str]) -> DataFrame:

@@ -97,6 +97,20 @@ def test_knn_of_small_groups_gives_what_there_is(spark):
     assert knn(df.limit(0), None, ["g"], ["x", "y"], "id", 3).count() == 0
 
 
+def test_knn_of_large_groups_with_few_candidates(spark):
+    x = np.random.default_rng(6).normal(0, 10, (200, 2))
+    q = frame(spark, x, np.arange(200), ["a"] * 100 + ["b"] * 100)
+    data = spark.createDataFrame([("a", 900, 0.0, 0.0), ("a", 901, 50.0, 0.0), ("b", 902, 1.0, 1.0), *[("c", 903 + i, float(i), 0.0) for i in range(9)]], "g string, id long, x double, y double")
+    at = {900: (0.0, 0.0), 901: (50.0, 0.0), 902: (1.0, 1.0)}
+    got = {(r.id, r.ordinal): (r.neighbour, r.distance) for r in knn(q, data, ["g"], ["x", "y"], "id", 5, cap=40).collect()}
+    assert len(got) == 300 and {i for i, o in got if o == 2} == set(range(100))
+    for i in range(200):
+        want = sorted((float(np.hypot(*(x[i] - at[n]))), n) for n in ((900, 901) if i < 100 else (902,)))
+        assert [got[i, o + 1][0] for o in range(len(want))] == [n for _, n in want] and abs(got[i, 1][1] - want[0][0]) < 1e-6
+    one = knn(q.drop("g"), data.where("g = 'a'").drop("g"), [], ["x", "y"], "id", 5, cap=40)
+    assert one.count() == 400
+
+
 def test_radius_pairs_and_mutual_nearest(spark):
     f = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 3.0, 0.0)], "g string, id long, x double, y double")
     m = spark.createDataFrame([("a", 10, 0.5, 0.0), ("a", 11, 1.6, 0.0), ("b", 12, 0.0, 0.0)], "g string, id long, x double, y double")
