@@ -1,11 +1,15 @@
 """Texts that were cut off, found by a self-join on prefixes.
 
 The values are the texts themselves and what the kept bodies say, both reduced to letters and digits, so that white
-space, mark-up and punctuation don't matter. Copies collapse to one value by hash; the values are range-sorted, and
-in sorted order the longer copies of a value follow it at once: a value is cut off if the next one starts with it and
-goes on in the same paragraph. Lengths at which a source's texts are found cut again and again are its limits, and
-texts of that source that stop inside a sentence at a limit are cut too, copy or none. A body that stops before its
-stated length, or inside its text, cuts the text made from it.
+space, mark-up and punctuation don't matter. Prefixes are hashed at fixed lengths, the rungs: a value that ends between
+two rungs can only be continued by values that share its prefix at the lower one. So every value tells its length
+under that prefix, longer values learn by an equi-join the lengths that end within them, hash their own prefixes of
+those lengths, and a value is cut off if such a hash equals its own and the longer copy goes on in the same paragraph.
+Only hashes, lengths and each long value once are shuffled; nothing depends on partitions or their order.
+
+Lengths at which a source's texts are found cut again and again are its limits, and texts of that source that stop
+inside a sentence at a limit are cut too, copy or none. A body that stops before its stated length, or inside its
+text, cuts the text made from it.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.runtime import cut, take_bounded
+from cytoloom.runtime import cut, take_bounded, to_arrow
 
 _BLOCK = re.compile(r"(?i)</?(?:p|div|h[1-6]|nav|footer|header|section|article|aside|main|ul|ol|li|table|tr|td|th|br|pre|blockquote|body|a)\b[^>]*>")
 _TAG = re.compile(r"<[^>]*>")
@@ -47,13 +53,18 @@ def text_core(text: str) -> tuple[str, bool]:
     return (t[: e.start()] if e else t), bool(e)
 
 
-def _in_prose(core: str) -> bool:
-    """Whether a text ends in a word of running text, not in a menu or a copyright line."""
+def _in_prose(core: str) -> tuple[bool, bool]:
+    """Whether the end of a text's last line may be running text, not a menu or a copyright line; and whether the line
+    surely is: a long one without a number of four digits that ends in a word."""
     line = core[core.rfind("\n") + 1 :]
-    return len(line) >= 40 and bool(re.search(r"\w$", line)) and not re.search(r"©|\(c\)|[|>·»]|\d{4}|  ", line)
+    furniture = r"©|\(c\)|[|>·»]|  "
+    return not re.search(furniture, line[-60:]), not re.search(furniture, line) and len(line) >= 40 and bool(re.search(r"\w$", line)) and not re.search(r"\d{4}", line)
 
 
 def _decodings(raw: bytes, headers: str | None) -> Iterator[str]:
+    if raw.isascii():  # every charset here says the same
+        yield raw.decode("ascii")
+        return
     stated = [m.decode("ascii", "replace") for m in _CHARSET.findall((headers or "").encode("utf-8", "replace")) + _CHARSET.findall(raw[:2048])]
     for c in dict.fromkeys(["utf-8", *[s.lower() for s in stated], "cp1252", "latin-1", "iso-8859-2", "cp1251", "cp1250"]):
         try:
@@ -62,6 +73,12 @@ def _decodings(raw: bytes, headers: str | None) -> Iterator[str]:
             continue
 
 
+def _lines(text: str) -> tuple[str, list[int]]:
+    """The key of a text and its lengths at the ends of lines."""
+    keys = [k for k in map(key_of, text.split("\n")) if k]
+    return "".join(keys), list(accumulate(map(len, keys)))
+
+
 def body_value(page: str) -> tuple[str, list[int], int, bool]:
     """Of a page: its key, the lengths of the key at which paragraphs end, the length at which the last paragraph of
     content ends (menus and footers may follow), and whether the page stops inside text."""
@@ -69,39 +86,58 @@ def body_value(page: str) -> tuple[str, list[int], int, bool]:
     is_open = bool(page.strip()) and not page.rstrip().endswith(">")
     at = max(page.lower().rfind(e) for e in _CONTENT_ENDS)
     head, tail = (page, "") if is_open or at < 0 else (page[:at], page[at:])
-    parts, breaks, n = [], [], 0
-    content = 0
-    for k, part in enumerate((head, tail)):
-        plain = html.unescape(html.unescape(_TAG.sub(" ", _BLOCK.sub("\n", _TAG_CUT.sub("", part)))))
-        for line in plain.split("\n"):
-            key = key_of(line)
-            if key:
-                parts.append(key)
-                n += len(key)
-                breaks.append(n)
-        if not k:
-            content = n
-    return "".join(parts), breaks, content, is_open
+    said = [_lines(html.unescape(html.unescape(_TAG.sub(" ", _BLOCK.sub("\n", _TAG_CUT.sub("", part)))))) for part in (head, tail)]
+    content = len(said[0][0])
+    return said[0][0] + said[1][0], said[0][1] + [content + n for n in said[1][1]], content, is_open
 
 
-VALUES = "doc_id long, source string, is_text boolean, h1 long, h2 long, key string, breaks array<int>, content int, chars int, bytes int, ellipsis boolean, stops boolean, broken boolean, own string, body int, prose boolean"
+def rungs(n: int, least: int) -> list[int]:
+    """The lengths up to ``n`` at which prefixes are hashed: ``least``, then each half as long again."""
+    out, at = [], least
+    while at <= n:
+        out.append(at)
+        at += max(1, at // 2)
+    return out
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix_hashes(key: str, lengths: list[int]) -> list[bytes]:
+    """A 16-byte hash of each prefix, for ascending lengths; the key is read once."""
     import hashlib
 
-    names = [c.split()[0] for c in VALUES.split(", ")]
+    h, done, out = hashlib.blake2b(digest_size=16), 0, []
+    for n in lengths:
+        h.update(key[done:n].encode("utf-8", "replace"))
+        out.append(h.copy().digest())
+        done = n
+    return out
+
+
+VALUES = (
+    "doc_id long, source string, is_text boolean, h1 long, h2 long, n int, key string, breaks array<int>, content int, anchors array<long>, "
+    "chars int, bytes int, ellipsis boolean, stops boolean, broken boolean, own string, own_longer boolean, body int, in_text boolean, prose boolean"
+)
+
+
+def _values(batches: Iterator[pa.RecordBatch], least: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):  # few texts at a time
         rows: list[tuple] = []
+
+        def add(doc, source, is_text, key, breaks, content, *more):
+            steps = rungs(len(key), least)
+            hashes = prefix_hashes(key, [*steps, len(key)])
+            h1, h2 = np.frombuffer(hashes[-1], dtype="<i8").tolist()
+            anchors = [int.from_bytes(h[:8], "little", signed=True) for h in hashes[:-1]]
+            rows.append((doc, source, is_text, h1, h2, len(key), key, breaks, content, anchors, *(more or [None] * 10)))
+
         for doc, source, text, raw, headers in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text", "raw_bytes", "headers"))):
-            key, core, ellipsis, stops = "", "", False, False
+            key, lines, core, ellipsis, stops = "", [], "", False, False
             if text and text.strip():
                 core, ellipsis = text_core(text)
-                key = key_of(html.unescape(core))
-                stops = not _SENTENCE_END.search(text.rstrip()) or "�" in text.rstrip()[-1:]
+                key, lines = _lines(html.unescape(core))
+                stops = not _SENTENCE_END.search(text.rstrip()) or "\ufffd" in text.rstrip()[-1:]
             broken, page = False, None
             if raw:
-                for i, decoded in enumerate(_decodings(raw, headers)):
+                for decoded in _decodings(raw, headers):
                     value = body_value(decoded)
                     if page is None or (key and value[0].startswith(key)):
                         page = value
@@ -111,107 +147,104 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 broken = page[3] or bool(stated and int(stated.group(1)) > len(raw))
             if key:
                 own = "none" if page is None or not page[0] else "equal" if page[0] == key else "longer" if page[0].startswith(key) else "other"
-                rows.append((doc, source, True, key, None, None, len(core), len(core.encode("utf-8", "replace")), ellipsis, stops, broken, own, len(raw) if raw else None, _in_prose(core)))
+                add(doc, source, True, key, lines, None, len(core), len(core.encode("utf-8", "replace")), ellipsis, stops, broken, own, own == "longer" and _goes_on(len(key), page[1], page[2]), len(raw) if raw else None, *_in_prose(core))
             if page is not None and page[0] and page[0] != key:
-                rows.append((doc, source, False, page[0], page[1], page[2], None, None, None, None, None, None, None, None))
-        if not rows:
-            continue
-        cols = list(zip(*rows))
-        digest = [hashlib.blake2b(k.encode("utf-8", "replace"), digest_size=16).digest() for k in cols[3]]
-        h = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
-        data = dict(zip([n for n in names if n not in ("h1", "h2")], cols)) | {"h1": h[:, 0], "h2": h[:, 1]}
-        types = {"breaks": pa.list_(pa.int32()), "content": pa.int32(), "chars": pa.int32(), "bytes": pa.int32(), "key": pa.string(), "source": pa.string(), "doc_id": pa.int64(), "is_text": pa.bool_(), "ellipsis": pa.bool_(), "stops": pa.bool_(), "broken": pa.bool_(), "own": pa.string(), "body": pa.int32(), "prose": pa.bool_()}
-        out = [pa.array(data[n], type=types.get(n)) for n in names]
-        yield pa.RecordBatch.from_arrays(out, names=names)
-
-
-def _cut_here(key: str, longer: str, breaks: list[int] | None, content: int | None) -> bool:
-    n = len(key)
-    return longer.startswith(key) and n not in (breaks or ()) and (content is None or n < content)
+                add(doc, source, False, page[0], page[1], page[2])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-FOUND = "h1 long, h2 long, cut boolean, edge boolean, key string, breaks array<int>, content int"
+def _goes_on(n: int, breaks: list[int] | None, content: int | None) -> bool:
+    """Whether a value that says more than ``n`` letters goes on within a paragraph of its content there."""
+    return n not in (breaks or ()) and (content is None or n < content)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-    """Over values in sorted order: those the next value continues. With ``edges`` the first and last value of the
-    stream are given too, as they have neighbours in other partitions."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("cut", pa.bool_()), ("edge", pa.bool_()), ("key", pa.string()), ("breaks", pa.list_(pa.int32())), ("content", pa.int32())])
-    last = None
-    first = True
-    out: list[tuple] = []
+def _prefixes(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Hashes of the prefixes of each value that it goes on from, at the lengths it was told."""
     for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
-        for row in zip(*(b.column(c).to_pylist() for c in ("h1", "h2", "key", "breaks", "content"))):
-            h1, h2, key, breaks, content = row
-            if last is not None and _cut_here(last[2], key, breaks, content):
-                out.append((last[0], last[1], True, False, None, None, None))
-            if first and edges:
-                out.append((h1, h2, False, True, key, breaks, content))
-            first, last = False, row
+        out: list[bytes] = []
+        for key, breaks, content, told in zip(*(b.column(c).to_pylist() for c in ("key", "breaks", "content", "told"))):
+            ends = set(breaks or ())
+            out += prefix_hashes(key, [n for n in sorted(set(told)) if n < len(key) and _goes_on(n, ends, content)])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-            out = []
-    if last is not None and edges:
-        yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((last[0], last[1], False, True, *last[2:]), schema)], schema=schema)
+            h = np.frombuffer(b"".join(out), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1])], schema=schema)
 
 
-def _body_limits(broken: DataFrame, least: int, near: int = 256) -> DataFrame:
-    """(source, body, low, high): the sizes at which a source cuts bodies, and between how many bytes their texts end.
+def continued(v: DataFrame) -> DataFrame:
+    """(h1, h2) of the values that a longer one goes on from. ``v`` has VALUES."""
+    long_ = v.where("size(anchors) > 0")
+    # what ends above a rung, told to all that share the prefix up to it and are longer
+    ends = long_.groupBy(F.element_at("anchors", -1).alias("anchor")).agg(F.collect_set("n").alias("told"), F.min("n").alias("_least"))
+    has = long_.select("doc_id", "is_text", "n", F.explode("anchors").alias("anchor"))
+    told = has.join(ends, "anchor").where(F.col("n") > F.col("_least"))
+    told = told.select("doc_id", "is_text", F.filter("told", lambda e: e < F.col("n")).alias("told")).groupBy("doc_id", "is_text").agg(F.array_distinct(F.flatten(F.collect_list("told"))).alias("told"))
+    texts = v.select("doc_id", "is_text", "key", "breaks", "content").join(told, ["doc_id", "is_text"]).select("key", "breaks", "content", "told")
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64())])
+    return texts.mapInArrow(lambda it: _prefixes(it, schema), "h1 long, h2 long").distinct()
+
+
+def _common_sizes(at: DataFrame, keys: list[str], size: str, least: int, near: int = 256) -> DataFrame:
+    """Rows of ``at`` (keys, size, cases) whose size is a limit of its keys.
 
     Transfers break anywhere, so with enough rows several break at one size by chance. A size is a limit if at least
-    ``least`` different texts of its source end there, eight times as many as on average at the sizes around it (its
-    block of ``near`` bytes and the two beside it), and if that many at any of the source's sizes would come by chance
-    once in a thousand times at most (Chernoff's bound for Poisson counts)."""
-    at = broken.where("body is not null").groupBy("source", "body").agg(F.countDistinct("value").alias("cases"), F.percentile_approx("bytes", [0.01, 0.99], 10_000).alias("ends"))
-    at = cut(at.withColumn("_b", F.floor(F.col("body") / near)))
-    blocks = at.groupBy("source", "_b").agg(F.sum("cases").alias("_n"), F.min("body").alias("_lo"), F.max("body").alias("_hi"))
-    around = blocks.withColumn("_b", F.explode(F.array(*[F.col("_b") + i for i in (-1, 0, 1)]))).groupBy("source", "_b").agg(F.sum("_n").alias("_n"), (F.max("_hi") - F.min("_lo") + 1).alias("_span"))
-    sizes = blocks.groupBy("source").agg((F.max("_hi") - F.min("_lo") + 1).alias("_sizes"))
-    some = at.where(F.col("cases") >= least).join(around, ["source", "_b"]).join(sizes, "source")
+    ``least`` different texts end there, eight times as many as on average at the sizes around it (its block of
+    ``near`` and the two beside it), and if that many at any of the keys' sizes would come by chance once in a
+    thousand times at most (Chernoff's bound for Poisson counts)."""
+    at = cut(at.withColumn("_b", F.floor(F.col(size) / near)))
+    blocks = at.groupBy(*keys, "_b").agg(F.sum("cases").alias("_n"), F.min(size).alias("_lo"), F.max(size).alias("_hi"))
+    around = blocks.withColumn("_b", F.explode(F.array(*[F.col("_b") + i for i in (-1, 0, 1)]))).groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), (F.max("_hi") - F.min("_lo") + 1).alias("_span"))
+    sizes = blocks.groupBy(*keys).agg((F.max("_hi") - F.min("_lo") + 1).alias("_sizes"))
+    some = at.where(F.col("cases") >= least).join(around, [*keys, "_b"]).join(sizes, keys)
     usual = (F.col("_n") - F.col("cases") + 1) / F.greatest("_span", F.lit(near // 4))
     rare = F.col("cases") * F.ln(F.col("cases") / usual) - F.col("cases") + usual
-    some = some.where((F.col("cases") >= 8 * usual) & (rare >= F.ln("_sizes") + math.log(1000)))
-    return some.select("source", "body", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+    return some.where((F.col("cases") >= 8 * usual) & (rare >= F.ln("_sizes") + math.log(1000))).select(*[c for c in at.columns if c != "_b"])
+
+
+def _bounded(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` as a table to broadcast if it has at most ``limit`` rows."""
+    rows = take_bounded(df, limit)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def truncated_texts(docs: DataFrame, least: int = 24, limit_cases: int = 5) -> DataFrame:
     """(doc_id, source, by) of every text that was cut: ``by`` is 'copy' (a longer copy goes on), 'transfer' (its body
-    is broken) or 'limit' (it stops at a length at which its source's texts are cut,
-    or where texts stop whose bodies that source cut at a size far commoner than those near it). A text that says all that its own
-    kept page says is whole, unless that page is broken.
+    is broken) or 'limit' (it stops at a length at which its source's texts are cut, or where texts stop whose bodies that
+    source cut, each far commoner than the lengths near it). A text that says all that its own kept page says is whole,
+    unless that page is broken.
 
     ``docs`` has doc_id, source, text, raw_bytes and headers. Values under ``least`` letters and digits are no evidence
     of each other, unless one is the body of the other's own record. A length is a limit of a source if at least
-    ``limit_cases`` of its texts were found cut there by longer copies. Null and blank texts are never cut; a repeated
-    doc_id is found once; null bodies and headers mean nothing; an empty table gives no rows.
+    ``limit_cases`` different texts were found cut there by longer copies, and ``_common_sizes`` holds. Null and blank
+    texts are never cut; a null source is a source like others; a repeated doc_id is found once; null bodies and headers
+    mean nothing; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", "raw_bytes", "headers").where("doc_id is not null")
-    v = cut(d.mapInArrow(_values, VALUES))
-    # one row per value; copies collapse before the shuffle. Where pages end is the widest that any copy tells.
-    seen = F.max(F.struct(F.coalesce("content", F.lit(-1)).alias("c"), "breaks", "key"))
-    values = v.groupBy("h1", "h2").agg(seen.alias("s")).select("h1", "h2", F.col("s.key").alias("key"), F.col("s.breaks").alias("breaks"), F.nullif(F.col("s.c"), F.lit(-1)).alias("content"))
-    # ranges are set by beginnings, as Spark samples what it ranges by to the driver
-    ranged = values.repartitionByRange(F.substring("key", 1, 512)).sortWithinPartitions("key")
-    scanned = cut(ranged.mapInArrow(lambda it: _neighbours(it, True), FOUND))
-    # two rows per partition: a partition's last value and the next one's first meet here
-    border = scanned.where("edge").select("h1", "h2", "key", "breaks", "content").dropDuplicates(["h1", "h2"]).repartition(1).sortWithinPartitions("key").mapInArrow(lambda it: _neighbours(it, False), FOUND)
-    cuts = scanned.where("cut").unionByName(border.where("cut")).select("h1", "h2").distinct().withColumn("longer", F.lit(True))
-    texts = v.where("is_text").select("doc_id", "source", "h1", "h2", "chars", "bytes", "ellipsis", "stops", "broken", "own", "body", "prose", F.length("key").alias("n"))
-    t = texts.join(cuts, ["h1", "h2"], "left")
+    values = to_arrow(spark, VALUES)
+    v = cut(d.mapInArrow(lambda it: _values(it, least, values), VALUES))
+    cuts = continued(v).withColumn("longer", F.lit(True))
+    src = F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("src")  # joins skip nulls
+    t = v.where("is_text").select("doc_id", "source", src, "h1", "h2", "n", "chars", "bytes", "ellipsis", "stops", "broken", "own", "own_longer", "body", "in_text", "prose").join(cuts, ["h1", "h2"], "left")
     # a text that says all its own page says is whole, whatever other copies add; without a page it must stop short
-    copied = (F.col("own") == "longer") | (F.col("own").isin("none", "other") & (F.col("n") >= least) & (F.col("stops") | F.col("ellipsis")))
-    t = cut(t.withColumn("by", F.when(F.col("longer") & copied, "copy").when(F.col("broken") & F.col("stops"), "transfer")).withColumn("value", F.xxhash64("h1", "h2")).drop("h1", "h2", "longer"))
-    unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.ceil(F.col("bytes") / 4).cast("int").alias("length"))))
-    limits = t.where("by = 'copy'").select("source", "ellipsis", unit.alias("u")).groupBy("source", "ellipsis", "u.unit", "u.length").agg(F.count("*").alias("cases")).where(F.col("cases") >= limit_cases)
-    total = t.where("by = 'copy'").groupBy("source").agg(F.count("*").alias("cut_in_source"))
-    limits = limits.join(total, "source").where(F.col("cases") >= 0.1 * F.col("cut_in_source"))
-    bodies = _body_limits(t.where("by = 'transfer'"), limit_cases)
-    at_body = t.where("by is null and own = 'none' and prose and stops").join(bodies, "source").where("bytes between low and high").select("doc_id", "source").withColumn("by", F.lit("limit"))
-    open_ = t.where("by is null and own in ('none', 'other') and (stops or ellipsis)").select("doc_id", "source", "ellipsis", unit.alias("u")).select("doc_id", "source", "ellipsis", "u.*")
-    small = take_bounded(limits.select("source", "ellipsis", "unit", "length"), 10_000)
-    known = docs.sparkSession.createDataFrame(small, limits.select("source", "ellipsis", "unit", "length").schema) if small is not None else limits.select("source", "ellipsis", "unit", "length")
-    at_limit = open_.join(F.broadcast(known) if small is not None else known, ["source", "ellipsis", "unit", "length"], "left_semi").select("doc_id", "source").distinct().withColumn("by", F.lit("limit"))
-    return t.where("by is not null").select("doc_id", "source", "by").unionByName(at_limit).unionByName(at_body).dropDuplicates(["doc_id"])
+    elsewhere = F.col("own").isin("none", "other") & F.col("longer") & (F.col("stops") | F.col("ellipsis"))
+    copied = F.col("own_longer") | ((F.col("own") == "longer") & F.col("longer")) | elsewhere
+    t = cut(t.withColumn("by", F.when(copied, "copy").when(F.col("broken") & F.col("stops"), "transfer")).withColumn("value", F.xxhash64("h1", "h2")).drop("h1", "h2", "longer", "own_longer"))
+    cut_at = t.where("by = 'copy'").select("src", "ellipsis", "value", "chars", F.ceil(F.col("bytes") / 4).cast("int").alias("quads"))
+
+    def learn(of: DataFrame, length: str) -> DataFrame:
+        n = of.groupBy("src", "ellipsis", length).agg(F.countDistinct("value").alias("cases"))
+        return _bounded(_common_sizes(n, ["src", "ellipsis"], length, limit_cases).select("src", "ellipsis", length))
+
+    in_chars = learn(cut_at, "chars")
+    # texts of so many characters have about as many bytes each: limits in bytes are learned from the others
+    in_quads = learn(cut_at.join(in_chars, ["src", "ellipsis", "chars"], "left_anti"), "quads")
+    ends = t.where("by = 'transfer' and body is not null").groupBy("src", "body").agg(F.countDistinct("value").alias("cases"), F.percentile_approx("bytes", [0.01, 0.99], 10_000).alias("ends"))
+    bodies = _bounded(_common_sizes(ends, ["src"], "body", limit_cases).select("src", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")))
+    at_body = t.where("by is null and own = 'none' and prose and stops").join(bodies, "src").where("bytes between low and high").select("doc_id", "source")
+    open_ = t.where("by is null and own in ('none', 'other') and in_text and (stops or ellipsis)").withColumn("quads", F.ceil(F.col("bytes") / 4).cast("int"))
+    at_limit = reduce(DataFrame.unionByName, [open_.join(lim, ["src", "ellipsis", c], "left_semi").select("doc_id", "source") for lim, c in ((in_chars, "chars"), (in_quads, "quads"))])
+    return t.where("by is not null").select("doc_id", "source", "by").unionByName(at_limit.unionByName(at_body).withColumn("by", F.lit("limit"))).dropDuplicates(["doc_id"])
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +261,8 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     found = truncated_texts(_docs(spark, sf))
     all_ = spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.countDistinct("doc_id").alias("documents"))
     n = lambda by: F.count(F.when(F.col("by") == by, 1)).alias(f"by_{by}")
-    r = all_.join(found.groupBy("source").agg(F.count("*").alias("cut"), n("copy"), n("transfer"), n("limit")), "source", "left").na.fill(0)
+    cuts = found.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("cut"), n("copy"), n("transfer"), n("limit"))
+    r = all_.join(cuts, all_["source"].eqNullSafe(cuts["_s"]), "left").drop("_s").na.fill(0)
     return r.withColumn("rate", F.col("cut") / F.col("documents"))
 
 

@@ -96,6 +96,28 @@ def test_crowds_of_copies_and_partition_borders(spark):
     assert all(i < 1000 for i in got)
 
 
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_the_result_does_not_depend_on_partitions(spark, parts):
+    p = prose(120) + "."
+    ends = [p[:150], p[:150] + "\n" + "Other words stand here, then more of them.", p]  # the next longer value only ends a line there
+    rows = [(i, "s", t, None, None) for i, t in enumerate(ends)] + [(10 + i, "s", prose(90, i) + ".", None, None) for i in range(60)] + [(100 + i, "s", prose(90, i)[: 100 + 3 * i], None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.doc_id: r.by for r in truncated_texts(df, limit_cases=10**6).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    whole = {t[2] for t in rows}
+    assert got == {i: "copy" for i, _, t, _, _ in rows if i in (0,) or (i >= 100 and t.rstrip()[-1] != "." and t in {w[: len(t)] for w in whole if len(w) > len(t)})}
+
+
+def test_prefixes_of_every_length_meet(spark):
+    rng = random.Random(5)
+    letters = "".join(rng.choice("abcdefghij") for _ in range(700))
+    rows = [(n, "s", letters[:n] + " ", None, None) for n in range(20, 700, 7)] + [(1000, "s", letters + ".", None, None)]
+    assert set(found(spark, rows, limit_cases=10**6)) == {n for n in range(20, 700, 7) if n >= 24}
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "s", "x" * 300_000, None, None), (None, "s", "abc", None, None), (2, None, "", b"", ""), (3, "s", "a � b", b"\xff\xfe<p>\xe9", "charset=nonsense")], SCHEMA).withColumn("key", F.lit(1))
     assert truncated_texts(df).where("doc_id = 1").count() == 0
