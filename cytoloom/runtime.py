@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -35,30 +36,47 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a new one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # each executor would write to its own disk
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone
             pass
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: later steps neither recompute it nor lose it
-    with an executor. The table is removed when the driver ends."""
+    with an executor. The table is removed when it is freed or the driver ends."""
     spark = df.sparkSession
     if not _written:
         atexit.register(_clean)
     path = f"{shared_dir(spark)}/cytoloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Remove tables that ``cut`` wrote, and that nothing still to be run reads. Others are left alone."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path is not None and (t.sparkSession, path) in _written:
+            _written.remove((t.sparkSession, path))
+            _remove(t.sparkSession, path)
 
 
 def take_bounded(df: DataFrame, limit: int) -> list | None:
