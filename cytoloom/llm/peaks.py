@@ -1,9 +1,10 @@
 """Grouping records into clusters by density peaks.
 
-Each record's density is its number of neighbours within a radius; it points to its nearest denser neighbour
-within that radius, and one that has none is a peak. Following pointers leads every record to a peak. Peaks whose
-members touch are one cluster. The neighbour joins run block by block; what crosses a block's border is
-settled by a join and by label propagation over the few labels that touch one.
+Each record's density is its number of neighbours within a radius; it points to its nearest denser neighbour, at the
+distance delta. One that has none within the radius is a peak. Neighbours are joined block by block. Inside a block
+pointers are followed at once, up to a peak or to a record beyond the block's border; the records at which they leave
+are followed on by pointer jumping over all blocks, so that every record comes to its peak. Peaks are then merged: two
+whose members touch are one cluster.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.operators.graph import components
 from cytoloom.operators.spatial import voronoi_blocks, vp_pairs
-from cytoloom.runtime import column, cut, latest, map_groups
+from cytoloom.runtime import column, cut, free, latest, map_groups
 
 
 def _resolve(pointer: np.ndarray) -> np.ndarray:
@@ -29,14 +30,27 @@ def _resolve(pointer: np.ndarray) -> np.ndarray:
         pointer = onward
 
 
+def _peaks(inner: DataFrame) -> DataFrame:
+    """``inner`` (id, ..., exit, open) with ``peak`` for exit: where pointers lead beyond a block's border."""
+    rest = [c for c in inner.columns if c not in ("exit", "open")]
+    left = inner.where("open").select(F.col("exit").alias("id")).distinct()
+    step = cut(inner.join(left, "id", "left_semi").select(F.col("id").alias("node"), F.col("exit").alias("to"), "open"))
+    while step.where("open").limit(1).count():
+        onward = step.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("open").alias("more"))
+        was, step = step, cut(step.join(onward, "to", "left").select("node", F.coalesce("far", "to").alias("to"), (F.col("open") & F.coalesce("more", F.lit(False))).alias("open")))
+        free(was)
+    return inner.join(step.select(F.col("node").alias("exit"), "to"), "exit", "left").select(*rest, F.coalesce("to", "exit").alias("peak"))
+
+
 def density_peaks(points: DataFrame, group: Sequence[str], coords: Sequence[str], id_col: str, radius: float, cap: int = 1024) -> DataFrame:
-    """(id, density, denser, peak, label) of every point with usable coordinates and a non-null id and group.
+    """(id, density, denser, delta, peak, label) of every point with usable coordinates and a non-null id and group.
 
     density: points of its group within ``radius``, itself included. denser: id of its nearest denser neighbour
-    within the radius, null for a peak; of equally dense points the one of smaller id is the denser. peak: where the
-    pointers lead within its block, the id of a peak or of the last point before the border. label: the least id of
-    its cluster. Points at one place are one point of that weight: they share density and label, and point to
-    the least id among them. Ids must be unique; an empty table gives no rows; other columns are ignored.
+    within the radius, and delta the distance to it, null for a peak; of equally dense points the one of smaller id is
+    the denser, of equally near ones the densest. peak: where its pointers lead, its own id for a peak. label: the least
+    id of its cluster, all points whose peaks are linked by touching members. Points at one place are one point of that
+    weight: they share density, peak and label, and point to the least id among them. Nothing depends on ``cap``. Ids must
+    be unique; an empty table gives no rows; other columns are ignored.
     """
     gs, xs = [f"g{i}" for i in range(len(group))], [f"x{i}" for i in range(len(coords))]
     p = points.select(*[F.col(c).alias(a) for c, a in zip(group, gs)], F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, xs)])
@@ -63,51 +77,52 @@ def density_peaks(points: DataFrame, group: Sequence[str], coords: Sequence[str]
         i2, j2, d2 = i[up], j[up], d[up]
         o = np.lexsort((rank[j2], d2, i2))
         first = np.flatnonzero(np.diff(i2[o], prepend=-1))
-        denser = np.full(len(x), -1)
-        denser[i2[o][first]] = j2[o][first]
-        pointer = np.where(denser >= 0, denser, np.arange(len(x)))
-        peak = _resolve(pointer)
-        # clusters inside the block: peaks whose core members touch become one, under the least core id
-        label = ids[peak]
-        links = core[i] & core[j]
-        label = _merge(ids, peak, i[links], j[links], core)
-        cross = core[i] & ~core[j]
+        denser, delta = np.full(len(x), -1), np.full(len(x), np.nan)
+        denser[i2[o][first]], delta[i2[o][first]] = j2[o][first], d2[o][first]
+        last = _resolve(np.where(denser >= 0, denser, np.arange(len(x))))
         rows = np.flatnonzero(core)
-        edges = np.unique(np.column_stack([label[i[cross]], ids[j[cross]]]), axis=0) if cross.any() else np.empty((0, 2), np.int64)
-        n, m = len(rows), len(edges)
-        none = pa.nulls(m, pa.int64())
+        # ends of pointers whose members touch inside the block are linked to one of them, and that one to what it touches outside
+        lead = np.where(core, last, np.arange(len(x)))
+        inside = core[i] & core[j]
+        root = _linked(lead[i[inside]], lead[j[inside]], len(x))
+        ends = np.unique(last[rows])
+        ends = ends[root[ends] != ends]
+        cross = core[i] & ~core[j]
+        beyond = np.unique(np.column_stack([root[lead[i[cross]]], j[cross]]), axis=0) if cross.any() else np.empty((0, 2), np.int64)
+        n, m = len(rows), len(ends) + len(beyond)
+        none = lambda k, kind: pa.nulls(k, kind)
         return pa.table({
-            "id": np.concatenate([ids[rows], edges[:, 1]]),
-            "density": pa.concat_arrays([pa.array(density[rows]), none]),
-            "denser": pa.concat_arrays([pa.array(ids[denser[rows]], mask=denser[rows] < 0), none]),
-            "peak": pa.concat_arrays([pa.array(ids[peak[rows]]), none]),
-            "label": np.concatenate([label[rows], edges[:, 0]]),
-            "edge": np.concatenate([np.zeros(n, bool), np.ones(m, bool)]),
+            "id": pa.concat_arrays([pa.array(ids[rows]), pa.array(ids[ends]), pa.array(ids[beyond[:, 1]])]),
+            "density": pa.concat_arrays([pa.array(density[rows]), none(m, pa.int64())]),
+            "denser": pa.concat_arrays([pa.array(ids[denser[rows]], mask=denser[rows] < 0), none(m, pa.int64())]),
+            "delta": pa.concat_arrays([pa.array(delta[rows], mask=denser[rows] < 0), none(m, pa.float64())]),
+            "exit": pa.concat_arrays([pa.array(ids[last[rows]]), pa.array(ids[root[ends]]), pa.array(ids[beyond[:, 0]])]),
+            "open": pa.concat_arrays([pa.array(~core[last[rows]]), none(m, pa.bool_())]),
+            "edge": np.concatenate([np.zeros(n, np.int8), np.ones(m, np.int8)]).astype(bool),
         })
 
-    out = cut(map_groups(blocks, [*gs, "block"], local, "id long, density long, denser long, peak long, label long, edge boolean"))
-    inner = out.where("not edge").drop("edge")
-    edges = out.where("edge").select(F.col("label").alias("a"), "id").join(inner.select("id", F.col("label").alias("b")), "id").select("a", "b").distinct()
-    edges = cut(edges)
-    if edges.limit(1).count():
-        touched = components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), edges)
-        inner = inner.join(touched.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left").select("id", "density", "denser", "peak", F.coalesce("whole", "label").alias("label"))
-    place = inner.withColumnRenamed("id", "first")
-    at = places.select(F.col("id").alias("first"), *gs, *xs)
-    alone = place.join(at, "first")
+    out = cut(map_groups(blocks, [*gs, "block"], local, "id long, density long, denser long, delta double, exit long, open boolean, edge boolean"))
+    inner = cut(_peaks(out.where("not edge").drop("edge")))
+    peak_of = inner.select("id", "peak")
+    edges = out.where("edge").select("id", F.col("exit").alias("_e")).join(peak_of.withColumnRenamed("peak", "a"), "id")
+    edges = edges.join(peak_of.select(F.col("id").alias("_e"), F.col("peak").alias("b")), "_e").where("a <> b").select("a", "b").distinct()
+    least = cut(inner.groupBy("peak").agg(F.min("id").alias("least")))
+    whole = cut(components(least.select(F.col("peak").alias("node")), cut(edges)).join(least.withColumnRenamed("peak", "node"), "node"))
+    labels = whole.groupBy("label").agg(F.min("least").alias("least")).join(whole.select("label", "node"), "label")
+    place = inner.join(labels.select(F.col("node").alias("peak"), F.col("least").alias("label")), "peak").withColumnRenamed("id", "first")
+    cols = ["density", "denser", "delta", "peak", "label"]
     if places.where("weight > 1").limit(1).count() == 0:
-        return alone.select(F.col("first").alias("id"), "density", "denser", "peak", "label")
-    return p.join(alone, [*gs, *xs]).select("id", "density", F.when(F.col("id") == F.col("first"), F.col("denser")).otherwise(F.col("first")).alias("denser"), "peak", "label")
+        return place.select(F.col("first").alias("id"), *cols)
+    other = F.col("id") != F.col("first")
+    onto = p.join(places.select(F.col("id").alias("first"), *gs, *xs), [*gs, *xs]).select("id", "first").join(place, "first")
+    return onto.withColumns({"denser": F.when(other, F.col("first")).otherwise(F.col("denser")), "delta": F.when(other, 0.0).otherwise(F.col("delta"))}).select("id", *cols)
 
 
-def _merge(ids: np.ndarray, peak: np.ndarray, i: np.ndarray, j: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """The least core id of each core point's cluster in the block: pointers give groups, links join them."""
-    lead = np.where(core, peak, np.arange(len(ids)))
-    # a pointer that leaves the block leads to a copy; its core followers are still one group
-    a, b = lead[i], lead[j]
+def _linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Each number's least one among those that links (a, b) lead to."""
+    root = np.arange(n)
     differ = a != b
     a, b = a[differ], b[differ]
-    root = np.arange(len(ids))
     while len(a):
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -116,10 +131,7 @@ def _merge(ids: np.ndarray, peak: np.ndarray, i: np.ndarray, j: np.ndarray, core
         root = _resolve(root)
         if (root == before).all():
             break
-    whole = root[lead]
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, whole[core], ids[core])
-    return least[whole]
+    return root
 
 
 STEP_PX, LEAST = 22.125, 12
@@ -148,20 +160,34 @@ def p6_described(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.col("label").alias("cluster_key"), F.col("count").alias("cells"), "place", F.col("id").alias("typical_key"), "density")
 
 
-QUERIES = {"p6_found": p6_found, "p6_described": p6_described}
+def p6_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell of round 1 with its density, nearest denser cell and the peak its pointers lead to."""
+    d = density_peaks(_round_one(spark, sf), ["slide_id"], ["centroid_x", "centroid_y"], "cell_key", STEP_PX)
+    return d.select(F.col("id").alias("cell_key"), "density", F.col("denser").alias("denser_key"), F.round("delta", 6).alias("delta"), F.col("peak").alias("peak_key"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_described": p6_described, "p6_peaks": p6_peaks}
 
 _P6 = """
 WITH RECURSIVE r AS (SELECT cell_key, max_by(slide_id, ingested_at) AS s, max_by(round_no, ingested_at) AS rn, max_by(centroid_x, ingested_at) AS x, max_by(centroid_y, ingested_at) AS y FROM cell_features GROUP BY cell_key),
 u AS (SELECT *, floor(x / 22.125) AS gx, floor(y / 22.125) AS gy FROM r WHERE rn = 1 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
 o AS (SELECT unnest([-1, 0, 1]) AS d), w AS (SELECT u.*, gx + a.d AS nx, gy + b.d AS ny FROM u, o a, o b),
-e AS MATERIALIZED (SELECT a.cell_key AS a, b.cell_key AS b FROM w a JOIN u b ON a.s = b.s AND a.nx = b.gx AND a.ny = b.gy WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 22.125),
+e AS MATERIALIZED (SELECT a.cell_key AS a, b.cell_key AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist FROM w a JOIN u b ON a.s = b.s AND a.nx = b.gx AND a.ny = b.gy WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 22.125),
+d AS (SELECT a AS node, count(*) AS density FROM e GROUP BY a),
 l AS (SELECT cell_key AS node, cell_key AS label FROM u UNION SELECT e.b, l.label FROM l JOIN e ON e.a = l.node WHERE l.label < e.b),
 m AS (SELECT node, min(label) AS label FROM l GROUP BY node),
 n AS (SELECT label, count(*) AS cells FROM m GROUP BY label HAVING count(*) >= 12)"""
 
 SQL = {
     "p6_found": f"{_P6} SELECT label AS cluster_key, node AS cell_key FROM m JOIN n USING (label)",
-    "p6_described": f"""{_P6}, d AS (SELECT a AS node, count(*) AS density FROM e GROUP BY a)
+    "p6_described": f"""{_P6}
 SELECT label AS cluster_key, cells, CAST(place AS INTEGER) AS place, node AS typical_key, density FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY density DESC, node) AS place FROM m JOIN n USING (label) JOIN d USING (node)) WHERE place <= 3""",
+    "p6_peaks": f"""{_P6},
+up AS (SELECT e.a AS node, e.b AS denser, e.dist AS delta, row_number() OVER (PARTITION BY e.a ORDER BY e.dist, q.density DESC, e.b) AS place
+  FROM e JOIN d p ON p.node = e.a JOIN d q ON q.node = e.b WHERE q.density > p.density OR (q.density = p.density AND e.b < e.a)),
+t AS (SELECT d.node, d.density, up.denser, up.delta FROM d LEFT JOIN up ON up.node = d.node AND up.place = 1),
+walk AS (SELECT node, node AS at FROM t UNION ALL SELECT walk.node, t.denser FROM walk JOIN t ON t.node = walk.at WHERE t.denser IS NOT NULL)
+SELECT t.node AS cell_key, t.density, t.denser AS denser_key, round(t.delta, 6) AS delta, walk.at AS peak_key
+FROM t JOIN walk ON walk.node = t.node JOIN t z ON z.node = walk.at WHERE z.denser IS NULL""",
 }

@@ -38,9 +38,20 @@ def test_labels_and_densities_equal_brute_force(spark, cap):
     label, dens = truth(x, ids, groups, 1.0)
     assert {i: r.label for i, r in got.items()} == label
     assert {i: r.density for i, r in got.items()} == dens
-    for r in got.values():
-        if r.denser is not None:
-            assert got[r.denser].density >= r.density and got[r.denser].label == r.label
+    best = {}
+    for g in set(groups):
+        at = [i for i in range(len(x)) if groups[i] == g]
+        for i in at:
+            d = np.sqrt(((x[at] - x[i]) ** 2).sum(1))
+            up = [(float(d[k]), -dens[int(ids[j])], int(ids[j])) for k, j in enumerate(at) if d[k] <= 1.0 and (-dens[int(ids[j])], ids[j]) < (-dens[int(ids[i])], ids[i])]
+            best[int(ids[i])] = min(up) if up else None
+    assert {i: r.denser for i, r in got.items()} == {i: b and b[2] for i, b in best.items()}
+    assert all(r.delta == pytest.approx(best[i][0]) if best[i] else r.delta is None for i, r in got.items())
+    for i, r in got.items():
+        at = i
+        while best[at]:
+            at = best[at][2]
+        assert r.peak == at and got[at].label == r.label
 
 
 def test_edges(spark):
