@@ -12,20 +12,26 @@ from pyspark.sql import functions as F
 from cytoloom.runtime import latest
 
 
-def best_cuts(start: int, end: int, gaps: list[int], longest: int, shortest: int, hard: float = 1.0, balance: float = 0.0) -> list[int]:
+def best_cuts(start: int, end: int, gaps: list[int], longest: int, shortest: int, hard: float = 1.0, balance: float | None = None) -> list[int]:
     """The cut positions of least cost within (start, end).
 
     States are boundary positions, taken from right to left. While more than ``longest`` remains, a piece that
     starts at s may end at any gap in [s + shortest, s + longest]; where there is none, at s + longest, a hard
     cut. What remains otherwise is the last piece.
-    With ``balance`` 0 costs are compared from the left: a piece is the better the longer it is, piece by piece.
-    Else the sum over pieces of ``hard`` per hard cut plus ``balance`` x (1 - length/longest)**2 is least, and
-    among equals the earlier piece is the longer.
+    With ``balance`` the cost is the sum over pieces of ``hard`` per hard cut plus ``balance`` x (1 - length/longest)**2,
+    and among equals the earlier piece is the longer. Without it costs are ordered lists, a piece's being what it lacks
+    to ``longest`` and whether its cut is hard: the first piece's weighs more than all that follow, and so on.
     """
     inside = sorted({g for g in gaps if start < g < end})
     known = set(inside)
-    best: dict[int, tuple[float, int | None]] = {}
-    waste = lambda n: balance * (1 - n / longest) ** 2
+    if balance is None:
+        piece = lambda s, t: (longest - (t - s), t not in known and t != end)
+        join = lambda first, rest: (first, *rest)
+        last = lambda s: (piece(s, end),)
+    else:
+        piece = lambda s, t: balance * (1 - (t - s) / longest) ** 2 + hard * (t not in known and t != end)
+        join = lambda first, rest: rest + first
+        last = lambda s: piece(s, end)
     # positions that cuts can reach: gaps and what hard cuts from a reached position give
     reach, seen = [start], {start}
     for s in reach:
@@ -34,15 +40,13 @@ def best_cuts(start: int, end: int, gaps: list[int], longest: int, shortest: int
                 if t not in seen:
                     seen.add(t)
                     reach.append(t)
+    best: dict[int, tuple] = {}  # cost from here on, next cut
     for s in sorted(seen, reverse=True):
         if end - s <= longest:
-            best[s] = (waste(end - s), None)
-            continue
-        ends = _ends(s, inside, longest, shortest)
-        step = 0.0 if ends[0] in known else hard
-        # compared from the left, the first piece decides: two options never have it of one length
-        cost, t = min(((best[t][0] + waste(t - s) + step if balance else 0.0), -t) for t in ends)
-        best[s] = (cost, -t)
+            best[s] = (last(s), None)
+        else:
+            cost, t = min((join(piece(s, t), best[t][0]), -t) for t in _ends(s, inside, longest, shortest))
+            best[s] = (cost, -t)
     cuts, s = [], start
     while best[s][1] is not None:
         s = best[s][1]
@@ -58,28 +62,34 @@ def _ends(s: int, inside: list[int], longest: int, shortest: int) -> list[int]:
 PIECES = "array<struct<a:int,b:int>>"
 
 
-def cut_pieces(start: Column, end: Column, gaps: Column, longest: int, shortest: int, balance: float = 0.0) -> Column:
-    """The pieces [a, b) of each interval, as an array; null where the interval is missing, empty or turned round.
-    Gaps may be null, unsorted, repeated or outside the interval."""
+def cut_pieces(axes: dict[str, tuple[Column, Column, Column]], longest: int, shortest: int, balance: float | None = None) -> Column:
+    """A struct with the pieces [a, b) of each axis (start, end, gaps), as arrays; null where the interval is missing, empty
+    or turned round. Gaps may be null, unsorted, repeated or outside the interval. All axes go through one call."""
 
-    @F.pandas_udf(PIECES)
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for s, e, g in batches:
-            out = []
-            for a, b, gaps_ in zip(s, e, g):
-                if pd.isna(a) or pd.isna(b) or b <= a:
-                    out.append(None)
-                    continue
-                a, b = int(a), int(b)
-                known = [int(x) for x in gaps_ if x is not None and not pd.isna(x)] if gaps_ is not None else []
-                at = [a, *best_cuts(a, b, known, longest, shortest, balance=balance), b]
-                out.append([{"a": p, "b": q} for p, q in zip(at[:-1], at[1:])])
-            yield pd.Series(out, dtype=object)
+    names = list(axes)
 
-    return cut(start, end, gaps)
+    @F.pandas_udf(", ".join(f"{a} {PIECES}" for a in names))
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            yield pd.DataFrame({a: pd.Series(pieces(*cols[3 * i : 3 * i + 3]), dtype=object) for i, a in enumerate(names)})
 
+    def pieces(starts: pd.Series, ends: pd.Series, gaps: pd.Series) -> list:
+        out = []
+        for a, b, g in zip(starts, ends, gaps):
+            if pd.isna(a) or pd.isna(b) or b <= a:
+                out.append(None)
+                continue
+            a, b = int(a), int(b)
+            known = [int(x) for x in g if x is not None and not pd.isna(x)] if g is not None else []
+            at = [a, *best_cuts(a, b, known, longest, shortest, balance=balance), b]
+            out.append([{"a": p, "b": q} for p, q in zip(at[:-1], at[1:])])
+        return out
 
-def split_tiles(tiles: DataFrame, longest: int = 1024, shortest: int = 128, overlap: int = 64, balance: float = 0.0) -> DataFrame:
+    # said to be indeterminate, else what explodes its result would run it a second time to look for empty ones
+    return cut.asNondeterministic()(*[c for axis in axes.values() for c in axis])
+
+
+def split_tiles(tiles: DataFrame, longest: int = 1024, shortest: int = 128, overlap: int = 64, balance: float | None = None) -> DataFrame:
     """Tiles whose core is over ``longest`` on an axis, as tiles that fit: both axes are cut by themselves and every
     row piece meets every column piece. A piece's window is its core widened by ``overlap``, within the tile's
     window; a missing window bound doesn't limit it. A tile delivered again counts once, by its latest
@@ -89,8 +99,9 @@ def split_tiles(tiles: DataFrame, longest: int = 1024, shortest: int = 128, over
     t = latest(tiles, ["tile_id"], ["ingested_at"], cols)
     wide = lambda a, b: F.col(b).cast("long") - F.col(a) > longest
     t = t.where("core_y1 > core_y0 and core_x1 > core_x0").where(wide("core_y0", "core_y1") | wide("core_x0", "core_x1"))
-    t = t.withColumns({"rows": cut_pieces(F.col("core_y0"), F.col("core_y1"), F.col("row_gaps"), longest, shortest, balance), "columns": cut_pieces(F.col("core_x0"), F.col("core_x1"), F.col("col_gaps"), longest, shortest, balance)})
-    t = t.select("tile_id", "y0", "y1", "x0", "x1", F.explode("rows").alias("r"), "columns").select("*", F.explode("columns").alias("c"))
+    axes = {"rows": ("core_y0", "core_y1", "row_gaps"), "columns": ("core_x0", "core_x1", "col_gaps")}
+    t = t.withColumn("p", cut_pieces({a: tuple(map(F.col, c)) for a, c in axes.items()}, longest, shortest, balance))
+    t = t.select("tile_id", "y0", "y1", "x0", "x1", F.explode("p.rows").alias("r"), "p.columns").select("*", F.explode("columns").alias("c"))
     return t.select("tile_id", F.col("r.a").alias("core_y0"), F.col("r.b").alias("core_y1"), F.col("c.a").alias("core_x0"), F.col("c.b").alias("core_x1"), F.greatest(F.col("r.a") - overlap, "y0").alias("y0"), F.least(F.col("r.b") + overlap, "y1").alias("y1"), F.greatest(F.col("c.a") - overlap, "x0").alias("x0"), F.least(F.col("c.b") + overlap, "x1").alias("x1"))
 
 

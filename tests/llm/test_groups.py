@@ -3,7 +3,7 @@ import random
 import pytest
 
 from cytoloom.llm.split import best_cuts, split_tiles
-from cytoloom.llm.topn import p2_found, standing_matches, top_per_group
+from cytoloom.llm.topn import hot_size, p2_found, standing_matches, top_per_group
 
 
 @pytest.mark.parametrize("hot,listed", [(10_000, 100), (50, 100), (50, 1)])
@@ -24,6 +24,16 @@ def test_top_n_edges(spark):
     assert top_per_group(df.limit(0), ["g"], ["s"], 3).count() == 0
 
 
+def test_heavy_groups_follow_the_size_of_the_table(spark):
+    assert [hot_size(n, 8) for n in (0, 100, 10**6, 10**9)] == [1000, 1000, 7812, 7812500]
+    df = spark.range(40_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 400)) AS g", "hash(id) % 1000 AS s", "id")
+    best = top_per_group(df, ["g"], ["s", "id"], 3)
+    plan = best._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "rangepartitioning" in plan and "Union" in plan
+    want = {(r.g, r.id) for r in df.selectExpr("*", "row_number() over (partition by g order by s, id) as p").where("p <= 3").collect()}
+    assert {(r.g, r.id) for r in best.collect()} == want
+
+
 def test_patches_and_standing_rows(spark):
     q = """SELECT * FROM VALUES (1L,'s',0L,0L,0.5D,'(0, 1)',timestamp'2025-01-01'), (2L,'s',0L,0L,0.1D,'[2 1]',timestamp'2025-01-02'), (3L,'s',0L,1L,0.2D,'1/2',timestamp'2025-01-01'),
       (4L,'s',1L,1L,0.2D,'(1,0)',timestamp'2025-01-01'), (5L,'s',2L,2L,0.2D,'none',timestamp'2025-01-01'), (6L,'s',3L,2L,0.2D,NULL,timestamp'2025-01-01') AS v(match_id,slide_id,idx1,idx2,distance,patch_id,ingested_at)"""
@@ -53,6 +63,16 @@ def test_leftmost_longest_cuts():
         assert best_cuts(a, b, gaps, 1024, 128) == greedy(a, b, gaps)
 
 
+def test_costs_decide_the_cuts():
+    """Of all ways to cut, the one whose pieces lack least, the first compared first."""
+    rng = random.Random(7)
+    for _ in range(60):
+        b = rng.randrange(50, 330)
+        gaps = [rng.randrange(330) for _ in range(rng.randrange(12))]
+        ways = every_way(0, b, gaps, 100, 20)
+        assert best_cuts(0, b, gaps, 100, 20) == min(ways, key=lambda w: [100 - (q - p) for p, q in zip([0, *w], [*w, b])])
+
+
 def cost(a, b, cuts, gaps, longest, balance):
     at = [a, *cuts, b]
     return sum(balance * (1 - (q - p) / longest) ** 2 for p, q in zip(at[:-1], at[1:])) + sum(c not in gaps for c in cuts)
@@ -92,6 +112,8 @@ def test_pieces_fit_and_cover(spark, sf):
     from pyspark.sql import functions as F
 
     t = split_tiles(spark.read.parquet(f"{sf}/tiles.parquet"), balance=0.25)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # one call for both axes
     t = t.withColumn("n", (F.col("core_y1") - F.col("core_y0")) * (F.col("core_x1") - F.col("core_x0")))
     assert t.where("core_y1 - core_y0 > 1024 or core_x1 - core_x0 > 1024").count() == 0
     whole = spark.read.parquet(f"{sf}/tiles.parquet").groupBy("tile_id").agg(F.max((F.col("core_y1") - F.col("core_y0")) * (F.col("core_x1") - F.col("core_x0"))).alias("all"))
