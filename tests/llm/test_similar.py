@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.llm.similar import Quantiser, Tree, _scan, similar_vectors
+from cytoloom.llm.similar import Quantiser, Tree, _scan, nearest_by_scan, p1_recall, similar_vectors
 
 
 def cols(d):
@@ -39,6 +39,26 @@ def test_within_a_distance_nothing_is_missed(spark):
     assert got == pairs and len(pairs) > 100
 
 
+@pytest.mark.parametrize("fanout,levels", [(8, 4), (3, 6)])
+def test_a_deeper_tree_finds_the_same(spark, fanout, levels):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.uniform(0, 1, (1500, 4)), rng.normal(0.5, 0.02, (500, 4))])
+    want, d = brute(x, 3)
+    pairs = {(i, int(j)) for i in range(len(x)) for j in want[i] if d[i, j] <= 0.05}
+    got = similar_vectors(table(spark, x), "id", cols(4), 3, max_distance=0.05, leaf=16, fanout=fanout, levels=levels)
+    assert {(r.id, r.neighbour) for r in got.collect()} == pairs
+    by = similar_vectors(table(spark, x), "id", cols(4), 3, leaf=64, fanout=fanout, levels=levels).toPandas().groupby("id").neighbour.apply(set)
+    assert sum(len(by[i] & set(want[i])) for i in range(len(x))) >= 0.9 * 3 * len(x)
+
+
+def test_recall_is_measured_against_every_row(spark, sf):
+    x = np.random.default_rng(9).normal(0, 1, (700, 4))
+    want, _ = brute(x, 4)
+    got = nearest_by_scan(table(spark, x), "id", cols(4), 4, F.col("id") % 7 == 0, block=30).toPandas()
+    assert {i: set(g) for i, g in got.groupby("id").neighbour} == {i: set(want[i].tolist()) for i in range(0, 700, 7)}
+    assert p1_recall(spark, sf).first().enough
+
+
 def test_scan_reaches_every_vector_within(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (400, 4))
