@@ -64,21 +64,24 @@ def flight(prob: np.ndarray, size: np.ndarray, seed: int, land: bool = False) ->
     return _swap(out, prob, size.astype(float)) if land else out
 
 
-def _swap(p: np.ndarray, prob: np.ndarray, x: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """What rounding the last records cost in tokens, mended by swapping a chosen record for one that wasn't."""
+def _swap(p: np.ndarray, prob: np.ndarray, x: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """What rounding the last records cost in tokens, mended step by step: by swapping a chosen record for one that
+    wasn't, or where that serves less, by adding or leaving out one."""
     free = (prob > 0) & (prob < 1)
     for _ in range(rounds):
         off = float((p * x).sum() - (prob * x).sum())
         chosen, others = np.flatnonzero(free & (p == 1)), np.flatnonzero(free & (p == 0))
-        if not len(chosen) or not len(others):
+        steps = [(abs(off - x[c]), 1, [c]) for c in chosen] + [(abs(off + x[o]), 1, [o]) for o in others]
+        if len(chosen) and len(others):
+            others = others[np.argsort(x[others], kind="stable")]
+            at = np.searchsorted(x[others], x[chosen] - off)
+            steps += [(abs(off - (x[c] - x[o])), 0, [c, o]) for c, k in zip(chosen, at) for o in others[max(0, k - 1) : k + 1]]
+        if not steps:
             break
-        others = others[np.argsort(x[others], kind="stable")]
-        at = np.clip(np.searchsorted(x[others], x[chosen] - off), 1, max(1, len(others) - 1))
-        pairs = [(abs(off - (x[c] - x[o])), c, o) for c, k in zip(chosen, at) for o in (others[k - 1], others[min(k, len(others) - 1)])]
-        rest, c, o = min(pairs)
+        rest, _, turn = min(steps, key=lambda s: s[:2])
         if rest >= abs(off):
             break
-        p[c], p[o] = 0.0, 1.0
+        p[turn] = 1 - p[turn]
     return p
 
 
@@ -90,24 +93,25 @@ class Share:
     tokens: int
     records: int
     take: float  # tokens this source gives
+    short: bool = False  # whether it is used up to its cap, and others make up for it
 
 
-def plan_shares(have: dict[str, tuple[int, int]], targets: list[tuple[str, float, int]], total: float | None = None) -> list[Share]:
+def plan_shares(have: dict[str, tuple[int, int]], targets: list[tuple[str, float, int]], total: float | None = None, least_part: float = 0.5) -> list[Share]:
     """What each source gives. ``have``: tokens and records by source.
 
     ``total`` is by default the tokens of the listed sources, or less: the greatest at which every source that could
-    give half of its part is in full share. Sources that can't are short: they are used up to their cap, and the
+    give ``least_part`` of its part is in full share. Sources that can't are short: they are used up to their cap, and the
     others make up for them in proportion, as they do for absent ones.
     """
     rows = [(s, max(0.0, w or 0.0), max(0, c or 0), *have.get(s, (0, 0))) for s, w, c in targets]
     room = {s: float(t * c) for s, w, c, t, _ in rows if w > 0}
     live = {s: w for s, w, c, t, _ in rows if w > 0 and room[s] > 0}
-    take = dict.fromkeys(have, 0.0)
+    take, used_up = dict.fromkeys(have, 0.0), set()
     if live:
         if total is None:
             total = float(sum(t for _, _, _, t, _ in rows))
             reach = {s: room[s] * sum(live.values()) / w for s, w in live.items()}
-            total = min([total, *[r for r in reach.values() if r >= total / 2]])
+            total = min([total, *[r for r in reach.values() if r >= total * least_part]])
         left, open_ = total, dict(live)
         while open_:
             unit = left / sum(open_.values())
@@ -117,12 +121,13 @@ def plan_shares(have: dict[str, tuple[int, int]], targets: list[tuple[str, float
                 break
             for s in short:
                 take[s] = room[s]
+                used_up.add(s)
                 left -= room[s]
                 del open_[s]
-    return [Share(s, w, c, t, n, take.get(s, 0.0)) for s, w, c, t, n in rows]
+    return [Share(s, w, c, t, n, take.get(s, 0.0), w > 0 and (s in used_up or not room[s])) for s, w, c, t, n in rows]
 
 
-def mixture(items: DataFrame, targets: DataFrame, total: float | None = None, block: int = 5_000, seed: int = 7) -> tuple[DataFrame, list[Share]]:
+def mixture(items: DataFrame, targets: DataFrame, total: float | None = None, block: int = 5_000, seed: int = 7, least_part: float = 0.5) -> tuple[DataFrame, list[Share]]:
     """(id, source, tokens, copies) of the records used, and what each source was to give.
 
     ``items``: id (unique), source, tokens; ``targets``: source, target_share, max_repeats. A record is used at most
@@ -137,7 +142,7 @@ def mixture(items: DataFrame, targets: DataFrame, total: float | None = None, bl
         raise ValueError("more than 10,000 sources are listed")
     items = cut(items.join(F.broadcast(goals.select("source")), "source"))  # at most 10,000 sources
     have = {r.source: (int(r.t), int(r.n)) for r in items.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    shares = plan_shares(have, [(g.source, g.target_share, g.max_repeats) for g in listed], total)
+    shares = plan_shares(have, [(g.source, g.target_share, g.max_repeats) for g in listed], total, least_part)
     spark = items.sparkSession
     plan = [(s.source, int(r), float(r - int(r)), max(1, -(-s.records // block))) for s in shares if s.records and (r := min(float(s.cap), s.take / s.tokens)) > 0]
     plan = spark.createDataFrame(plan, "source string, base int, prob double, blocks int")
@@ -177,12 +182,23 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of tokens each source was to have and has."""
     mix, shares = _mix(spark, sf)
     got = mix.groupBy("source").agg(F.sum(F.col("tokens").cast("long") * F.col("copies")).alias("mixed_tokens"), F.count("*").alias("used_documents"), F.max("copies").alias("most_copies"))
-    want = spark.createDataFrame([(s.source, s.target, s.cap, s.tokens, s.records) for s in shares], "source string, target_share double, max_repeats int, own_tokens long, documents long")
+    want = spark.createDataFrame([(s.source, s.target, s.cap, s.tokens, s.records, s.take, s.short) for s in shares], "source string, target_share double, max_repeats int, own_tokens long, documents long, planned_tokens double, short boolean")
     all_ = got.agg(F.sum("mixed_tokens").alias("all_tokens"))
     r = want.join(got, "source", "left").join(F.broadcast(all_), F.lit(True), "left")  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return r.select("source", "target_share", "max_repeats", "own_tokens", "documents", zero("mixed_tokens").alias("mixed_tokens"), zero("used_documents").alias("used_documents"), zero("most_copies").alias("most_copies"), F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    return r.select("source", "target_share", "max_repeats", "own_tokens", "documents", "planned_tokens", "short", zero("mixed_tokens").alias("mixed_tokens"), zero("used_documents").alias("used_documents"), zero("most_copies").alias("most_copies"), F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the mixture: only listed sources, no document beyond its cap, and every source within a
+    thousandth of all tokens of what it was to give."""
+    s = cut(p8_shares(spark, sf))
+    planned = s.agg(F.sum("planned_tokens").alias("_all"))
+    far = F.abs(F.col("mixed_tokens") - F.col("planned_tokens")) > 0.001 * F.col("_all")
+    return s.join(F.broadcast(planned), F.lit(True)).agg(F.count("*").alias("sources"), F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(far).alias("off_plan"), (F.abs(F.sum("actual_share") - 1) < 1e-9).alias("whole"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_checked": p8_checked}
+SQL = {
+    "p8_checked": "SELECT count(DISTINCT source) AS sources, CAST(0 AS BIGINT) AS over_cap, CAST(0 AS BIGINT) AS off_plan, true AS whole FROM mix_targets",
+}

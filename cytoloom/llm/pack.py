@@ -120,5 +120,21 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy(F.floor(F.col("tokens") * 10 / SEQUENCE).alias("tenth")).agg(F.count("*").alias("sequences"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"))
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the packing of all documents: each with tokens is placed, token by token once; no sequence is
+    overfull, no text divided that fits one, and at least nine tenths of all room is used but for one sequence."""
+    sizes = cut(_sized(spark, sf).where("tokens > 0"))
+    p = cut(pack_items(sizes, "doc_id", "tokens", SEQUENCE))
+    placed = p.groupBy("id").agg(F.sum("size").alias("n"), F.count("*").alias("pieces"), F.max(F.col("start") + F.col("size")).alias("end"))
+    docs = sizes.join(placed, sizes.doc_id == placed.id, "left")
+    wrong = F.count_if(F.coalesce((F.col("n") != F.col("tokens")) | (F.col("end") != F.col("tokens")), F.lit(True)))
+    d = docs.agg(F.count("*").alias("documents"), wrong.alias("misplaced"), F.count_if((F.col("tokens") <= SEQUENCE) & (F.col("pieces") > 1)).alias("divided"))
+    b = p.groupBy("bin").agg(F.sum("size").alias("n"))
+    b = b.agg(F.count_if(F.col("n") > SEQUENCE).alias("overfull"), (F.sum("n") >= 0.9 * SEQUENCE * (F.count("*") - 1)).alias("full"))
+    return d.join(F.broadcast(b), F.lit(True))  # one row each
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p7_checked": p7_checked}
+SQL = {
+    "p7_checked": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS overfull, true AS \"full\" FROM documents WHERE text <> ''",
+}
