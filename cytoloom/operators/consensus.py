@@ -8,10 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytoloom.functions.stats import MAD, medians, on
-from cytoloom.runtime import column, map_groups
+from cytoloom.runtime import column, cut, map_groups
 
 
 def norm(x: Column | str, y: Column | str) -> Column:
@@ -57,34 +58,38 @@ def quantile_prune(matches: DataFrame, by: Sequence[str], residual: str, q: floa
     return on(by, matches, st).where(F.col(residual) <= F.col("_q")).select(*matches.columns)
 
 
-def direction_consensus(matches: DataFrame, by: Sequence[str], id_col: str, max_deg: float = 5.0, length_px: float = 5.0, bins: int = 360) -> DataFrame:
-    """Matches that go the way most of their patch goes. ``by`` names the patch.
+def _votes(angles: DataFrame, by: Sequence[str], reach: float) -> DataFrame:
+    """``angles`` (by, _a, _c: distinct degrees in [0, 360) and how many have them) with _v: how many lie within ``reach``.
+
+    Angles and both limits of each are range-sorted together; how many come before a limit is what came before its range
+    plus a running sum within it. So a patch of any size is many tasks, and nothing is paired."""
+    at = angles.withColumn("_t", F.explode(F.array(F.col("_a") - 360, F.col("_a"), F.col("_a") + 360))).where((F.col("_t") >= -reach) & (F.col("_t") <= 360 + reach))
+    point = at.select(*by, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_a"), "_c")
+    limit = lambda sign, kind: angles.select(*by, (F.col("_a") + sign * reach).alias("_t"), F.lit(kind).alias("_kind"), "_a", F.lit(0).cast("long").alias("_c"))
+    events = point.unionByName(limit(-1, 0)).unionByName(limit(1, 2))
+    events = cut(events.repartitionByRange(*by, "_t", "_kind").withColumn("_range", F.spark_partition_id()))
+    earlier = events.groupBy(*by, "_range").agg(F.sum("_c").alias("_s"))
+    earlier = earlier.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    running = F.sum("_c").over(W.partitionBy(*by, "_range").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    seen = events.withColumn("_run", running).where("_kind <> 1").join(earlier, [*by, "_range"])
+    part = F.when(F.col("_kind") == 2, F.col("_run") + F.col("_before")).otherwise(-F.col("_run") - F.col("_before"))
+    return seen.groupBy(*by, "_a").agg(F.sum(part).alias("_v"))
 
-    In a patch of three or more, every match at least 1 long counts the others within ``max_deg`` of its direction; the one
-    with most (ties: least id) leads; those within ``max_deg`` of it stay, and of three or more such those whose length is
-    within ``length_px`` of their mean. A patch in which the leader has under two votes, or fewer than three would stay or
-    all would, is left as it is.
 
-    Votes are counted from sums over directions in narrow bins, with only the two bins at each limit met by an equi-join,
-    so a patch of a million matches doesn't pair them all."""
+def direction_consensus(matches: DataFrame, by: Sequence[str], id_col: str, max_deg: float = 5.0, length_px: float = 5.0) -> DataFrame:
+    """Matches that go the way most of their patch goes. ``by`` names the patch.
+
+    In a patch of three or more, every match at least 1 long counts the others within ``max_deg`` (under 180) of its
+    direction; the one with most (ties: least id) leads; those within ``max_deg`` of it stay, and of three or more such
+    those whose length is within ``length_px`` of their mean. A patch in which the leader has under two votes, or fewer
+    than three would stay or all would, is left as it is."""
     m = matches.withColumns({"_n": norm("dx", "dy"), "_a": F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0))})
     size = m.groupBy(*by).agg(F.count("*").alias("_size"))
-    w = 360.0 / bins
-    v = m.where("_n >= 1").withColumn("_b", F.least(F.floor(F.col("_a") / w), F.lit(bins - 1)).cast("int"))
-    per = v.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    reach = int(math.ceil(max_deg / w))
-    # bins that lie wholly within the limit of every direction of a bin
-    inner = reach - 1
-    step = F.explode(F.sequence(F.lit(-inner), F.lit(inner))) if inner >= 0 else F.explode(F.array().cast("array<int>"))
-    near = v.select(*by, "_b").distinct().withColumn("_s", step).withColumn("_t", F.pmod(F.col("_b") + F.col("_s"), F.lit(bins)))
-    full = near.join(per.withColumnRenamed("_b", "_t"), [*by, "_t"]).groupBy(*by, "_b").agg(F.sum("_c").alias("_full"))
-    edge = F.explode(F.array(*[F.lit(s) for s in (-reach - 1, -reach, reach, reach + 1)]))
-    u = v.select(*by, id_col, "_a", "_b").withColumn("_s", edge).withColumn("_t", F.pmod(F.col("_b") + F.col("_s"), F.lit(bins)))
-    angles = v.groupBy(*by, F.col("_b").alias("_t"), F.col("_a").alias("_o")).agg(F.count("*").alias("_c"))
-    turn = F.pmod(F.col("_a") - F.col("_o") + 540, F.lit(360.0)) - 180
-    part = u.join(angles, [*by, "_t"]).where(F.abs(turn) <= max_deg).groupBy(*by, id_col).agg(F.sum("_c").alias("_part"))
-    votes = v.select(*by, id_col, "_b", "dx", "dy", "_n").join(full, [*by, "_b"], "left").join(part, [*by, id_col], "left").withColumn("_v", F.coalesce("_full", F.lit(0)) + F.coalesce("_part", F.lit(0)))
-    lead = votes.groupBy(*by).agg(F.min(F.struct((-F.col("_v")).alias("v"), F.col(id_col).alias("i"), "dx", "dy", "_n")).alias("s")).select(*by, (-F.col("s.v")).alias("_lv"), F.col("s.dx").alias("_lx"), F.col("s.dy").alias("_ly"), F.col("s._n").alias("_ln"))
+    v = m.where("_n >= 1").withColumn("_a", F.when(F.col("_a") >= 360, 0.0).otherwise(F.col("_a")))
+    votes = _votes(cut(v.groupBy(*by, "_a").agg(F.count("*").alias("_c"))), by, max_deg)
+    led = v.groupBy(*by, "_a").agg(F.min(F.struct(F.col(id_col).alias("i"), "dx", "dy", "_n")).alias("_first")).join(votes, [*by, "_a"])
+    lead = led.groupBy(*by).agg(F.min(F.struct((-F.col("_v")).alias("v"), "_first")).alias("s"))
+    lead = lead.select(*by, (-F.col("s.v")).alias("_lv"), F.col("s._first.dx").alias("_lx"), F.col("s._first.dy").alias("_ly"), F.col("s._first._n").alias("_ln"))
     j = m.join(size, list(by)).join(lead, list(by), "left")
     cos = (F.col("dx") * F.col("_lx") + F.col("dy") * F.col("_ly")) / (F.col("_n") * F.col("_ln") + 1e-8)
     j = j.withColumn("_along", (F.col("_n") >= 1) & (cos >= math.cos(math.radians(max_deg))))

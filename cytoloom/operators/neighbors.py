@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.functions.stats import on
 from cytoloom.operators.spatial import distances, voronoi_blocks, vp_pairs
-from cytoloom.runtime import column, cut, map_groups
+from cytoloom.runtime import column, cut, free, map_groups
 
 
 def _points(df: DataFrame, group: Sequence[str], coords: Sequence[str], id_col: str, side: int, more: Sequence[Column] = ()) -> DataFrame:
@@ -93,36 +93,43 @@ def like_pairs(fixed: DataFrame, moving: DataFrame, group: Sequence[str], coords
     return map_groups(blocks, [*group, "block"], pairs, _key_columns(both, group) + "id1 long, id2 long, spatial double, score double")
 
 
+WIDE = 8  # dimensions above which balls fill so little of a box that blocks would hold everything
+
+
 def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords: Sequence[str], id_col: str, k: int, data_coords: Sequence[str] | None = None, cap: int = 2048) -> DataFrame:
     """(group, id, neighbour, ordinal, distance): the k nearest ``data`` points of each query in its group, ordinal 1 the
     nearest, ties by smaller id. Without ``data`` the queries search each other, never themselves (by id).
 
-    Small groups are searched whole. In large ones a block sees its surroundings up to a radius; a query whose k-th
-    neighbour lies beyond it is asked again with a radius four times as large, until all are settled, so the result is
-    exact. Groups of no more candidates than k give what they have: their queries meet those few rows by an equi-join."""
+    Small groups are searched whole. In large ones a block sees its surroundings up to a radius that suits the group's
+    own density and number of dimensions; a query whose k-th neighbour lies beyond it is asked again with a radius four
+    times as large, until all are settled, so the result is exact. Groups of no more candidates than k give what they
+    have: their queries meet those few rows by an equi-join. Above ``WIDE`` dimensions blocks of queries meet chunks of
+    the data instead."""
     alone = data is None
     both = _points(queries, group, coords, id_col, 3 if alone else 1)
     if not alone:
         both = both.unionByName(_points(data, group, data_coords or coords, id_col, 2))
     both = cut(both.withColumn("_asks", F.col("_side") != 2))
     xs = [f"_x{i}" for i in range(len(coords))]
+    if len(xs) > WIDE:
+        return _knn_in_chunks(both, group, xs, k, alone, cap)
     few = k + 1 if alone else k
     found = both.where("_side >= 2")
-    some = cut(found.groupBy(*group).agg(F.count("*").alias("_n")))
-    found = on(group, found, some).where(F.col("_n") <= few)
-    listed = found.groupBy(*group).agg(F.collect_list(F.struct("_id", *xs)).alias("_all"))
+    ranges = [F.max(c) - F.min(c) for c in xs]
+    some = found.groupBy(*group).agg(F.count("*").alias("_n"), *[r.alias(f"_w{i}") for i, r in enumerate(ranges)])
+    widest = F.greatest(*[F.col(f"_w{i}") for i in range(len(xs))], F.lit(1e-300)) if len(xs) > 1 else F.greatest("_w0", F.lit(1e-300))
+    volume = reduce(lambda a, b: a * b, [F.greatest(F.col(f"_w{i}") / widest, F.lit(1e-3)) for i in range(len(xs))])
+    ball = math.pi ** (len(xs) / 2) / math.gamma(len(xs) / 2 + 1)
+    some = cut(some.withColumn("_r", 2 * widest * F.pow(k * volume / (ball * F.col("_n")), F.lit(1 / len(xs)))).select(*group, "_n", "_r"))
+    listed = on(group, found, some).where(F.col("_n") <= few).groupBy(*group).agg(F.collect_list(F.struct("_id", *xs)).alias("_all"))
     asks = on(group, both.where("_asks"), listed)
     away = lambda c: F.sqrt(reduce(lambda a, b: a + b, [F.pow(c[x] - F.col(x), F.lit(2.0)) for x in xs]))
     near = F.transform(F.filter("_all", lambda c: c["_id"] != F.col("_id")) if alone else F.col("_all"), lambda c: F.struct(away(c).alias("d"), c["_id"].alias("i")))
     small = asks.select(*group, F.col("_id").alias("id"), F.posexplode(F.array_sort(near)).alias("_p", "_c"))
     small = small.select(*group, "id", F.col("_c.i").alias("neighbour"), (F.col("_p") + 1).cast("int").alias("ordinal"), F.col("_c.d").alias("distance")).where(F.col("ordinal") <= k)
-    if group:
-        both = cut(both.join(some.where(F.col("_n") > few), list(group), "left_semi"))
-    elif some.first()._n <= few:
-        both = both.limit(0)
-    area = reduce(lambda a, b: a * b, [F.greatest(F.max(c) - F.min(c), F.lit(1e-9)) for c in xs])
-    dense = both.groupBy(*group).agg(F.count("*").alias("n"), area.alias("a")).orderBy(F.desc("n")).first()
-    radius = 2 * math.sqrt(k * dense.a / (math.pi * dense.n)) if dense and dense.n else 1.0
+    # places in units of the group's radius
+    us = [f"_u{i}" for i in range(len(xs))]
+    points = cut(on(group, both, some).where(F.col("_n") > few).withColumns({u: F.col(x) / F.col("_r") for u, x in zip(us, xs)}).drop("_n"))
     keys = _key_columns(both, group)
 
     def search(t: pa.Table, radius: float) -> pa.Table | None:
@@ -133,16 +140,13 @@ def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords
         whole = t.column("block")[0].as_py() == ""
         if not len(q):
             return None
+        radius = radius * float(column(t, "_r")[0]) * (1 - 1e-9)
         x = np.column_stack([column(t, c) for c in xs])
         parts = []
         step = max(1, 1_000_000 // max(len(at), 1))
         for s in range(0, len(q), step):
             rows = q[s : s + step]
-            d = distances(x[rows], x[at], "euclidean")
-            if alone:
-                d[ids[rows][:, None] == ids[at][None, :]] = np.inf
-            o = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dd = np.take_along_axis(d, o, 1)
+            dd, o = _least(x[rows], x[at], ids[rows] if alone else None, ids[at], k)
             settled = np.full(len(rows), True) if whole else (dd.shape[1] == k) & (dd[:, -1] <= radius if dd.shape[1] else False)
             i, j = np.nonzero(np.isfinite(dd) & settled[:, None])
             parts.append((rows[i], ids[at[o[i, j]]], j + 1, dd[i, j], np.ones(len(i), bool)))
@@ -152,9 +156,9 @@ def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords
         return pa.table({**{g: t.column(g).take(i) for g in group}, "id": ids[i], "neighbour": n, "ordinal": o.astype(np.int32), "distance": d, "settled": ok})
 
     done: list[DataFrame] = []
-    points = both
+    radius = 1.0
     for _ in range(40):
-        blocks = voronoi_blocks(points, list(group), xs, "_id", radius, cap=cap)
+        blocks = voronoi_blocks(points, list(group), us, "_id", radius, cap=cap)
         r = radius
         got = cut(map_groups(blocks, [*group, "block"], lambda t, r=r: search(t, r), keys + "id long, neighbour long, ordinal int, distance double, settled boolean"))
         done.append(got.where("settled"))
@@ -163,10 +167,57 @@ def knn(queries: DataFrame, data: DataFrame | None, group: Sequence[str], coords
             break
         radius *= 4
         again = points.join(left.select(*group).distinct(), list(group), "left_semi") if group else points
+        was = points
         points = cut(again.join(left, [again[g] == left[g] for g in group] + [again["_id"] == left["_again"]], "left").select(*[again[c] for c in again.columns if c != "_asks"], (F.col("_again").isNotNull() & (F.col("_side") != 2)).alias("_asks")))
+        free(was)
+    else:
+        raise RuntimeError("some queries are not settled at a radius of 4**40 times the usual")
     return reduce(DataFrame.unionByName, done).drop("settled").unionByName(small)
 
 
+def _least(q: np.ndarray, x: np.ndarray, me: np.ndarray | None, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances of each row of ``q`` to those of ``x``, whose ids ascend, and where they are; an id's own is
+    infinite."""
+    d = distances(q, x, "euclidean")
+    if me is not None:
+        d[me[:, None] == ids[None, :]] = np.inf
+    o = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(d, o, 1), o
+
+
+def _knn_in_chunks(both: DataFrame, group: Sequence[str], xs: list[str], k: int, alone: bool, cap: int) -> DataFrame:
+    """knn by the distances of every query to every candidate of its group: blocks of queries beside chunks of candidates,
+    the best k of each chunk ranked together."""
+    n = both.groupBy(*group).agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(c) / cap)).cast("int").alias(a) for a, c in (("_nq", F.col("_asks")), ("_nd", F.col("_side") >= 2))])
+    h = lambda c: F.pmod(F.xxhash64("_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    t = on(group, both, n)
+    q = t.where("_asks").withColumns({"_b": h("_nq")}).withColumn("_c", every("_nd")).withColumn("_is_query", F.lit(True))
+    d = t.where("_side >= 2").withColumns({"_c": h("_nd")}).withColumn("_b", every("_nq")).withColumn("_is_query", F.lit(False))
+
+    def search(t: pa.Table) -> pa.Table | None:
+        ask, ids = column(t, "_is_query").astype(bool), column(t, "_id")
+        rows, at = np.flatnonzero(ask), np.flatnonzero(~ask)
+        if not len(rows) or not len(at):
+            return None
+        at = at[np.argsort(ids[at], kind="stable")]
+        x = np.column_stack([column(t, c) for c in xs])
+        parts = []
+        step = max(1, 1_000_000 // len(at))
+        for s in range(0, len(rows), step):
+            r = rows[s : s + step]
+            dd, o = _least(x[r], x[at], ids[r] if alone else None, ids[at], k)
+            i, j = np.nonzero(np.isfinite(dd))
+            parts.append((r[i], ids[at[o[i, j]]], dd[i, j]))
+        i, m, dist = (np.concatenate(c) for c in zip(*parts))
+        return pa.table({**{g: t.column(g).take(i) for g in group}, "id": ids[i], "neighbour": m, "distance": dist})
+
+    cols = [*group, "_b", "_c", "_is_query", "_id", *xs]
+    got = map_groups(q.select(*cols).unionByName(d.select(*cols)), [*group, "_b", "_c"], search, _key_columns(both, group) + "id long, neighbour long, distance double")
+    place = F.row_number().over(W.partitionBy(*group, "id").orderBy("distance", "neighbour"))
+    return got.withColumn("ordinal", place).where(F.col("ordinal") <= k).select(*group, "id", "neighbour", "ordinal", "distance")
+
+
 def shape_score(pairs: DataFrame, features: DataFrame, moving: DataFrame, scales: DataFrame, group: Sequence[str], id_col: str, cols: Sequence[str]) -> DataFrame:
     """``pairs`` with ``score``: the root mean square over columns of the scaled feature difference. Missing features make
     the score null. At least one column is needed."""

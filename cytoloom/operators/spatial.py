@@ -12,28 +12,38 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoloom.runtime import column, cut, map_groups, take_bounded
+from cytoloom.runtime import column, cut, map_groups, take_bounded, usable
 
 EARTH_M = 6_371_008.8
 
 
+def _unit(lonlat: np.ndarray) -> np.ndarray:
+    lon, lat = np.radians(lonlat[:, 0]), np.radians(lonlat[:, 1])
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """All distances between the rows of ``a`` and of ``b``: Euclidean, or great-circle metres over
-    (longitude, latitude) in degrees."""
+    """All distances between the rows of ``a`` and of ``b``: Euclidean, or great-circle metres over (longitude, latitude) in
+    degrees, from the chords to the point and to its antipode, which keeps them exact to nanometres everywhere."""
     if metric == "haversine":
-        la, lb = np.radians(a[:, 1])[:, None], np.radians(b[:, 1])[None, :]
-        dlon = np.radians(a[:, 0])[:, None] - np.radians(b[:, 0])[None, :]
-        h = np.sin((la - lb) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(dlon / 2) ** 2
-        return 2 * EARTH_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+        a, b = _unit(a), _unit(b)
+        apart = sum((a[:, i][:, None] - b[:, i][None, :]) ** 2 for i in range(3))
+        across = sum((a[:, i][:, None] + b[:, i][None, :]) ** 2 for i in range(3))
+        return 2 * EARTH_M * np.arctan2(np.sqrt(apart), np.sqrt(across))
     s = np.zeros((len(a), len(b)))
     for i in range(a.shape[1]):
         s += (a[:, i][:, None] - b[:, i][None, :]) ** 2
     return np.sqrt(s)
 
 
+def _rounding(metric: str, far: np.ndarray | float) -> np.ndarray | float:
+    """More than the error of a sum of distances of up to ``far`` each."""
+    return 1e-6 if metric == "haversine" else 1e-14 * far
+
+
 def vp_pairs(x: np.ndarray, queries: np.ndarray, radius: float, metric: str = "euclidean", leaf: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (query, point) and distance of all pairs within ``radius``, by a vantage-point tree over ``x``
     that is descended by all queries at once. A point is a partner of itself."""
@@ -66,7 +76,7 @@ def vp_pairs(x: np.ndarray, queries: np.ndarray, radius: float, metric: str = "e
                 continue
             mu = d[near].max()
         dq = distances(x[q], vantage, metric)[:, 0]
-        slack = 1e-9 * max(1.0, radius)  # rounding must not lose a pair
+        slack = _rounding(metric, max(d.max(), dq.max()) + radius)  # rounding must not lose a pair
         stack.append((idx[near], q[dq - radius - slack <= mu]))
         stack.append((idx[~near], q[dq + radius + slack >= d[~near].min()]))
     if not found:
@@ -80,7 +90,7 @@ def _assign(x: np.ndarray, core: np.ndarray, pivots: np.ndarray, radius: float,
     d = distances(x, pivots, metric)
     own = d.argmin(axis=1)
     least = d[np.arange(len(x)), own]
-    near = d <= (least + 2 * radius + 1e-9 * max(1.0, radius))[:, None]
+    near = d <= (least + 2 * radius + _rounding(metric, d.max(axis=1) + radius))[:, None]
     near[np.arange(len(x)), own] = True
     rows, piv = np.nonzero(near)
     return rows, piv, core[rows] & (piv == own[rows])
@@ -91,7 +101,8 @@ def voronoi_blocks(points: DataFrame, group: Sequence[str], coords: Sequence[str
 
     Groups of at most ``cap`` points are one block. Larger ones, however hot, are parted around up to
     ``fanout`` pivots drawn from them by a hash of the id, level by level until no block has more than
-    ``cap`` core points. Copies of one place can't be parted: collapse them first where there may be many.
+    ``cap`` core points. Copies of one place can't be parted so: what they leave too large becomes several blocks of
+    the same points, each with its share of the core.
     At most ``driver_blocks`` x ``fanout`` pivots pass through the driver; beyond that they are joined.
     ``points`` must be materialised (see ``cut``), as it is read once per level; coordinates must be usable.
     """
@@ -106,7 +117,7 @@ def voronoi_blocks(points: DataFrame, group: Sequence[str], coords: Sequence[str
         total = heavy.agg(F.count("*").alias("n"), F.sum("count").alias("s")).first() if level else None
         rows = take_bounded(heavy, driver_blocks)
         if rows == [] or level == max_levels or (level and before == (total.n, total.s)):
-            done.append(todo)
+            done.append(todo if rows == [] else _shared_core(todo, keys, id_col, cap))
             break
         before = (total.n, total.s) if level else None
         small = rows is not None
@@ -128,6 +139,15 @@ def voronoi_blocks(points: DataFrame, group: Sequence[str], coords: Sequence[str
     return reduce(DataFrame.unionByName, done)
 
 
+def _shared_core(blocks: DataFrame, keys: Sequence[str], id_col: str, cap: int) -> DataFrame:
+    """Blocks of over ``cap`` core points as several of the same points, each with a part of the core by a hash of the id."""
+    n = blocks.where("core").groupBy(*keys).agg(F.ceil(F.count("*") / cap).cast("int").alias("_parts"))
+    b = blocks.join(n, list(keys)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    named = F.when(F.col("_parts") > 1, F.concat_ws("~", "block", F.col("_part").cast("string"))).otherwise(F.col("block"))
+    core = F.col("core") & (F.pmod(F.xxhash64(id_col), F.col("_parts")) == F.col("_part"))
+    return b.withColumns({"block": named, "core": core}).select(*blocks.columns)
+
+
 def _replicate(hot: DataFrame, cols: list[str], coords: Sequence[str], radius: float, metric: str, table: dict, small: bool) -> DataFrame:
     names, coords = list(cols), list(coords)
     schema = hot.select(*cols, "block", "core").schema
@@ -188,12 +208,25 @@ def radius_join(points: DataFrame, group: Sequence[str], coords: Sequence[str],
     return map_groups(blocks, [*gs, "block"], pairs, "id_1 long, id_2 long, distance double")
 
 
-def region_of(points: DataFrame, regions: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    """The box that contains each point: ``regions`` has region_id, x0, y0, x1, y1 (ends not included). Boxes are
-    laid on a grid of ``cell`` and met by an equi-join, so neither side is scanned for every row of the other.
-    Points in no region are kept with a null region_id; one in several gets a row for each."""
-    grid: list[Column] = [F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1e-9) / cell))).alias(n) for a, b, n in (("x0", "x1", "gx"), ("y0", "y1", "gy"))]
-    r = regions.where("x1 > x0 and y1 > y0").select("region_id", "x0", "y0", "x1", "y1", grid[0]).select("*", grid[1])
-    p = points.withColumns({"gx": F.floor(F.col(x) / cell), "gy": F.floor(F.col(y) / cell)})
-    inside = (F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y1"))
-    return p.join(r, (p.gx == r.gx) & (p.gy == r.gy) & inside, "left").select(*points.columns, "region_id")
+def region_of(points: DataFrame, regions: DataFrame, x: str, y: str, cell: float = 1.0, group: Sequence[str] = ()) -> DataFrame:
+    """``points`` with the region_id of the box of their group that contains them: ``regions`` has region_id, x0, y0, x1, y1
+    (ends not included).
+
+    A box is laid on the grid whose cells, ``cell`` times a power of two, are the smallest not smaller than it, so that it
+    covers four cells at most however large it is; a point asks once for each such grid there is. The two meet by an
+    equi-join. Points in no region, or without usable coordinates, are kept with a null region_id; one in several gets a
+    row for each; boxes without extent or with a null, NaN or infinite bound hold nothing."""
+    ends = ("x0", "y0", "x1", "y1")
+    r = regions.where("x1 > x0 and y1 > y0 and " + " and ".join(f"abs(double({c})) < double('Infinity')" for c in ends)).select(*group, "region_id", *[F.col(c).cast("double").alias(f"_{c}") for c in ends])
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / cell
+    r = cut(r.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(extent))).cast("int")))
+    levels = [row._level for row in r.select("_level").distinct().collect()]  # a double has some two thousand at most
+    size = lambda: cell * F.pow(F.lit(2.0), F.col("_level"))
+    for n, low, high in (("_gx", "_x0", "_x1"), ("_gy", "_y0", "_y1")):
+        r = r.withColumn(n, F.explode(F.sequence(F.floor(F.col(low) / size()), F.floor(F.col(high) / size()))))
+    p = cut(points.withColumn("_pid", F.monotonically_increasing_id()))
+    asks = p.where(usable(F.col(x).cast("double")) & usable(F.col(y).cast("double"))).select(*group, "_pid", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    asks = asks.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"_gx": F.floor(F.col("_x") / size()), "_gy": F.floor(F.col("_y") / size())})
+    inside = "_x >= _x0 and _x < _x1 and _y >= _y0 and _y < _y1"
+    met = asks.join(r, [*group, "_level", "_gx", "_gy"]).where(inside).select("_pid", "region_id")
+    return p.join(met, "_pid", "left").select(*points.columns, "region_id")

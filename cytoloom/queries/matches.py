@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytoloom.functions import scalar as S
@@ -70,6 +71,16 @@ def embedding_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", "ordinal")
 
 
+def embedding_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth one, among all."""
+    e = table(spark, sf, "embeddings").where("vec_id is not null and embedding is not null")
+    cols = [f"e{i}" for i in range(64)]
+    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    near = neighbors.knn(e.where("vec_id % 50 = 0"), e, [], cols, "vec_id", 6).where("id <> neighbour")
+    place = F.row_number().over(W.partitionBy("id").orderBy("ordinal"))
+    return near.withColumn("ordinal", place).where("ordinal <= 5").select(F.col("id").alias("vec_id"), "neighbour", "ordinal")
+
+
 def topology_features(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf).where("area is not null and roundness is not null")
     t = masks.topology_features(c, ["slide_id", "round_no"], "cell_key", 5)
@@ -171,7 +182,7 @@ def mapped_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("anchor_id1", "anchor_id2", "neighbour_id1", "neighbour_id2", r("dist_norm"), "mapped")
 
 
-QUERIES = {f.__name__: f for f in (radius_candidates, scored_candidates, topk_candidates, fine_scores, mutual_nearest, mutual_minima, nearest_cells, feature_neighbours, embedding_neighbours, topology_features, greedy_match, greedy_per_patch, patch_balanced, grid_coverage, short_lines, parallel_displacements, residual_filter, quantile_prune, direction_consensus, validated, ambiguity, match_profiles, neighbour_profiles, topology_losses, mapped_neighbours)}
+QUERIES = {f.__name__: f for f in (radius_candidates, scored_candidates, topk_candidates, fine_scores, mutual_nearest, mutual_minima, nearest_cells, feature_neighbours, embedding_neighbours, embedding_similar, topology_features, greedy_match, greedy_per_patch, patch_balanced, grid_coverage, short_lines, parallel_displacements, residual_filter, quantile_prune, direction_consensus, validated, ambiguity, match_profiles, neighbour_profiles, topology_losses, mapped_neighbours)}
 
 _PAIRS = f"""{CELLS}, pairs AS (SELECT f.slide_id, f.cell_key AS id1, m.cell_key AS id2, sqrt((f.centroid_x - m.centroid_x) ** 2 + (f.centroid_y - m.centroid_y) ** 2) AS spatial
   FROM f JOIN m USING (slide_id) WHERE abs(f.centroid_x - m.centroid_x) <= 30 AND sqrt((f.centroid_x - m.centroid_x) ** 2 + (f.centroid_y - m.centroid_y) ** 2) <= 30)"""
@@ -214,6 +225,8 @@ SELECT id1, id2, CAST(o AS INTEGER) AS ordinal FROM (SELECT a.cell_key AS id1, b
   FROM z a JOIN z b USING (slide_id) WHERE a.round_no = 1 AND b.round_no = 2) WHERE o <= 5""",
     "embedding_neighbours": """SELECT vec_id, neighbour, CAST(o AS INTEGER) AS ordinal FROM (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS o
   FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) WHERE o <= 4""",
+    "embedding_similar": """SELECT vec_id, neighbour, CAST(o AS INTEGER) AS ordinal FROM (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS o
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE o <= 5""",
     "topology_features": f"""WITH {CELLS}, u AS (SELECT * FROM placed WHERE area IS NOT NULL AND roundness IS NOT NULL),
 nn AS (SELECT * FROM (SELECT a.slide_id, a.round_no, a.cell_key, b.area, b.roundness, sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2) AS d, {_NEAR} AS o FROM u a JOIN u b USING (slide_id, round_no) WHERE a.cell_key <> b.cell_key) WHERE o <= 5),
 g AS (SELECT slide_id, round_no, greatest(median(d), 1) AS g FROM nn WHERE o = 1 GROUP BY ALL),

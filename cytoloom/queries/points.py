@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.operators.spatial import radius_join
+from cytoloom.operators.spatial import EARTH_M, radius_join, region_of
 from cytoloom.operators.units import read_metadata_quantities
 from cytoloom.runtime import latest
 
@@ -30,7 +30,29 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("record_id", "field_name", F.round(F.col("value") * scale).try_cast("long").alias("amount")).where("amount is not null")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+def cells_on_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of cells of one slide and round at most 4 km apart, were a pixel a hundredth of a degree and every other slide
+    laid across the far meridian."""
+    cells = latest(table(spark, sf, "cell_features"), ["cell_key"], ["ingested_at"], ["slide_id", "round_no", "centroid_x", "centroid_y"])
+    lon = F.col("centroid_x") / 100 + F.when(F.col("round_no") == 1, F.lit(0)).otherwise(F.lit(170))
+    lon = F.when(lon > 180, lon - 360).otherwise(lon)
+    cells = cells.select("cell_key", "slide_id", "round_no", lon.alias("lon"), (F.col("centroid_y") / 100).alias("lat")).where("abs(lat) <= 90 and abs(lon) <= 180")
+    near = radius_join(cells, ["slide_id", "round_no"], ["lon", "lat"], "cell_key", 4000.0, metric="haversine")
+    return near.select(F.col("id_1").alias("cell_key_1"), F.col("id_2").alias("cell_key_2"), F.round("distance", 3).alias("metres"))
+
+
+def cells_in_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The tile or tiles of its slide and round whose core holds each cell."""
+    cells = latest(table(spark, sf, "cell_features"), ["cell_key"], ["ingested_at"], ["slide_id", "round_no", "centroid_x", "centroid_y"])
+    s = table(spark, sf, "slides").select("slide_id", "image_width", "image_height", "level0_width", "level0_height")
+    at = cells.join(s, "slide_id").select("cell_key", "slide_id", "round_no", (F.col("centroid_x") * F.col("level0_width") / F.col("image_width")).alias("x"), (F.col("centroid_y") * F.col("level0_height") / F.col("image_height")).alias("y"))
+    cores = ["core_y0", "core_y1", "core_x0", "core_x1"]
+    t = latest(table(spark, sf, "tiles"), ["tile_id"], ["ingested_at"], ["slide_id", "round_no", *cores])
+    t = t.select("slide_id", "round_no", F.col("tile_id").alias("region_id"), *[F.col(c).alias(c.split("_")[1][0] + c[-1]) for c in cores])
+    return region_of(at, t, "x", "y", 256.0, ["slide_id", "round_no"]).select("cell_key", F.col("region_id").alias("tile_id"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "cells_on_sphere": cells_on_sphere, "cells_in_tiles": cells_in_tiles}
 
 CELLS = """(SELECT cell_key, max_by(slide_id, ingested_at) AS slide_id, max_by(round_no, ingested_at) AS round_no,
   max_by(centroid_x, ingested_at) AS centroid_x, max_by(centroid_y, ingested_at) AS centroid_y
@@ -79,4 +101,16 @@ f AS (SELECT *, CASE ounit WHEN 'px' THEN ov WHEN 'dpx' THEN ov * ds WHEN 'um' T
 SELECT record_id, 'mpp_x' AS field_name, CAST(round(mpp * 10000) AS BIGINT) AS amount FROM f WHERE mpp IS NOT NULL
 UNION ALL SELECT record_id, 'downsample', CAST(round(ds) AS BIGINT) FROM f WHERE ds IS NOT NULL
 UNION ALL SELECT record_id, 'origin_x', CAST(round(org) AS BIGINT) FROM f WHERE org IS NOT NULL""",
+    "cells_on_sphere": f"""
+WITH a AS (SELECT cell_key, slide_id, round_no, centroid_x / 100 + CASE WHEN round_no = 1 THEN 0 ELSE 170 END AS lon, centroid_y / 100 AS lat FROM {CELLS} WHERE NOT isnan(centroid_x) AND NOT isnan(centroid_y)),
+c AS (SELECT cell_key, slide_id, round_no, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, lat, floor(lat / 0.04) AS g FROM a WHERE abs(lat) <= 90 AND lon <= 540),
+u AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS ux, cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM c WHERE abs(lon) <= 180),
+w AS (SELECT u.*, g + d AS n FROM u, (SELECT unnest([-1, 0, 1]) AS d)),
+p AS (SELECT a.cell_key AS cell_key_1, b.cell_key AS cell_key_2, 2 * {EARTH_M} * atan2(sqrt((a.ux - b.ux) ** 2 + (a.uy - b.uy) ** 2 + (a.uz - b.uz) ** 2), sqrt((a.ux + b.ux) ** 2 + (a.uy + b.uy) ** 2 + (a.uz + b.uz) ** 2)) AS m
+  FROM w a JOIN u b ON a.slide_id = b.slide_id AND a.round_no = b.round_no AND a.n = b.g WHERE a.cell_key < b.cell_key)
+SELECT cell_key_1, cell_key_2, round(m, 3) AS metres FROM p WHERE m <= 4000""",
+    "cells_in_tiles": f"""
+WITH c AS (SELECT cell_key, slide_id, round_no, centroid_x * level0_width / image_width AS x, centroid_y * level0_height / image_height AS y FROM {CELLS} JOIN slides USING (slide_id)),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ingested_at DESC) AS rn FROM tiles) WHERE rn = 1 AND core_x1 > core_x0 AND core_y1 > core_y0)
+SELECT cell_key, tile_id FROM c LEFT JOIN t ON t.slide_id = c.slide_id AND t.round_no = c.round_no AND x >= core_x0 AND x < core_x1 AND y >= core_y0 AND y < core_y1 AND NOT isnan(x) AND NOT isnan(y)""",
 }

@@ -92,6 +92,30 @@ def test_direction_consensus_at_its_limits(spark):
     assert {20, 21} <= got and 9 not in got and 11 not in got and (10 in got) == (abs(20 - n) <= 5)
 
 
+@pytest.mark.parametrize("deg", [0.4, 5.0, 5.5, 60.0])
+def test_direction_consensus_equals_brute_force(spark, deg):
+    rng = np.random.default_rng(3)
+    rows = []
+    for p in range(12):
+        a = np.r_[rng.normal(p * 33, 4, 40), rng.uniform(0, 360, 40), [p * 33.0] * 5]
+        n = np.r_[rng.normal(20, 3, 60), rng.uniform(0.2, 40, 25)]
+        rows += [(p, 1000 * p + i, float(r * np.cos(np.radians(t))), float(r * np.sin(np.radians(t)))) for i, (t, r) in enumerate(zip(a, n))]
+    df = spark.createDataFrame(rows, "patch int, id int, dx double, dy double")
+    got = {r.id for r in consensus.direction_consensus(df, ["patch"], "id", deg).collect()}
+    want = set()
+    for p in range(12):
+        ids, v = [r[1] for r in rows if r[0] == p], np.array([r[2:] for r in rows if r[0] == p])
+        n, a = np.hypot(*v.T), np.degrees(np.arctan2(v[:, 1], v[:, 0]))
+        turn = np.abs((a[:, None] - a[None] + 540) % 360 - 180)
+        votes = ((turn <= deg) & (n >= 1)[None, :]).sum(1) * (n >= 1)
+        lead = int(np.argmax(votes))
+        along = (n >= 1) & ((v @ v[lead]) / (n * n[lead] + 1e-8) >= np.cos(np.radians(deg)))
+        stay = along & (np.abs(n - n[along].mean()) <= 5) if along.sum() >= 3 else along
+        applies = votes[lead] >= 2 and 3 <= stay.sum() < len(ids)
+        want |= {i for i, s in zip(ids, stay) if s or not applies}
+    assert got == want
+
+
 def test_parallel_and_pass_through(spark):
     m = spark.createDataFrame([("a", 1, 10.0, 0.0), ("a", 2, 0.0, 10.0), ("b", 3, 0.1, 0.0)], "g string, id int, dx double, dy double")
     ref = spark.createDataFrame([("a", 5.0, 0.0), ("b", 0.0, 0.0)], "g string, dx0 double, dy0 double")

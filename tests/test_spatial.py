@@ -122,3 +122,62 @@ def test_region_of(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 10.0), (3, 25.0, 5.0)], "id long, x double, y double")
     r = spark.createDataFrame([("r", 0.0, 0.0, 10.0, 10.0), ("s", 20.0, 0.0, 30.0, 10.0), ("t", 5.0, 0.0, 5.0, 9.0)], "region_id string, x0 double, y0 double, x1 double, y1 double")
     assert {(a.id, a.region_id) for a in region_of(p, r, "x", "y", 8.0).collect()} == {(1, "r"), (2, None), (3, "s")}
+
+
+@pytest.mark.parametrize("at", [(0.0, 0.0), (180.0, 0.0), (-180.0, 90.0), (10.0, -90.0), (0.0, 60.0)])
+def test_great_circles_are_exact_anywhere(at):
+    """Points within a metre of a place, also opposite to a vantage point, at a radius of two centimetres."""
+    rng = np.random.default_rng(7)
+    x = np.array(at)[None, :] + rng.uniform(-1, 1, (400, 2)) * 1e-5 * np.array([1 / max(np.cos(np.radians(at[1])), 1e-3), 1])
+    x[:, 1] = np.clip(x[:, 1], -90, 90)
+    far = np.vstack([x, [[at[0] + 180, -at[1]]]])[np.r_[0:200, 400, 200:400]]  # the vantage point is the middle one
+    i, j, _ = vp_pairs(far, np.arange(401), 0.02, "haversine")
+    d = distances(far, far, "haversine")
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(d <= 0.02)))) and len(i) > 401
+    u = np.radians(far)
+    h = np.sin((u[:, None, 1] - u[None, :, 1]) / 2) ** 2 + np.cos(u[:, None, 1]) * np.cos(u[None, :, 1]) * np.sin((u[:, None, 0] - u[None, :, 0]) / 2) ** 2
+    near = h < 0.5
+    assert np.allclose(d[near], 2 * 6_371_008.8 * np.arcsin(np.sqrt(h[near])), atol=1e-6)
+
+
+def test_a_crowd_at_one_place_is_several_tasks(spark):
+    x = np.zeros((300, 2))
+    df = frame(spark, x, np.arange(300), ["h"] * 300)
+    b = voronoi_blocks(df, ["g"], ["x", "y"], "id", 0.5, cap=60)
+    cores = b.where("core").groupBy("g", "block").count()
+    assert cores.agg(F.max("count")).first()[0] < 150 and cores.count() >= 4 and b.where("core").count() == 300
+    assert radius_join(df, ["g"], ["x", "y"], "id", 0.5, cap=60).count() == 300 * 299 // 2
+
+
+@pytest.mark.parametrize("d", [1, 3, 64])
+def test_knn_in_other_dimensions_and_densities(spark, d):
+    rng = np.random.default_rng(d)
+    x = np.vstack([rng.normal(0, 1, (300, d)), rng.normal(0, 500, (300, d))])
+    cols = [f"v{i}" for i in range(d)]
+    rows = [("dense" if i < 300 else "wide", i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, id long, " + ", ".join(f"{c} double" for c in cols))
+    got = {(r.id, r.ordinal): r.neighbour for r in knn(df, None, ["g"], cols, "id", 3, cap=64).collect()}
+    for s in (0, 300):
+        dist = distances(x[s : s + 300], x[s : s + 300], "euclidean")
+        np.fill_diagonal(dist, np.inf)
+        want = np.argsort(dist, axis=1, kind="stable")[:, :3] + s
+        assert all(got[i + s, k + 1] == want[i, k] for i in range(300) for k in range(3))
+    assert len(got) == 1800
+    assert knn(df.limit(0), None, ["g"], cols, "id", 3).count() == 0
+    assert knn(df.where("id < 2"), df.where("id >= 2"), [], cols, "id", 3).count() == 6
+
+
+def test_regions_of_all_sizes_in_groups(spark):
+    rng = np.random.default_rng(11)
+    boxes = [(g, f"{g}{i}", *map(float, (x, y, x + w, y + h))) for g in "ab" for i in range(40) for x, y, w, h in [(*rng.uniform(-500, 500, 2), *np.exp(rng.uniform(-3, 8, 2)))]]
+    boxes += [("a", "none", 5.0, 5.0, None, 9.0), ("a", "nan", 0.0, 0.0, float("nan"), 9.0), ("a", "flat", 0.0, 0.0, 0.0, 9.0)]
+    pts = [(i, "abc"[i % 3], *map(float, rng.uniform(-600, 600, 2))) for i in range(300)] + [(1000, "a", None, 1.0), (1001, "a", float("nan"), 1.0), (1002, None, 0.0, 0.0)]
+    p = spark.createDataFrame(pts, "id long, g string, x double, y double").withColumn("x0", F.lit("clash"))
+    r = spark.createDataFrame(boxes, "g string, region_id string, x0 double, y0 double, x1 double, y1 double")
+    got = {(a.id, a.region_id) for a in region_of(p, r, "x", "y", 4.0, ["g"]).collect()}
+    want = set()
+    for i, g, x, y in pts:
+        hit = {b[1] for b in boxes[:-3] if x is not None and b[0] == g and b[2] <= x < b[4] and b[3] <= y < b[5]}
+        want |= {(i, h) for h in hit} or {(i, None)}
+    assert got == want
+    assert {a.region_id for a in region_of(p, r.limit(0), "x", "y").collect()} == {None}
