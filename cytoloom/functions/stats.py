@@ -13,8 +13,12 @@ MAD = 1.4826
 
 
 def on(by: Sequence[str], a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the group columns, or on nothing where there are none (``b`` then has one row)."""
-    return a.join(b, list(by), how) if by else a.join(F.broadcast(b.limit(1)), F.lit(True), "left")
+    """Join on the group columns, or on nothing where there are none: ``b`` then has one row; more raise when used."""
+    if by:
+        return a.join(b, list(by), how)
+    rows = F.collect_list(F.struct(*b.columns))
+    one = b.limit(2).agg(F.when(F.count("*") < 2, rows).otherwise(F.raise_error(F.lit("a table without groups has several rows"))).alias("_rows"))
+    return a.join(F.broadcast(one.select(F.explode("_rows").alias("_row")).select("_row.*")), F.lit(True), "left")
 
 
 def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], prefix: str = "median_") -> DataFrame:

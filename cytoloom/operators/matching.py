@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cytoloom.functions.scalar import axis_difference_deg, clean, median_of
 from cytoloom.functions.stats import on
-from cytoloom.runtime import cut
+from cytoloom.runtime import cut, free
+
+log = logging.getLogger(__name__)
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -43,13 +46,13 @@ def hard_constraints(matches: DataFrame, max_area_ratio: float = 2.5, max_aspect
     return matches.where(reduce(lambda a, b: a & b, tests)) if tests else matches
 
 
-def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch: str | None = None, left: DataFrame | None = None) -> DataFrame:
-    """Rounds of pairs that are first at both ends. With ``patch``, ``left`` says how many each patch may still take: a
+def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch: str | None = None, left: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+    """Rounds of pairs that are first at both ends, logged; more than ``max_rounds`` raise. With ``patch``, ``left`` says how many each patch may still take: a
     pair is safe to take if no more than that many open pairs of its patch come up to it in the order."""
     key = F.struct(*order)
     done: list[DataFrame] = []
     edges = cut(edges)
-    while True:
+    for round_ in range(max_rounds):
         open_ = edges
         if patch:
             open_ = edges.join(left.where("_left > 0"), [*group, patch])
@@ -61,14 +64,20 @@ def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch:
             safe = ranked.where("_rank <= _left").select(*group, "id1", "id2")
             first = first.join(safe, [*group, "id1", "id2"], "left_semi").drop("_left")
         picked = cut(first.select(*edges.columns))
-        if not picked.limit(1).count():
+        n_picked = picked.count()
+        log.info("greedy matching, round %d: %d pairs", round_ + 1, n_picked)
+        if not n_picked:
             break
         done.append(picked)
+        was = edges
         edges = edges.join(picked.select(*group, "id1"), [*group, "id1"], "left_anti").join(picked.select(*group, "id2"), [*group, "id2"], "left_anti")
         edges = cut(edges)
+        free(was)
         if patch:
             n = picked.groupBy(*group, patch).agg(F.count("*").alias("_n"))
             left = cut(left.join(n, [*group, patch], "left").select(*group, patch, (F.col("_left") - F.coalesce("_n", F.lit(0))).alias("_left")))
+    else:
+        raise RuntimeError(f"pairs are left to match after {max_rounds} rounds")
     return reduce(DataFrame.unionByName, done) if done else edges.limit(0)
 
 
@@ -100,15 +109,15 @@ def patch_balanced_match(candidates: DataFrame, group: Sequence[str], patch: str
     one = _greedy(c, group, order, patch, patches.withColumn("_left", F.lit(min_per_patch))).withColumn("phase", F.lit(1))
     rest = c if threshold is None else c.where(F.col(order[0]) <= threshold)
 
-    def free(of: DataFrame, used: DataFrame) -> DataFrame:
+    def unmatched(of: DataFrame, used: DataFrame) -> DataFrame:
         return of.join(used.select(*group, "id1"), [*group, "id1"], "left_anti").join(used.select(*group, "id2"), [*group, "id2"], "left_anti")
 
     one = cut(one)
     had = one.groupBy(*group, patch).agg(F.count("*").alias("_n"))
     left = on(group, patches, n).join(had, [*group, patch], "left").select(*group, patch, (F.col("_quota") - F.coalesce("_n", F.lit(0))).alias("_left"))
-    two = cut(_greedy(free(rest, one), group, order, patch, cut(left)).withColumn("phase", F.lit(2)))
+    two = cut(_greedy(unmatched(rest, one), group, order, patch, cut(left)).withColumn("phase", F.lit(2)))
     both = one.unionByName(two)
-    three = _greedy(free(rest, both), group, order).withColumn("phase", F.lit(3))
+    three = _greedy(unmatched(rest, both), group, order).withColumn("phase", F.lit(3))
     out = both.unionByName(three)
     r = F.row_number().over(W.partitionBy(*group).orderBy("phase", *order))
     return out.withColumn("_r", r).where((F.col("phase") == 1) | (F.col("_r") <= top_k)).drop("_r")

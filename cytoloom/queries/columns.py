@@ -151,7 +151,7 @@ SQL = {
     "level0_centroids": f"""WITH {CELLS} SELECT cell_key, floor((level0_width % 97 + centroid_x * (level0_width / image_width)) * 10000 + 0.5) / 10000 AS level0_x,
   floor((level0_height % 89 + centroid_y * (level0_width / image_width)) * 10000 + 0.5) / 10000 AS level0_y FROM placed LEFT JOIN slides USING (slide_id)""",
     "metadata_fields": """WITH n AS (SELECT record_id, lower(trim(coordinate_space)) AS coordinate_space, coalesce(try_cast(trim(origin_x) AS DOUBLE), 0) AS o, coalesce(try_cast(trim(downsample) AS DOUBLE), 1) AS d,
-    try_cast(trim(mpp_x) AS DOUBLE) AS p, coalesce(lower(trim(mpp_reliable)) IN ('1', 'true', 'yes', 'y', 'reliable'), false) AS mpp_reliable, coalesce(channel, '') AS channel,
+    try_cast(trim(mpp_x) AS DOUBLE) AS p, coalesce(lower(trim(mpp_reliable)) IN ('1', 'true', 'yes', 'y', 'reliable'), false) AND coalesce(isfinite(try_cast(trim(mpp_x) AS DOUBLE)) AND isfinite(try_cast(trim(mpp_y) AS DOUBLE)), false) AS mpp_reliable, coalesce(channel, '') AS channel,
     coalesce(segmentation_method, 'unknown') AS segmentation_method, image_width FROM wsi_metadata WHERE record_id IS NOT NULL)
 SELECT record_id, max(coordinate_space) AS coordinate_space, round(max(CASE WHEN isfinite(o) THEN o ELSE 0 END), 4) AS origin_x, round(max(CASE WHEN isfinite(d) THEN d ELSE 1 END), 6) AS downsample,
   round(max(CASE WHEN isfinite(p) THEN p END), 6) AS mpp_x, bool_or(mpp_reliable) AS mpp_reliable, max(channel) AS channel, max(segmentation_method) AS segmentation_method, max(image_width) AS image_width FROM n GROUP BY record_id""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
+from itertools import chain, count, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 from cytoloom.functions.scalar import label_dtype
 
 
+#: What file systems refuse in names, beside control characters.
+REFUSED = frozenset('<>:"/\\|?*')
+
+
 def safe_stem(name: str) -> str:
-    """A file name without characters that file systems refuse."""
-    return re.sub(r'[<>:"/\\|?*\x00-\x1f]+', "_", str(name)).strip(" ._") or "mask"
+    """A file name in which every run of refused characters is one underscore; 'mask' if nothing is left of it."""
+    runs = groupby(str(name), key=lambda c: c in REFUSED or ord(c) < 32)
+    return "".join("_" if refused else "".join(run) for refused, run in runs).strip(" ._") or "mask"
 
 
 def unique_stems(names: Iterable[str]) -> list[str]:
-    """Safe names, told apart without regard to case by _2, _3 and so on."""
-    used: set[str] = set()
-    out = []
-    for n in names:
-        stem = base = safe_stem(n)
-        k = 2
-        while stem.lower() in used:
-            stem, k = f"{base}_{k}", k + 1
-        used.add(stem.lower())
-        out.append(stem)
-    return out
+    """Safe names, told apart without regard to case: the first of a name keeps it, others take the least free number from 2
+    on, as name_2."""
+    taken: dict[str, str] = {}
+    for base in map(safe_stem, names):
+        options = chain([base], (f"{base}_{k}" for k in count(2)))
+        free = next(o for o in options if o.lower() not in taken)
+        taken[free.lower()] = free
+    return list(taken.values())
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:

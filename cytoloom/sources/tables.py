@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytoloom.functions import scalar as S
+from cytoloom.runtime import cut
 
 #: The image formats that are listed.
 IMAGE_SUFFIXES = (".tif", ".tiff", ".png", ".jpg", ".jpeg")
@@ -22,8 +24,7 @@ FIELD_ALIASES = {
     "origin_y": ["y", "region_y"],
     "image_width": ["width", "wsi_width", "image_w"],
     "image_height": ["height", "wsi_height", "image_h"],
-    "channel": ["source_channel", "channel_name"],
-    "segmentation_method": ["method"],
+    "channel": ["source_channel", "cellpose.source_channel", "channel_name"],
 }
 METADATA_FIELDS = ["source_wsi_path", "source_mask_path", "coordinate_space", "origin_x", "origin_y", "downsample", "image_width", "image_height", "mpp_x", "mpp_y", "mpp_reliable", "channel", "segmentation_method"]
 LEVEL0_SPACES = ["level0_pixel", "level0", "wsi_level0_pixel"]
@@ -51,14 +52,18 @@ def read_centroids(spark: SparkSession, csv: str, metadata: str | None = None) -
 
 
 def normalise_metadata(meta: DataFrame) -> DataFrame:
-    """The thirteen metadata fields from whatever names they came under; other columns are kept behind them."""
-    have = set(meta.columns)
+    """The thirteen metadata fields from whatever names they came under; other columns are kept behind them. Pixel sizes are
+    reliable only if both are known and, where the record tells, it says so. Without a method the segmenter is told by its
+    own field, or its name anywhere in the record."""
+    have = set(meta.columns) | {f"{c.name}.{f.name}" for c in meta.schema if hasattr(c.dataType, "fields") for f in c.dataType.fields}
     first = lambda names: F.coalesce(*[F.col(n) for n in names if n in have]) if any(n in have for n in names) else F.lit(None)
     text = lambda c: F.when(F.trim(c.cast("string")) != "", c.cast("string"))
     number = lambda c: S.clean(c.try_cast("double"))
     level = F.col("level").try_cast("int") if "level" in have else F.lit(None).cast("int")
     field = {f: first([f, *FIELD_ALIASES.get(f, [])]) for f in METADATA_FIELDS}
     payload = F.lower(F.to_json(F.struct(*[F.col(c) for c in meta.columns])))
+    is_cellpose = F.col("cellpose").isNotNull() if "cellpose" in have else F.lit(False)
+    method = F.when(is_cellpose, "Cellpose").when(payload.contains("cellvit"), "CellViT").otherwise(F.coalesce(text(first(["method"])), F.lit("unknown")))
     mpp_known = number(field["mpp_x"]).isNotNull() & number(field["mpp_y"]).isNotNull()
     scale = number(F.col("level_downsample")) if "level_downsample" in have else F.lit(None).cast("double")
     out = {
@@ -72,20 +77,45 @@ def normalise_metadata(meta: DataFrame) -> DataFrame:
         "image_height": number(field["image_height"]).try_cast("int"),
         "mpp_x": number(field["mpp_x"]),
         "mpp_y": number(field["mpp_y"]),
-        "mpp_reliable": S.truthy(field["mpp_reliable"].cast("string")) if "mpp_reliable" in have else mpp_known,
+        "mpp_reliable": mpp_known & (S.truthy(field["mpp_reliable"].cast("string")) if "mpp_reliable" in have else F.lit(True)),
         "channel": F.coalesce(text(field["channel"]), F.lit("")),
-        "segmentation_method": F.coalesce(text(field["segmentation_method"]), F.when(payload.contains("cellpose"), "Cellpose").when(payload.contains("cellvit"), "CellViT").otherwise("unknown")),
+        "segmentation_method": F.coalesce(text(field["segmentation_method"]), method),
     }
     rest = [c for c in meta.columns if c not in METADATA_FIELDS]
     return meta.select(*[v.alias(k) for k, v in out.items()], *rest)
 
 
+def layer_metadata(meta: DataFrame, height: Column | str, width: Column | str, channel: str = "", method: str = "unknown") -> DataFrame:
+    """``meta`` of a mask layer of ``height`` x ``width`` pixels, normalised: a missing image size is where the mask ends in
+    level-0 pixels, pixel sizes are unreliable unless said otherwise, and the space, channel and method have defaults."""
+    have = set(meta.columns)
+    known = normalise_metadata(meta)
+    ends = lambda origin, n: F.ceil(F.col(origin) + S.col(n) * F.col("downsample")).cast("int")
+    return known.withColumns({
+        "coordinate_space": F.col("coordinate_space") if "coordinate_space" in have else F.lit("mask_pixel"),
+        "image_width": F.coalesce("image_width", ends("origin_x", width)), "image_height": F.coalesce("image_height", ends("origin_y", height)),
+        "mpp_reliable": F.col("mpp_reliable") if "mpp_reliable" in have else F.lit(False),
+        "channel": F.coalesce(F.nullif("channel", F.lit("")), F.lit(channel)), "segmentation_method": F.when(F.col("segmentation_method") == "unknown", F.lit(method)).otherwise(F.col("segmentation_method")),
+    })
+
+
 def check_metadata(meta: DataFrame) -> DataFrame:
-    """``meta``, where a space that can't be read, a missing size or a downsample of 0 or less raises when it is used."""
+    """``meta``, where a space that can't be read, an image size that is missing or not above 0 or such a downsample raises
+    when it is used."""
     ok = F.col("coordinate_space").isin(*LEVEL0_SPACES, *SCALED_SPACES)
     why = F.concat(F.lit("Unsupported coordinate_space: "), F.col("coordinate_space"))
     meta = meta.withColumn("coordinate_space", F.when(ok, F.col("coordinate_space")).otherwise(F.raise_error(why)))
-    return meta.withColumn("downsample", F.when(F.col("downsample") > 0, F.col("downsample")).otherwise(F.raise_error(F.lit("downsample must be above 0"))))
+    above = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be above 0")))
+    return meta.withColumns({c: above(c) for c in ("downsample", "image_width", "image_height") if c in meta.columns})
+
+
+def with_row_numbers(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with 1..n in the order in which it is read: the rows before its partition plus its place there."""
+    t = cut(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    n = t.groupBy(part).agg(F.count("*").alias("_n"))  # one row per partition
+    before = n.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return t.withColumn("_part", part).join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_part", "_before", "_at")
 
 
 def centroids_to_level0(points: DataFrame, meta: DataFrame, by: Sequence[str], x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
@@ -100,7 +130,7 @@ def centroids_to_level0(points: DataFrame, meta: DataFrame, by: Sequence[str], x
 def normalise_features(table: DataFrame, width: Column | float, height: Column | float, min_area: float = 0, max_area: float = 0, order: Sequence[str] = ()) -> DataFrame:
     """A cell table under the usual names, with numbers read as numbers and defaults where there are none: rows without a
     finite place are dropped, areas are at least 1, shapes are those of a disc of that area. Without an id column, ids are
-    1..n in the order of ``order`` (or of the place)."""
+    1..n in the order of ``order``, or else of the source."""
     for old, new in FEATURE_ALIASES.items():
         if old in table.columns and new not in table.columns:
             table = table.withColumnRenamed(old, new)
@@ -108,7 +138,7 @@ def normalise_features(table: DataFrame, width: Column | float, height: Column |
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     if "cell_id" not in table.columns:
-        table = table.withColumn("cell_id", F.row_number().over(W.orderBy(*(order or ["centroid_y", "centroid_x"]))))
+        table = with_row_numbers(table.orderBy(*order) if order else table, "cell_id")
     if "area" not in table.columns:
         table = table.withColumn("area", F.lit(1.0))
     num = lambda c: S.clean(F.col(c).cast("string").try_cast("double"))
@@ -119,6 +149,7 @@ def normalise_features(table: DataFrame, width: Column | float, height: Column |
     if max_area > 0:
         t = t.where(F.col("area") <= max_area)
     d = S.equivalent_diameter("area")
+    # fixed values: what a cell of unknown shape counts as
     zero, one = F.lit(0.0), F.lit(1.0)
     defaults = {"equivalent_diameter": d, "perimeter": math.pi * d, "roundness": one, "eccentricity": zero, "solidity": one, "major_axis_length": d, "minor_axis_length": d, "aspect_ratio": one, "elongation": zero, "orientation": zero, "axis_vec_x": one, "axis_vec_y": zero, **{f"hu_{i}": zero for i in range(7)}}
     t = t.withColumns({c: F.coalesce(num(c), v) if c in t.columns else v for c, v in defaults.items()})
@@ -176,17 +207,16 @@ def landmarks_of(matches: DataFrame, fixed: DataFrame, moving: DataFrame, id_col
 
 
 def match_channel(channels: DataFrame, requested: str) -> DataFrame:
-    """The one channel (index, name) that a request means: '3: name' the index, else the exact name, else a part of a name,
-    else a bare index; 'auto' is dapi. Case and outer blanks don't count."""
-    key = requested.strip().lower()
-    key = "dapi" if key in ("", "auto", "auto dapi") else key
-    head, _, tail = key.partition(":")
-    index = int(head) if ":" in key and head.strip().lstrip("-").isdigit() else None
-    if ":" in key and index is None:
-        key = tail.strip()
-    name = F.lower(F.trim("name"))
-    rank = F.when(F.lit(index is not None) & (F.col("index") == F.lit(index)), 0).when(name == key, 1).when(name.contains(key), 2).when(F.col("index") == F.lit(int(key) if key.lstrip("-").isdigit() else None), 3)
-    return channels.withColumn("_r", rank).where("_r is not null").orderBy("_r", "index").limit(1).drop("_r")
+    """The one channel (index, name) that a request means, the first of these that there is: of '3: x' the index 3; the exact
+    name; a part of a name; of a bare number the index. What stands before a colon and is no number is dropped; 'auto',
+    'auto dapi' and nothing mean dapi. Case and outer blanks don't count; among equals the least index comes out."""
+    text = re.sub(r"^(auto( dapi)?)?$", "dapi", requested.strip().lower())
+    numbered = re.match(r"([+-]?\d+)\s*:", text)
+    wanted = text if numbered or ":" not in text else text.split(":", 1)[1].strip()
+    is_number = re.fullmatch(r"[+-]?\d+", wanted)
+    name, index = F.lower(F.trim("name")), F.col("index")
+    ways = [index == int(numbered[1]) if numbered else F.lit(False), name == wanted, name.contains(wanted), index == int(wanted) if is_number else F.lit(False)]
+    return channels.withColumn("_way", F.array_position(F.array(*[F.coalesce(w, F.lit(False)) for w in ways]), F.lit(True))).where("_way > 0").orderBy("_way", "index").limit(1).drop("_way")
 
 
 def parse_channels(pages: DataFrame, text: str = "description") -> DataFrame:

@@ -20,6 +20,34 @@ def test_metadata_aliases(spark):
         tables.check_metadata(spark.createDataFrame([("stage", 1.0)], "coordinate_space string, downsample double")).collect()
 
 
+def test_metadata_rules(spark):
+    rows = ["{}", '{"mpp_x": 0.5, "mpp_y": "0.5"}', '{"mpp_x": 0.5, "mpp_reliable": true}', '{"mpp_x": 1, "mpp_y": 1, "mpp_reliable": "no"}', '{"cellpose": {"source_channel": "DAPI"}, "method": "m"}', '{"method": "m", "source_path": "CellViT/x"}', '{"method": "about cellpose"}', '{"channel_name": "c", "level": 0}']
+    m = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, j string")
+    schema = "mpp_x string, mpp_y string, mpp_reliable string, cellpose struct<source_channel:string>, method string, source_path string, channel_name string, level int"
+    m = m.select("k", F.from_json("j", schema).alias("s")).select("k", "s.*")
+    got = {r.k: r for r in tables.normalise_metadata(m).collect()}
+    assert [got[i].mpp_reliable for i in range(4)] == [False, False, False, False]
+    assert [got[i].segmentation_method for i in (4, 5, 6, 7)] == ["Cellpose", "CellViT", "about cellpose", "unknown"]
+    assert (got[4].channel, got[7].channel, got[7].coordinate_space, got[0].coordinate_space) == ("DAPI", "c", "level0_pixel", "mask_pixel")
+    known = m.where("k = 1").drop("mpp_reliable")
+    assert tables.normalise_metadata(known).first().mpp_reliable
+    layer = tables.layer_metadata(m.where("k = 1").drop("mpp_reliable").withColumns({"origin_x": F.lit(10.5), "downsample": F.lit(4.0)}), F.lit(7), F.lit(5), "CD3", "mine").first()
+    assert (layer.image_width, layer.image_height, layer.mpp_reliable, layer.channel, layer.segmentation_method) == (31, 28, False, "CD3", "mine")
+    for bad in ("level0 s, 0 d, 5 w, 5 h", "level0 s, 2 d, null w, 5 h", "level0 s, 2 d, 5 w, -1 h"):
+        cols = [c.split() for c in bad.split(", ")]
+        t = spark.range(1).select(*[(F.lit(v) if i == 0 else F.lit(None if v == "null" else float(v)).cast("double")).alias(n) for i, ((v, _), n) in enumerate(zip(cols, ("coordinate_space", "downsample", "image_width", "image_height")))])
+        with pytest.raises(Exception, match="must be above 0"):
+            tables.check_metadata(t).collect()
+
+
+def test_default_ids_follow_the_source(spark):
+    rows = [(float(100 - i), float(i % 7)) for i in range(100)]
+    t = tables.normalise_features(spark.createDataFrame(rows, "x double, y double").repartition(1).repartitionByRange(5, F.desc("x")), 1.0, 1.0)
+    assert {r.centroid_x: r.cell_id for r in t.collect()} == {x: i + 1 for i, (x, _) in enumerate(rows)}
+    t = tables.normalise_features(spark.createDataFrame(rows, "x double, y double"), 1.0, 1.0, order=["x"])
+    assert {r.centroid_x: r.cell_id for r in t.collect()} == {x: int(x) for x, _ in rows}
+
+
 def test_features_by_other_names(spark):
     t = spark.createDataFrame([("5", "1.5", "2", "0"), ("x", "nan", "1", "1"), ("7", "", "1", "1")], "label string, x string, y string, area string")
     r = tables.normalise_features(t, 10.0, 10.0).collect()
