@@ -262,6 +262,18 @@ def tile_plan(sizes: DataFrame, by: Sequence[str], chunk: int, overlap: int) ->
     return t.select(*by, F.col("tile").cast("int").alias("tile"), F.greatest(F.col("core_y0") - overlap, F.lit(0)).cast("int").alias("y0"), F.least(F.col("core_y1") + overlap, "height").cast("int").alias("y1"), F.greatest(F.col("core_x0") - overlap, F.lit(0)).cast("int").alias("x0"), F.least(F.col("core_x1") + overlap, "width").cast("int").alias("x1"), *[F.col(c).cast("int").alias(c) for c in ("core_y0", "core_y1", "core_x0", "core_x1")])
 
 
+def in_tiles(pixels: DataFrame, sizes: DataFrame, by: Sequence[str], chunk: int, overlap: int) -> DataFrame:
+    """``pixels`` with the tile of ``tile_plan`` and whether they are in its core: a row for each of the at most four tiles whose
+    window holds the pixel, by arithmetic."""
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - overlap) / chunk)), F.least(F.floor((F.col(n) - 1) / chunk), F.floor((F.col(c) + overlap) / chunk))))
+    p = on(by, pixels, sizes.select(*by, "width", "height")).where("y >= 0 and x >= 0 and y < height and x < width")
+    p = p.withColumn("_ty", near("y", "height")).withColumn("_tx", near("x", "width"))
+    window = lambda c, t: F.col(c) - F.col(t) * chunk
+    p = p.where((window("y", "_ty") < chunk + overlap) & (window("x", "_tx") < chunk + overlap))
+    core = (F.floor(F.col("y") / chunk) == F.col("_ty")) & (F.floor(F.col("x") / chunk) == F.col("_tx"))
+    return p.withColumns({"tile": (F.col("_ty") * F.ceil(F.col("width") / chunk) + F.col("_tx")).cast("int"), "in_core": core}).drop("_ty", "_tx", "width", "height")
+
+
 def blank_tiles(pixels: DataFrame, by: Sequence[str], area: Column, value: str = "value", min_share: float = 0.001, min_p99: float = 5.0) -> DataFrame:
     """(by, blank): tiles with under ``min_share`` of nonzero pixels, or whose 99th percentile is at most ``min_p99``. Zero
     pixels need not be listed: ``area`` says how many there are in all."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,51 +11,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoloom.functions.stats import on
-from cytoloom.operators.models import MODEL, apply_xy, invert
+from cytoloom.operators.models import MODEL, apply_xy, invert, local_affine, spline_points
 from cytoloom.operators.neighbors import _key_columns
-from cytoloom.runtime import column, map_groups
+from cytoloom.runtime import column, cut, map_groups
 
 
 def _in_frame(df: DataFrame) -> DataFrame:
     return df.where("y >= 0 and x >= 0 and y < height and x < width")
 
 
-def output_grid(source: DataFrame, models: DataFrame, sizes: DataFrame, by: Sequence[str], margin: int = 1, tile: int = 64) -> DataFrame:
-    """(by, y, x, sx, sy): the output pixels that some source pixel may reach, with their place in the source. Source
-    pixels are moved forward tile by tile, so only tiles of the output that get anything are listed."""
-    t = source.select(*by, F.floor(F.col("x") / tile).alias("_cx"), F.floor(F.col("y") / tile).alias("_cy")).distinct()
-    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
-    c = on(by, t, models.select(*by, *MODEL)).select(*by, "_cx", "_cy", *MODEL, corner)
-    px, py = apply_xy((F.col("_cx") + F.col("k.a")) * tile, (F.col("_cy") + F.col("k.b")) * tile)
-    box = c.groupBy(*by, "_cx", "_cy").agg(F.floor(F.min(px) - margin).alias("x0"), F.ceil(F.max(px) + margin).alias("x1"), F.floor(F.min(py) - margin).alias("y0"), F.ceil(F.max(py) + margin).alias("y1"))
-    box = on(by, box, sizes.select(*by, "width", "height"))
-    clip = lambda c, e: F.least(F.greatest(F.col(c), F.lit(0)), F.col(e) - 1)
-    span = lambda a, b, e: F.explode(F.sequence(F.floor(clip(a, e) / tile), F.floor(clip(b, e) / tile)))
-    tiles = box.where("x1 >= 0 and y1 >= 0 and x0 < width and y0 < height").select(*by, "width", "height", span("x0", "x1", "width").alias("ox"), "y0", "y1").select(*by, "width", "height", "ox", span("y0", "y1", "height").alias("oy")).distinct()
-    cell = lambda o: F.explode(F.sequence(F.col(o) * tile, F.col(o) * tile + tile - 1))
-    g = tiles.select(*by, "width", "height", cell("oy").alias("y"), "ox").select(*by, "width", "height", "y", cell("ox").alias("x"))
-    g = on(by, _in_frame(g), invert(models.select(*by, *MODEL)))
-    sx, sy = apply_xy(F.col("x").cast("double"), F.col("y").cast("double"))
-    return g.select(*by, "y", "x", sx.alias("sx"), sy.alias("sy"))
-
-
-def sample(grid: DataFrame, source: DataFrame, by: Sequence[str], order: int = 1, value: str = "value") -> DataFrame:
-    """(by, y, x, value): the source at each grid row's (sx, sy). Order 0 takes the nearest pixel (half to even), order 1
-    weighs the four around it; what lies outside the source is 0. Zeros are left out."""
-    s = source.select(*by, F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), F.col(value).alias("_v"))
-    if order == 0:
-        g = grid.withColumns({"_y": F.rint("sy").cast("long"), "_x": F.rint("sx").cast("long")})
-        return g.join(s, [*by, "_y", "_x"]).select(*by, "y", "x", F.col("_v").alias(value)).where(F.col(value) != 0)
-    g = grid.withColumns({"_fy": F.floor("sy"), "_fx": F.floor("sx")})
-    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
-    g = g.select(*by, "y", "x", "sx", "sy", "_fx", "_fy", corner).withColumns({"_y": (F.col("_fy") + F.col("k.a")).cast("long"), "_x": (F.col("_fx") + F.col("k.b")).cast("long")})
-    w = (1 - F.abs(F.col("sy") - F.col("_y"))) * (1 - F.abs(F.col("sx") - F.col("_x")))
-    return g.join(s, [*by, "_y", "_x"]).groupBy(*by, "y", "x").agg(F.sum(w * F.col("_v")).alias(value)).where(F.col(value) != 0)
-
-
-def affine_warp(source: DataFrame, models: DataFrame, sizes: DataFrame, by: Sequence[str], order: int = 0, value: str = "value") -> DataFrame:
-    """The source moved by its group's model into a frame of width x height: every output pixel looks back."""
-    return sample(output_grid(source, models, sizes, by), source, by, order, value)
+def _sampled(cells: DataFrame, params: Sequence[str], place: Callable[[dict, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], source: DataFrame, by: Sequence[str], order: int, value: str, tile: int) -> DataFrame:
+    """(by, y, x, value): output pixels, cell by cell. ``cells``: by, _y0, _x0 (a cell's first pixel), _h, _w (its size), _sy0,
+    _sy1, _sx0, _sx1 (where in the source it may look) and ``params``, from which ``place`` tells each pixel's place there.
+
+    The source goes as tiles; each cell gets those it may look at, by an equi-join, so rows are tiles until the result.
+    Order 0 takes the nearest pixel (half to even), order 1 weighs the four around; what lies outside the source is 0.
+    Zeros are left out."""
+    kind = dict(source.dtypes)[value] if order == 0 else "double"
+    s = source.select(*by, F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), F.col(value).cast(kind).alias("_v"))
+    s = s.withColumns({"_ty": F.floor(F.col("_y") / tile), "_tx": F.floor(F.col("_x") / tile)})
+    tiles = cut(s.groupBy(*by, "_ty", "_tx").agg(F.collect_list(F.struct("_y", "_x", "_v")).alias("_p")))  # a tile bounds the list
+    ends = tiles.groupBy(*by).agg(*[f(c).alias(f"_{n}{c}") for c in ("_ty", "_tx") for n, f in (("lo", F.min), ("hi", F.max))])
+    need = on(by, cells, ends)
+    span = lambda a, b, c: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.col(f"_lo{c}")), F.least(F.floor(F.col(b) / tile), F.col(f"_hi{c}")))
+    some = lambda a, b, c: (F.floor(F.col(b) / tile) >= F.col(f"_lo{c}")) & (F.floor(F.col(a) / tile) <= F.col(f"_hi{c}"))
+    need = need.where(some("_sy0", "_sy1", "_ty") & some("_sx0", "_sx1", "_tx")).withColumn("_ty", F.explode(span("_sy0", "_sy1", "_ty"))).withColumn("_tx", F.explode(span("_sx0", "_sx1", "_tx")))
+    both = need.select(*by, "_y0", "_x0", "_h", "_w", *params, "_ty", "_tx").join(tiles, [*by, "_ty", "_tx"]).drop("_ty", "_tx")
+
+    def look(t: pa.Table) -> pa.Table | None:
+        first = {c: t.column(c)[0].as_py() for c in ("_y0", "_x0", "_h", "_w", *params)}
+        p = pa.chunked_array(t.column("_p")).combine_chunks() if not isinstance(t.column("_p"), pa.ChunkedArray) else t.column("_p").combine_chunks()
+        flat = (p.chunk(0) if isinstance(p, pa.ChunkedArray) else p).flatten()
+        py, px, pv = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key = (py << 32) + px
+        o = np.argsort(key, kind="stable")
+        key, pv = key[o], pv[o]
+        y, x = (g.ravel() for g in np.mgrid[first["_y0"] : first["_y0"] + first["_h"], first["_x0"] : first["_x0"] + first["_w"]])
+        sx, sy = place(first, x.astype(float), y.astype(float))
+
+        def at(iy: np.ndarray, ix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = (iy.astype(np.int64) << 32) + ix.astype(np.int64)
+            i = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            return key[i] == k, i
+
+        ok = np.isfinite(sx) & np.isfinite(sy) & (np.abs(sx) < 2**31) & (np.abs(sy) < 2**31)
+        y, x, sx, sy = y[ok], x[ok], sx[ok], sy[ok]
+        if order == 0:
+            hit, i = at(np.rint(sy), np.rint(sx))
+            got = pv[i[hit]]
+            y, x = y[hit], x[hit]
+        else:
+            got = np.zeros(len(y))
+            fy, fx = np.floor(sy), np.floor(sx)
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    hit, i = at(fy + dy, fx + dx)
+                    got += np.where(hit, (1 - np.abs(sy - fy - dy)) * (1 - np.abs(sx - fx - dx)) * pv[i], 0)
+        keep = got != 0
+        n = int(keep.sum())
+        return pa.table({**{g: pa.concat_arrays([_one(t.column(g))] * n) if n else pa.array([], t.column(g).type) for g in by}, "y": y[keep].astype(np.int64), "x": x[keep].astype(np.int64), value: got[keep]}) if n else None
+
+    return map_groups(both, [*by, "_y0", "_x0"], look, _key_columns(source, by) + f"y long, x long, `{value}` {kind}")
+
+
+def _one(c: pa.ChunkedArray | pa.Array) -> pa.Array:
+    c = c.slice(0, 1)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _cells(sizes: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """Every cell of ``size`` of each frame, in itself cut to the frame: by, gy, gx, _y0, _x0, _h, _w."""
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / size)))
+    c = sizes.where("width > 0 and height > 0").select(*by, "width", "height", axis("height").alias("gy")).withColumn("gx", axis("width"))
+    c = c.withColumns({"_y0": F.col("gy") * size, "_x0": F.col("gx") * size})
+    return c.withColumns({"_h": F.least(F.lit(size), F.col("height") - F.col("_y0")), "_w": F.least(F.lit(size), F.col("width") - F.col("_x0"))})
+
+
+def _looking(cells: DataFrame, xs: Sequence[Column], ys: Sequence[Column], margin: float = 1.0) -> DataFrame:
+    """``cells`` with where they look: the box around the given places."""
+    return cells.withColumns({"_sx0": F.least(*xs) - margin, "_sx1": F.greatest(*xs) + margin, "_sy0": F.least(*ys) - margin, "_sy1": F.greatest(*ys) + margin})
+
+
+def affine_warp(source: DataFrame, models: DataFrame, sizes: DataFrame, by: Sequence[str], order: int = 0, value: str = "value", tile: int = 128, part: tuple[int, int] | None = None) -> DataFrame:
+    """The source moved by its group's model into a frame of width x height: every output pixel looks back. A rigid warp of
+    a mask is one of order 0. Groups without a model or without an inverse give nothing. ``part`` (i, n) gives the i-th of n
+    parts of the output's tiles."""
+    c = _cells(sizes.select(*by, "width", "height"), by, tile)
+    if part is not None:
+        c = c.where(F.pmod(F.xxhash64(*by, "gy", "gx"), F.lit(part[1])) == part[0])
+    c = on(by, c, invert(models.select(*by, *MODEL)))
+    at = [apply_xy(F.col("_x0") + dx * (F.col("_w") - 1), F.col("_y0") + dy * (F.col("_h") - 1)) for dx in (0, 1) for dy in (0, 1)]
+    c = _looking(c, [x for x, _ in at], [y for _, y in at])
+
+    def place(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return p["a"] * x + p["b"] * y + p["tx"], p["c"] * x + p["d"] * y + p["ty"]
+
+    return _sampled(c, MODEL, place, source, by, order, value, tile)
 
 
 def field_warp(source: DataFrame, field: DataFrame, sizes: DataFrame, by: Sequence[str], step: int, order: int = 0, value: str = "value") -> DataFrame:
@@ -64,15 +115,64 @@ def field_warp(source: DataFrame, field: DataFrame, sizes: DataFrame, by: Sequen
     spline, warps this way. Cells with a missing node are left empty."""
     f = field.select(*by, "gy", "gx", F.col("sx").alias("_sx"), F.col("sy").alias("_sy"))
     corner = lambda dy, dx, n: f.select(*by, (F.col("gy") - dy).alias("gy"), (F.col("gx") - dx).alias("gx"), F.col("_sx").alias(f"x{n}"), F.col("_sy").alias(f"y{n}"))
-    c = corner(0, 0, 0)
-    for n, (dy, dx) in enumerate(((0, 1), (1, 0), (1, 1)), start=1):
+    c = _cells(sizes.select(*by, "width", "height"), by, step)
+    for n, (dy, dx) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
         c = c.join(corner(dy, dx, n), [*by, "gy", "gx"])
-    c = on(by, c, sizes.select(*by, "width", "height"))
-    g = c.withColumn("ay", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("ax", F.explode(F.sequence(F.lit(0), F.lit(step - 1))))
-    u, v = F.col("ax") / step, F.col("ay") / step
-    mix = lambda n: (1 - v) * ((1 - u) * F.col(f"{n}0") + u * F.col(f"{n}1")) + v * ((1 - u) * F.col(f"{n}2") + u * F.col(f"{n}3"))
-    g = g.select(*by, "width", "height", (F.col("gy") * step + F.col("ay")).alias("y"), (F.col("gx") * step + F.col("ax")).alias("x"), mix("x").alias("sx"), mix("y").alias("sy"))
-    return sample(_in_frame(g).drop("width", "height"), source, by, order, value)
+    c = _looking(c, [F.col(f"x{n}") for n in range(4)], [F.col(f"y{n}") for n in range(4)])
+
+    def place(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (x - p["_x0"]) / step, (y - p["_y0"]) / step
+        return tuple((1 - v) * ((1 - u) * p[f"{n}0"] + u * p[f"{n}1"]) + v * ((1 - u) * p[f"{n}2"] + u * p[f"{n}3"]) for n in "xy")
+
+    return _sampled(c, [f"{n}{i}" for n in "xy" for i in range(4)], place, source, by, order, value, max(step, 16))
+
+
+def field_nodes(sizes: DataFrame, by: Sequence[str], step: int) -> DataFrame:
+    """(by, id, gy, gx, x, y): the nodes of a field over each frame, the last ones on or beyond its edge. To be evaluated."""
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / step).cast("int")))
+    g = sizes.where("width > 0 and height > 0").select(*by, "width", axis("height").alias("gy")).withColumn("gx", axis("width")).drop("width")
+    return g.withColumns({"id": F.col("gy").cast("long") * (1 << 31) + F.col("gx"), "x": F.col("gx") * F.lit(float(step)), "y": F.col("gy") * F.lit(float(step))})
+
+
+def local_affine_warp(source: DataFrame, landmarks: DataFrame, models: DataFrame, sizes: DataFrame, by: Sequence[str], step: int = 128, order: int = 0, value: str = "value", k: int = 8, power: float = 2.0) -> DataFrame:
+    """The source moved by the local affine of landmarks (by, id, x1, y1 in the output, x2, y2 in the source), evaluated at a
+    field's nodes; ``models`` (source to output) serve where there are too few."""
+    back = landmarks.select(*by, "id", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    # ids of nodes repeat from group to group
+    nodes = cut(field_nodes(sizes, by, step).withColumn("id", F.xxhash64(*by, "id")))
+    moved = local_affine(nodes, back, invert(models.select(*by, *MODEL)), by, k, power)
+    return field_warp(source, moved.select(*by, "gy", "gx", F.col("x_local").alias("sx"), F.col("y_local").alias("sy")), sizes, by, step, order, value)
+
+
+def spline_warp(source: DataFrame, splines: DataFrame, sizes: DataFrame, by: Sequence[str], step: int = 16, order: int = 0, value: str = "value") -> DataFrame:
+    """The source moved by splines from output to source places, evaluated at a field's nodes; ``step`` 1 evaluates every
+    pixel."""
+    nodes = cut(field_nodes(sizes, by, step).withColumn("id", F.xxhash64(*by, "id")))
+    moved = nodes.join(spline_points(nodes.select(*by, "id", "x", "y"), splines, by, "id", ("sx", "sy")).select("id", "sx", "sy"), "id")
+    return field_warp(source, moved.select(*by, "gy", "gx", "sx", "sy"), sizes, by, step, order, value)
+
+
+def grid_warp(source: DataFrame, shifts: DataFrame, sizes: DataFrame, by: Sequence[str], grid: int = 4, order: int = 0, value: str = "value", tile: int = 128) -> DataFrame:
+    """The source moved by a grid of shifts (by, gy, gx, dx, dy: what is added to a source place), one at the centre of each of
+    grid x grid cells of the output frame; between centres they are interpolated linearly, beyond them continued. Groups
+    with a missing shift give nothing."""
+    every = F.array_sort(F.collect_list(F.struct("gy", "gx", "dx", "dy")))  # grid x grid rows
+    g = shifts.where("dx is not null and dy is not null").groupBy(*by).agg(every.alias("_g")).where(F.size("_g") == grid * grid)
+    g = g.select(*by, F.transform("_g", lambda s: s.dx).alias("_dx"), F.transform("_g", lambda s: s.dy).alias("_dy"))
+    c = on(by, _cells(sizes.select(*by, "width", "height"), by, tile), g).where("_dx is not null")
+    # continued beyond the centres a shift may be twice as far from the rest again
+    wide = lambda n: 2 * (F.array_max(n) - F.array_min(n)) + F.greatest(F.abs(F.array_max(n)), F.abs(F.array_min(n)))
+    c = c.withColumns({"_sx0": F.col("_x0") - wide("_dx") - 1, "_sx1": F.col("_x0") + F.col("_w") + wide("_dx"), "_sy0": F.col("_y0") - wide("_dy") - 1, "_sy1": F.col("_y0") + F.col("_h") + wide("_dy")})
+
+    def place(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = ((c + 0.5) * grid / p[n] - 0.5 for c, n in ((x, "width"), (y, "height")))
+        i, j = (np.clip(np.floor(w).astype(int), 0, max(0, grid - 2)) for w in (u, v))
+        u, v = u - i, v - j
+        i1, j1 = np.minimum(i + 1, grid - 1), np.minimum(j + 1, grid - 1)
+        at = lambda d: (1 - v) * ((1 - u) * d[j, i] + u * d[j, i1]) + v * ((1 - u) * d[j1, i] + u * d[j1, i1])
+        return x - at(np.reshape(p["_dx"], (grid, grid))), y - at(np.reshape(p["_dy"], (grid, grid)))
+
+    return _sampled(c, ["width", "height", "_dx", "_dy"], place, source, by, order, value, tile)
 
 
 def shift(source: DataFrame, by: Sequence[str], dy: Column | int, dx: Column | int, sizes: DataFrame) -> DataFrame:
@@ -117,14 +217,23 @@ def max_fusion(a: DataFrame, b: DataFrame, by: Sequence[str], value: str = "valu
 
 
 def valid_overlap(models: DataFrame, source_sizes: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, pixels): how many output pixels come from inside the source frame."""
+    """(by, pixels): how many output pixels come from inside the source frame. A row of pixels looks back along a line, so
+    those inside are an interval of it; rows are counted, not pixels."""
     inv = invert(models.select(*by, *MODEL))
     g = on(by, on(by, sizes.select(*by, "width", "height"), source_sizes.select(*by, F.col("width").alias("_sw"), F.col("height").alias("_sh"))), inv)
-    g = g.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    sx, sy = apply_xy("x", "y")
+    g = g.where("width > 0 and height > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     # bilinear weight of an all-ones source above one half: half a pixel of room at the frame
-    inside = (sx > -0.5) & (sy > -0.5) & (sx < F.col("_sw") - 0.5) & (sy < F.col("_sh") - 0.5)
-    return g.groupBy(*by).agg(F.count_if(inside).alias("pixels"))
+    low, high = [F.lit(-1.0)], [F.col("width").cast("double")]
+    outside = F.lit(False)
+    for slope, offset, end in (("a", F.col("b") * F.col("y") + F.col("tx"), "_sw"), ("c", F.col("d") * F.col("y") + F.col("ty"), "_sh")):
+        k = F.col(slope)
+        one, two = (-0.5 - offset) / F.nullif(k, F.lit(0.0)), (F.col(end) - 0.5 - offset) / F.nullif(k, F.lit(0.0))
+        low.append(F.when(k != 0, F.least(one, two)).otherwise(F.lit(-1.0)))
+        high.append(F.when(k != 0, F.greatest(one, two)).otherwise(F.col("width").cast("double")))
+        outside = outside | ((k == 0) & ~((offset > -0.5) & (offset < F.col(end) - 0.5)))
+    # whole numbers strictly between the limits
+    n = F.ceil(F.least(*high)) - F.floor(F.greatest(*low)) - 1
+    return g.groupBy(*by).agg(F.sum(F.when(outside, F.lit(0)).otherwise(F.greatest(n, F.lit(0)))).cast("long").alias("pixels"))
 
 
 def dice(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +69,8 @@ def tile_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 def stitched(spark: SparkSession, sf: str) -> DataFrame:
     """The masks cut into overlapping tiles whose labels start anew, and stitched again."""
-    plan = masks.tile_plan(_frames(spark, sf), IMG, 200, 20)
-    t = mask(spark, sf).join(plan, "image").where("y >= y0 and y < y1 and x >= x0 and x < x1")
-    inside = (F.col("y") >= F.col("core_y0")) & (F.col("y") < F.col("core_y1")) & (F.col("x") >= F.col("core_x0")) & (F.col("x") < F.col("core_x1"))
-    s = masks.stitch_tiles(t.select("image", "tile", "y", "x", "label", inside.alias("in_core")), IMG)
+    t = masks.in_tiles(mask(spark, sf), _frames(spark, sf), IMG, 200, 20)
+    s = masks.stitch_tiles(t.select("image", "tile", "y", "x", "label", "in_core"), IMG)
     return s.groupBy("image", "label").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0")).select("image", "area", "x0", "y0")
 
 
@@ -112,6 +112,45 @@ def field_warped(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").cast("int").alias("x0"), F.min("y").cast("int").alias("y0"))
 
 
+def _boxes(w: DataFrame) -> DataFrame:
+    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.min("x").cast("int").alias("x0"), F.min("y").cast("int").alias("y0"))
+
+
+def turned_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Turned by 27 degrees about a point, into a larger frame: where each label's pixels come to lie."""
+    s, c = math.sin(math.radians(27)), math.cos(math.radians(27))
+    m = _frames(spark, sf).select("image", *[F.lit(float(v)).alias(n) for n, v in zip(MODEL, (c, -s, 400.0, s, c, 0.0))])
+    frame = _frames(spark, sf).withColumns({"width": F.lit(1300), "height": F.lit(1200)})
+    w = raster.affine_warp(mask(spark, sf).withColumnRenamed("label", "value"), m, frame, IMG)
+    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
+
+
+def _shifted_landmarks(spark: SparkSession, sf: str) -> DataFrame:
+    """A landmark for each label: its centre, and where the shift takes it."""
+    b = mask(spark, sf).groupBy("image", "label").agg(F.avg("x").alias("x2"), F.avg("y").alias("y2"))
+    return cut(b.select("image", F.col("label").cast("long").alias("id"), (F.col("x2") + 12).alias("x1"), (F.col("y2") - 7).alias("y1"), "x2", "y2"))
+
+
+def locally_warped(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift told by landmarks, by local affines."""
+    marks = _shifted_landmarks(spark, sf).withColumn("id", F.col("image") * 100_000 + F.col("id"))
+    return _boxes(raster.local_affine_warp(mask(spark, sf).withColumnRenamed("label", "value"), marks, _shifted_model(spark, sf), _frames(spark, sf), IMG))
+
+
+def spline_warped(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift told by landmarks, by a spline from the shifted places back."""
+    marks = _shifted_landmarks(spark, sf).select("image", F.col("x1").alias("fx"), F.col("y1").alias("fy"), F.col("x2").alias("tx"), F.col("y2").alias("ty"))
+    return _boxes(raster.spline_warp(mask(spark, sf).withColumnRenamed("label", "value"), cut(models.fit_spline(marks, IMG)), _frames(spark, sf), IMG))
+
+
+def grid_warped(spark: SparkSession, sf: str) -> DataFrame:
+    """Moved by a grid of shifts that grow to the right and downwards."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    g = _frames(spark, sf).select("image", n.alias("gy")).select("image", "gy", n.alias("gx")).withColumns({"dx": F.col("gx") * 6.25 + 1.3, "dy": F.col("gy") * 3.125 - 2.2})
+    w = raster.grid_warp(mask(spark, sf).withColumnRenamed("label", "value"), g, _frames(spark, sf), IMG)
+    return w.groupBy("image", F.col("value").alias("label")).agg(F.count("*").alias("pixels"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
+
+
 def valid_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return raster.valid_overlap(_shifted_model(spark, sf), _frames(spark, sf), _frames(spark, sf), IMG)
 
@@ -217,7 +256,7 @@ def segmented(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("image", "label").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0")).select("image", "area", "x0", "y0")
 
 
-QUERIES = {f.__name__: f for f in (mask_moments, mask_perimeters, mask_solidity, mask_features, mask_translation, relabelled, binary_masks, tile_plan, stitched, segmented, blank_tiles, polygons, discs, warped_mask, warped_smoothly, field_warped, valid_overlap, merged_masks, fused_images, dice_overlap, mass_centres, downsampled, projected, max_projection, cell_density, blurred_density, density_preview, stretched_density, coarse_rotations, tissue_similarity, mask_tiles, contour_cells)}
+QUERIES = {f.__name__: f for f in (mask_moments, mask_perimeters, mask_solidity, mask_features, mask_translation, relabelled, binary_masks, tile_plan, stitched, segmented, blank_tiles, polygons, discs, warped_mask, warped_smoothly, field_warped, turned_mask, locally_warped, spline_warped, grid_warped, valid_overlap, merged_masks, fused_images, dice_overlap, mass_centres, downsampled, projected, max_projection, cell_density, blurred_density, density_preview, stretched_density, coarse_rotations, tissue_similarity, mask_tiles, contour_cells)}
 
 _MOVED = f"{MASK}, moved AS (SELECT image, label, y + 3 AS y, x + 4 AS x FROM mask WHERE y + 3 < 800 AND x + 4 < 1000)"
 _DENS = lambda p: f"{CELLS}, d AS (SELECT slide_id, round_no, CAST(round_even(centroid_y / {p}, 0) AS INTEGER) AS y, CAST(round_even(centroid_x / {p}, 0) AS INTEGER) AS x, CAST(count(*) AS DOUBLE) AS value FROM placed GROUP BY ALL)"
@@ -252,6 +291,15 @@ h AS (SELECT *, unnest(range(CAST(floor(cx) AS INTEGER) - 8, CAST(floor(cx) AS I
 p AS (SELECT image, y0 + dy AS y, x0 + dx AS x, max(label) AS label FROM parts, o WHERE y0 + dy >= 0 AND x0 + dx >= 0 AND y0 + dy < 800 AND x0 + dx < 1000 GROUP BY ALL) SELECT image, label, count(*) AS pixels FROM p GROUP BY ALL""",
     "warped_mask": _WARP,
     "field_warped": _WARP,
+    "locally_warped": _WARP,
+    "spline_warped": _WARP,
+    "turned_mask": f"""WITH {MASK}, k AS (SELECT cos(radians(27)) AS c, sin(radians(27)) AS s), g AS (SELECT image, unnest(range(1200)) AS y FROM (SELECT DISTINCT image FROM parts)), o AS (SELECT image, y, unnest(range(1300)) AS x FROM g),
+q AS (SELECT image, y, x, CAST(round_even(c * (x - 400) + s * y, 0) AS BIGINT) AS sx, CAST(round_even(-s * (x - 400) + c * y, 0) AS BIGINT) AS sy FROM o, k)
+SELECT q.image, label, count(*) AS pixels, CAST(sum(q.x) AS BIGINT) AS xs, CAST(sum(q.y) AS BIGINT) AS ys FROM q JOIN mask m ON m.image = q.image AND m.x = q.sx AND m.y = q.sy GROUP BY ALL""",
+    # both axes of the grid are linear, so interpolated and continued alike: dx = 6.25 u + 1.3 with u = (x + 0.5) 4 / 1000 - 0.5
+    "grid_warped": f"""WITH {MASK}, g AS (SELECT image, unnest(range(800)) AS y FROM (SELECT DISTINCT image FROM parts)), o AS (SELECT image, y, unnest(range(1000)) AS x FROM g),
+q AS (SELECT image, y, x, CAST(round_even(x - (6.25 * ((x + 0.5) * 4 / 1000 - 0.5) + 1.3), 0) AS BIGINT) AS sx, CAST(round_even(y - (3.125 * ((y + 0.5) * 4 / 800 - 0.5) - 2.2), 0) AS BIGINT) AS sy FROM o)
+SELECT q.image, label, count(*) AS pixels, CAST(sum(q.x) AS BIGINT) AS xs, CAST(sum(q.y) AS BIGINT) AS ys FROM q JOIN mask m ON m.image = q.image AND m.x = q.sx AND m.y = q.sy GROUP BY ALL""",
     "warped_smoothly": f"""WITH {MASK}, o AS (SELECT unnest([0, 1]) AS d), p AS (SELECT image, y + a.d AS y, x + b.d AS x, 0.25 * count(*) AS value FROM mask, o a, o b GROUP BY ALL) SELECT image, count(*) AS pixels, round(CAST(sum(value) AS DOUBLE), 4) AS total FROM p WHERE y < 800 AND x < 1000 GROUP BY image""",
     "valid_overlap": f"WITH {MASK} SELECT DISTINCT image, CAST((1000 - 12) * (800 - 7) AS BIGINT) AS pixels FROM parts",
     "merged_masks": f"""WITH {_MOVED}, j AS (SELECT coalesce(a.image, b.image) AS image, coalesce(a.label, b.label) AS label, CASE WHEN a.label IS NOT NULL THEN 'moving' ELSE 'fixed' END AS source FROM moved a FULL JOIN mask b ON a.image = b.image AND a.y = b.y AND a.x = b.x)

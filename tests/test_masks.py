@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.operators import masks, raster
+from cytoloom.operators import masks, models, raster
 
 
 def pixels(spark, img, g="i"):
@@ -155,3 +155,87 @@ def test_perimeters_across_tiles(spark, size):
     got = {r.label: r.perimeter for r in masks.perimeters(pixels(spark, img), ["g"], size).collect()}
     for n in (1, 2):
         assert got[n] == pytest.approx(border_length(img == n))
+
+
+def _source(spark, rng, h=60, w=70):
+    img = np.zeros((h, w))
+    for _ in range(12):  # blobs that touch and cross tiles
+        y, x, r = rng.integers(0, h), rng.integers(0, w), rng.integers(3, 12)
+        yy, xx = np.mgrid[:h, :w]
+        img[(yy - y) ** 2 + (xx - x) ** 2 <= r * r] = rng.integers(1, 9)
+    y, x = np.nonzero(img)
+    return img, spark.createDataFrame([("i", int(a), int(b), float(img[a, b])) for a, b in zip(y, x)], "g string, y int, x int, value double")
+
+
+def _looked_up(img, sx, sy):
+    iy, ix = np.rint(sy).astype(int), np.rint(sx).astype(int)
+    ok = (iy >= 0) & (ix >= 0) & (iy < img.shape[0]) & (ix < img.shape[1])
+    return np.where(ok, img[np.clip(iy, 0, img.shape[0] - 1), np.clip(ix, 0, img.shape[1] - 1)], 0)
+
+
+def test_a_turned_mask_and_its_overlap_equal_numpy(spark):
+    img, src = _source(spark, np.random.default_rng(4))
+    t = np.radians(33)
+    m = np.array([[np.cos(t), -np.sin(t), 31.3], [np.sin(t), np.cos(t), -12.1], [0, 0, 1]])
+    model = spark.createDataFrame([("i", *map(float, m[:2].ravel()))], "g string, a double, b double, tx double, c double, d double, ty double")
+    size = spark.createDataFrame([("i", 90, 80)], "g string, width int, height int")
+    y, x = np.mgrid[:80, :90]
+    sx, sy, _ = np.einsum("ij,jyx->iyx", np.linalg.inv(m), np.stack([x, y, np.ones_like(x)]))
+    got = image(raster.affine_warp(src, model, size, ["g"], tile=16), (80, 90), "value")
+    assert (got == _looked_up(img, sx, sy)).all()
+    both = sum(image(raster.affine_warp(src, model, size, ["g"], tile=16, part=(i, 3)), (80, 90), "value") for i in range(3))
+    assert (both == got).all()
+    inside = (sx > -0.5) & (sy > -0.5) & (sx < 69.5) & (sy < 59.5)
+    src_size = spark.createDataFrame([("i", 70, 60)], "g string, width int, height int")
+    assert raster.valid_overlap(model, src_size, size, ["g"]).first().pixels == inside.sum()
+    assert raster.affine_warp(src.limit(0), model, size, ["g"]).count() == 0 == raster.affine_warp(src, model.limit(0), size, ["g"]).count()
+
+
+def test_grid_and_spline_warps_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    img, src = _source(spark, rng)
+    size = spark.createDataFrame([("i", 70, 60)], "g string, width int, height int")
+    d = rng.uniform(-5, 5, (4, 4, 2))
+    shifts = spark.createDataFrame([("i", j, i, *map(float, d[j, i])) for j in range(4) for i in range(4)], "g string, gy int, gx int, dx double, dy double")
+    y, x = np.mgrid[:60, :70].astype(float)
+    u, v = (x + 0.5) * 4 / 70 - 0.5, (y + 0.5) * 4 / 60 - 0.5
+    i, j = np.clip(np.floor(u), 0, 2).astype(int), np.clip(np.floor(v), 0, 2).astype(int)
+    at = ((1 - (v - j)) * (1 - (u - i)))[..., None] * d[j, i] + ((1 - (v - j)) * (u - i))[..., None] * d[j, i + 1] + ((v - j) * (1 - (u - i)))[..., None] * d[j + 1, i] + ((v - j) * (u - i))[..., None] * d[j + 1, i + 1]
+    got = image(raster.grid_warp(src, shifts, size, ["g"], tile=16), img.shape, "value")
+    assert (got == _looked_up(img, x - at[..., 0], y - at[..., 1])).all()
+    marks = rng.uniform(0, 60, (12, 2))
+    to = marks + rng.normal(0, 2, (12, 2))
+    lm = spark.createDataFrame([("i", *map(float, (*a, *b))) for a, b in zip(marks, to)], "g string, fx double, fy double, tx double, ty double")
+    sp = models.fit_spline(lm, ["g"])
+    pts = spark.createDataFrame([("i", int(r * 70 + c), float(c), float(r)) for r in range(60) for c in range(70)], "g string, id long, x double, y double")
+    place = {r.id: (r.x_spline, r.y_spline) for r in models.spline_points(pts, sp, ["g"]).collect()}
+    s = np.array([place[k] for k in range(4200)]).reshape(60, 70, 2)
+    one = image(raster.spline_warp(src, sp, size, ["g"], step=1), img.shape, "value")
+    assert (one == _looked_up(img, s[..., 0], s[..., 1])).all()
+    assert (image(raster.spline_warp(src, sp, size, ["g"], step=4), img.shape, "value") == one).mean() > 0.97
+
+
+def test_registered_raster_is_written_part_by_part(spark, tmp_path):
+    from cytoloom.sources import tiles as dense
+
+    img, src = _source(spark, np.random.default_rng(6))
+    both = src.withColumn("channel", F.lit(0)).unionByName(src.withColumn("channel", F.lit(1)).withColumn("value", F.col("value") * 2))
+    model = spark.createDataFrame([("i", 1.0, 0.0, 3.0, 0.0, 1.0, 2.0)], "g string, a double, b double, tx double, c double, d double, ty double")
+    size = spark.createDataFrame([("i", 80, 70)], "g string, width int, height int")
+    p = dense.write_registered(both, model, size, ["g"], f"{tmp_path}/r", tile=32, parts=3).orderBy("part").collect()
+    assert [r.part for r in p] == [0, 1, 2] and p[-1].tiles_done == sum(r.tiles for r in p)
+    assert dense.write_registered(both, model, size, ["g"], f"{tmp_path}/r", tile=32, parts=3).count() == 3  # nothing is left to do
+    for channel in (0, 1):
+        out = np.zeros((96, 96))
+        for r in dense.read_region(spark, f"{tmp_path}/r/tiles", 0, 0, 96, 0, 96, [channel]).collect():
+            out[r.y0 : r.y0 + 32, r.x0 : r.x0 + 32] = np.frombuffer(r.data, "<f4").reshape(32, 32)
+        assert (out[2:62, 3:73] == img * (channel + 1)).all() and out.sum() == img.sum() * (channel + 1)
+
+
+def test_tiles_of_pixels_are_those_whose_window_holds_them(spark):
+    size = spark.createDataFrame([("i", 70, 50)], "g string, width int, height int")
+    px = spark.createDataFrame([("i", y, x) for y in range(50) for x in range(70)], "g string, y int, x int")
+    plan = masks.tile_plan(size, ["g"], 20, 6).collect()
+    got = {(r.y, r.x, r.tile, r.in_core) for r in masks.in_tiles(px, size, ["g"], 20, 6).collect()}
+    want = {(y, x, t.tile, t.core_y0 <= y < t.core_y1 and t.core_x0 <= x < t.core_x1) for t in plan for y in range(t.y0, t.y1) for x in range(t.x0, t.x1)}
+    assert got == want
