@@ -200,18 +200,18 @@ def _solve(model: str, m: np.ndarray, f: np.ndarray) -> np.ndarray:
     return out
 
 
-def ransac(matches: DataFrame, by: Sequence[str], id_col: str, model: str = "translation", threshold: float = 2.0, trials: int = 1000, samples: int | None = None, min_inliers: int = 3, pool: int = 512, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def ransac(matches: DataFrame, by: Sequence[str], id_col: str, model: str = "translation", threshold: float = 2.0, trials: int = 1000, samples: int | None = None, min_inliers: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(models, matches with ransac_inlier and residual_px).
 
-    Trial models come from samples of the at most ``pool`` matches of least id hash of each group; every match votes on
-    every trial, chunk by chunk. The trial with most matches within ``threshold`` wins, then the one of smaller residual
+    Trials are samples of the whole group: of as many matches as all trials need, those of least id hash, each trial takes
+    its own; in smaller groups trials share them. Every match votes on every trial, chunk by chunk. The trial with most matches within ``threshold`` wins, then the one of smaller residual
     sum, then the earlier. The model is fitted again to its inliers; a group with too few keeps all its matches. The
     same seed gives the same models. Groups with fewer matches than a sample needs are fitted to all they have."""
     need = samples or SAMPLES[model]
     m = matches.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("x1", "y1", "x2", "y2")))
     m = cut(m)
     place = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(id_col), id_col))
-    drawn = m.select(*by, id_col, "x1", "y1", "x2", "y2").withColumn("_p", place).where(F.col("_p") <= pool).drop("_p")
+    drawn = m.select(*by, id_col, "x1", "y1", "x2", "y2").withColumn("_p", place).where(F.col("_p") <= trials * need).drop("_p")
     keys = _key_columns(m, by) if by else "_all int, "
     group = list(by) or ["_all"]
     if not by:
@@ -221,7 +221,10 @@ def ransac(matches: DataFrame, by: Sequence[str], id_col: str, model: str = "tra
         if len(t) < need:
             return None
         rng = np.random.default_rng(seed)
-        i = np.argsort(rng.random((trials, len(t))), axis=1)[:, :need] if len(t) <= 64 else rng.integers(0, len(t), (trials, need))
+        if len(t) >= trials * need:
+            i = rng.permutation(trials * need).reshape(trials, need)
+        else:
+            i = np.argsort(rng.random((trials, len(t))), axis=1)[:, :need] if len(t) <= 64 else rng.integers(0, len(t), (trials, need))
         f, mv = (np.column_stack([column(t, c) for c in cs])[i] for cs in (("x1", "y1"), ("x2", "y2")))
         got = _solve(model, mv, f)
         return pa.table({**{g: t.column(g).slice(0, 1) for g in group}, "trials": pa.array([got.ravel().tolist()], pa.list_(pa.float64()))})
@@ -249,6 +252,37 @@ def ransac(matches: DataFrame, by: Sequence[str], id_col: str, model: str = "tra
     return (final, marked) if by else (final.drop("_all"), marked.drop("_all"))
 
 
+def clip_inliers(marked: DataFrame, models: DataFrame, by: Sequence[str], model: str = "translation", threshold: float = 2.0, mad_factor: float = 3.0, min_inliers: int = 12, max_drop: float = 0.2, min_gain: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, matches, diagnostics): inliers (x1, y1, x2, y2, ransac_inlier, residual_px) farther off than median + mad_factor x
+    max(1.4826 MAD, 1e-6) are left out, the model is fitted again to the others, and matches within ``threshold`` of it are
+    the inliers.
+
+    A group takes the new model only if it had at least ``min_inliers``, keeps and comes out with as many, loses no more than
+    the share ``max_drop`` of them (or one) at either step, and the median residual of inliers falls by ``min_gain``; else it
+    stays as it is. ``diagnostics``: by, used, clip_limit, kept, median_before, median_after (null where not refitted)."""
+    marked = cut(marked)
+    inl = marked.where("ransac_inlier")
+    st = on(by, inl.groupBy(*by).agg(F.median("residual_px").alias("median_before"), F.count("*").alias("_n")), marked.groupBy(*by).agg(F.lit(1).alias("_")), "right" if by else "left")
+    dev = on(by, inl, st).groupBy(*by).agg(F.median(F.abs(F.col("residual_px") - F.col("median_before"))).alias("_mad"))
+    st = on(by, st, dev, "left").withColumn("clip_limit", F.col("median_before") + mad_factor * F.greatest(MAD * F.col("_mad"), F.lit(1e-6)))
+    st = st.withColumn("_drop", F.greatest(F.lit(1), F.floor(F.col("_n") * max_drop)))
+    seed = on(by, inl, st.select(*by, "clip_limit")).where(F.col("residual_px") <= F.col("clip_limit")).drop("clip_limit")
+    st = on(by, st, seed.groupBy(*by).agg(F.count("*").alias("kept")), "left")
+    fitted = cut(FITS[model](seed, by))
+    again = cut(residuals(marked, fitted, by, "_res").withColumn("_in", F.coalesce(F.col("_res") <= threshold, F.lit(False))))
+    after = again.where("_in").groupBy(*by).agg(F.median("_res").alias("median_after"), F.count("*").alias("_m"))
+    st = on(by, st, after, "left")
+    least = max(3, min_inliers)
+    used = (F.lit(mad_factor > 0) & (F.col("_n") >= least) & (F.col("kept") >= least) & (F.col("kept") >= F.col("_n") - F.col("_drop")) & (F.col("_m") >= least)
+            & (F.col("_n") - F.col("_m") <= F.col("_drop")) & (F.col("median_before") - F.col("median_after") >= min_gain))
+    st = cut(st.withColumn("used", F.coalesce(used, F.lit(False))))
+    flag = st.select(*by, "used")
+    matches = on(by, again, flag).withColumns({"ransac_inlier": F.when(F.col("used"), F.col("_in")).otherwise(F.col("ransac_inlier")), "residual_px": F.when(F.col("used"), F.col("_res")).otherwise(F.col("residual_px"))}).select(*marked.columns)
+    cols = [*by, *MODEL]
+    final = on(by, models, flag).where("not used").select(*cols).unionByName(on(by, fitted, flag).where("used").select(*cols))
+    return final, matches, st.select(*by, "used", "clip_limit", "kept", "median_before", "median_after")
+
+
 # -- offsets, displacement modes, grids --------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cytoloom.functions.stats import on
+from cytoloom.functions.stats import on, z_scores
 from cytoloom.operators.spatial import distances, voronoi_blocks, vp_pairs
 from cytoloom.runtime import column, cut, free, map_groups
 
@@ -231,6 +231,54 @@ def shape_score(pairs: DataFrame, features: DataFrame, moving: DataFrame, scales
     return j.withColumn("score", F.sqrt(total / len(cols))).select(*pairs.columns, "score")
 
 
+def weighted_pairs(fixed: DataFrame, moving: DataFrame, group: Sequence[str], id_col: str, features: Sequence[str], topology: Sequence[str] = (), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), window: float = 100.0, threshold: float | None = None, cap: int = 2048) -> DataFrame:
+    """(group, id1, id2, spatial, distance): every pair within ``window`` pixels, its distance the weighted sum of the distances
+    of shape features, of topology features and of normalised places (pos_x_norm, pos_y_norm). Features are standardised
+    over both sides of a group. A weight of 0, or no columns, leaves a part out; a cell that misses a value that counts
+    has no pairs. A window is needed, as pairs are all compared within it. ``threshold`` leaves out costlier pairs; a block
+    weighs its own pairs, so these are never written."""
+    parts = [(w, list(c)) for w, c in zip(weights, (features, topology, ("pos_x_norm", "pos_y_norm"))) if w > 0 and len(c)]
+    both = fixed.withColumn("_s", F.lit(1)).unionByName(moving.withColumn("_s", F.lit(2)), allowMissingColumns=True)
+    names = ordered_union(*[c for _, c in parts])
+    z = z_scores(both.select(*group, id_col, "_s", "centroid_x", "centroid_y", *[F.col(c).cast("double").alias(c) for c in names]), group, [c for c in names if not c.startswith("pos_")])
+    fs = [f"_f{i}" for i in range(sum(len(c) for _, c in parts))]
+    flat = [c for _, cs in parts for c in cs]
+    more = [F.col(c).alias(f) for c, f in zip(flat, fs)]
+    both = cut(reduce(DataFrame.unionByName, [_points(z.where(F.col("_s") == i), group, ["centroid_x", "centroid_y"], id_col, i, more) for i in (1, 2)]))
+    blocks = voronoi_blocks(both, list(group), ["_x0", "_x1"], "_id", window, cap=cap)
+    spans = np.cumsum([0, *[len(c) for _, c in parts]]).tolist()
+
+    def pairs(t: pa.Table) -> pa.Table | None:
+        side, ids = column(t, "_side"), column(t, "_id")
+        every = np.flatnonzero(column(t, "core").astype(bool) & (side == 1))
+        other = np.flatnonzero(side == 2)
+        if not len(every) or not len(other):
+            return None
+        x = np.column_stack([column(t, c) for c in ("_x0", "_x1")])
+        f = np.column_stack([column(t, c) for c in fs]).astype(float) if fs else np.zeros((len(ids), 0))
+        out = []
+        step = max(1, 1_000_000 // len(other))
+        for a in range(0, len(every), step):
+            rows = np.concatenate([other, every[a : a + step]])
+            i, j, d = vp_pairs(x[rows], np.arange(len(other), len(rows)), window)
+            keep = j < len(other)
+            i, j, d = rows[i[keep]], rows[j[keep]], d[keep]
+            cost = np.zeros(len(i))
+            for (w, _), lo, hi in zip(parts, spans[:-1], spans[1:]):
+                cost += w * np.sqrt(((f[i, lo:hi] - f[j, lo:hi]) ** 2).sum(1))
+            ok = np.isfinite(cost) if threshold is None else cost <= threshold
+            out.append((i[ok], j[ok], d[ok], cost[ok]))
+        i, j, d, cost = (np.concatenate(c) for c in zip(*out))
+        return pa.table({**{g: t.column(g).take(i) for g in group}, "id1": ids[i], "id2": ids[j], "spatial": d, "distance": cost})
+
+    return map_groups(blocks, [*group, "block"], pairs, _key_columns(both, group) + "id1 long, id2 long, spatial double, distance double")
+
+
+def ordered_union(*lists: Sequence[str]) -> list[str]:
+    """The names of all lists, each once, in the order in which they first come."""
+    return list(dict.fromkeys(c for names in lists for c in names))
+
+
 def top_candidates(pairs: DataFrame, group: Sequence[str], k: int, order: Sequence[str] = ("score", "spatial", "id2"), threshold: float | None = None) -> DataFrame:
     """The k best moving candidates of each fixed cell; those over the threshold, or without a score, don't count."""
     ok = pairs.where("score is not null and not isnan(score)")

@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cytoloom.functions.scalar import axis_difference_deg
-from cytoloom.functions.stats import on, robust_scales, robust_standardise
+from cytoloom.functions.stats import on, robust_scales, robust_standardise, z_scores
 from cytoloom.operators import consensus, matching, models
-from cytoloom.operators.neighbors import knn, like_pairs, mutual_least, radius_pairs, top_candidates
+from cytoloom.operators.neighbors import knn, like_pairs, mutual_least, radius_pairs, top_candidates, weighted_pairs
 from cytoloom.runtime import cut
 
 SHAPE = ["area", "eccentricity", "solidity", "hu_0"]
@@ -182,6 +182,43 @@ def register_centroids(fixed: DataFrame, moving: DataFrame, by: Sequence[str], r
     return Matching(moved, model, on(by, model.select(*by, "status"), diag, "left"))
 
 
+def window_sizes(height: float, width: float, window: float | None = None, coarse: float | None = None, guided: float | None = None, residual: float = 5.0) -> tuple[float, float]:
+    """(guided, candidate) windows in pixels. A given size above 0 holds. Guided: else the spatial window, else four residual
+    thresholds but 20 at least. Candidates: else twice the spatial window or one and a half guided ones, whichever is more;
+    with no spatial window two and a half guided ones or 0.15 of the frame's longer side."""
+    given = lambda v: v is not None and v > 0
+    guided = guided if given(guided) else window if given(window) else max(20.0, 4 * residual)
+    if given(coarse):
+        return float(guided), float(coarse)
+    return float(guided), max(2.0 * window, 1.5 * guided) if given(window) else max(2.5 * guided, 0.15 * max(height, width))
+
+
+def match_weighted(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, features: Sequence[str], topology: Sequence[str] = (), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), window: float = 100.0, top_k: int | None = 320, threshold: float | None = None) -> DataFrame:
+    """One-to-one matches, least weighted distance first, of all pairs within the window."""
+    c = weighted_pairs(fixed, moving, by, id_col, features, topology, weights, window, threshold)
+    return matching.greedy_match(c, by, ("distance", "id1", "id2"), top_k)
+
+
+#: The shape features by which slides are registered as a whole.
+GLOBAL_FEATURES = ("area", "perimeter", "roundness", "eccentricity", "solidity", "major_axis_length", "minor_axis_length")
+
+
+def register_by_features(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = GLOBAL_FEATURES, k: int = 5, threshold: float = 2.0, trials: int = 2000, samples: int = 3) -> Matching:
+    """A translation of whole slides: every moving cell votes with its ``k`` fixed cells nearest in standardised feature space,
+    and consensus over them settles the shift. Groups with fewer than ``samples`` candidates, or none of whose trials has
+    three that agree, have no model; cells that miss a feature don't vote."""
+    both = fixed.select(*by, id_col, *cols, F.lit(1).alias("_s")).unionByName(moving.select(*by, id_col, *cols, F.lit(2).alias("_s")))
+    z = cut(z_scores(both, by, list(cols)))
+    near = knn(z.where("_s = 2"), z.where("_s = 1"), by, list(cols), id_col, k)
+    pairs = near.select(*by, F.col("neighbour").alias("id1"), F.col("id").alias("id2"), "distance")
+    xy = cut(with_xy(pairs, fixed, moving, id_col).withColumn("mid", F.xxhash64("id1", "id2")))
+    model, marked = models.ransac(xy, by, "mid", "translation", threshold, trials, samples)
+    n = marked.groupBy(*by).agg(F.count("*").alias("candidates"), F.count_if("ransac_inlier").alias("inliers"), F.max("residual_px").alias("_far"))
+    # a group without consensus keeps all
+    enough = cut(n.where((F.col("candidates") >= samples) & ((F.col("inliers") < F.col("candidates")) | (F.col("_far") <= 2 * threshold))).drop("_far"))
+    return Matching(marked, model.join(enough.select(*by), list(by), "left_semi"), enough)
+
+
 def find_landmarks(fixed: DataFrame, moving: DataFrame, by: Sequence[str], id_col: str, cols: Sequence[str] = SHAPE, top_k: int = 320, k: int = 20, profile_k: int = 8, max_profile: float = 0.35, max_deg: float = 2.0, orientation_deg: float = 10.0, min_eccentricity: float = 0.15, grid: int = 4) -> DataFrame:
     """Landmarks between slides whose shift is not known: nearest in robust feature space, then those whose displacement
     goes with the fullest bin, on lines not too long, one to one, of like orientation and like surroundings, spread over a

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from cytoloom.functions import scalar as S
 from cytoloom.functions import stats
 from cytoloom.operators import consensus, masks, matching, neighbors, topology
-from cytoloom.plans.matching import fine_candidates
+from cytoloom.plans.matching import fine_candidates, match_weighted
 from cytoloom.queries.base import BY, CELLS, LINKED, SHAPE, cells, linked, r, sides, table
 from cytoloom.runtime import cut
 
@@ -108,6 +110,28 @@ def patch_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("slide_id", "patch", "id1", "id2", "phase")
 
 
+WEIGHTS = (1.0, 0.5, 2.0)
+
+
+def _weighable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    used = [*SHAPE, "roundness", "aspect_ratio", "pos_x_norm", "pos_y_norm"]
+    return tuple(t.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in used])) for t in sides(spark, sf))
+
+
+def weighted_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs within 25 px by shape, roundness and place together."""
+    f, m = _weighable(spark, sf)
+    p = neighbors.weighted_pairs(f, m, BY, "cell_key", SHAPE, ["roundness", "aspect_ratio"], WEIGHTS, 25.0)
+    return p.select("id1", "id2", r("distance"))
+
+
+def weighted_match(spark: SparkSession, sf: str) -> DataFrame:
+    """One to one by that distance, up to 3, the best 320 of a slide."""
+    f, m = _weighable(spark, sf)
+    w = match_weighted(f, m, BY, "cell_key", SHAPE, ["roundness", "aspect_ratio"], WEIGHTS, 25.0, 320, 3.0)
+    return w.select("slide_id", "id1", "id2", r("distance"))
+
+
 def grid_coverage(spark: SparkSession, sf: str) -> DataFrame:
     g = matching.grid_covered(_patched(spark, sf), BY, "patch_x", "patch_y", 4, 40, ("distance", "match_id"))
     return g.select("slide_id", "match_id", "pick")
@@ -182,7 +206,7 @@ def mapped_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("anchor_id1", "anchor_id2", "neighbour_id1", "neighbour_id2", r("dist_norm"), "mapped")
 
 
-QUERIES = {f.__name__: f for f in (radius_candidates, scored_candidates, topk_candidates, fine_scores, mutual_nearest, mutual_minima, nearest_cells, feature_neighbours, embedding_neighbours, embedding_similar, topology_features, greedy_match, greedy_per_patch, patch_balanced, grid_coverage, short_lines, parallel_displacements, residual_filter, quantile_prune, direction_consensus, validated, ambiguity, match_profiles, neighbour_profiles, topology_losses, mapped_neighbours)}
+QUERIES = {f.__name__: f for f in (radius_candidates, scored_candidates, topk_candidates, fine_scores, mutual_nearest, mutual_minima, nearest_cells, feature_neighbours, embedding_neighbours, embedding_similar, topology_features, greedy_match, weighted_distances, weighted_match, greedy_per_patch, patch_balanced, grid_coverage, short_lines, parallel_displacements, residual_filter, quantile_prune, direction_consensus, validated, ambiguity, match_profiles, neighbour_profiles, topology_losses, mapped_neighbours)}
 
 _PAIRS = f"""{CELLS}, pairs AS (SELECT f.slide_id, f.cell_key AS id1, m.cell_key AS id2, sqrt((f.centroid_x - m.centroid_x) ** 2 + (f.centroid_y - m.centroid_y) ** 2) AS spatial
   FROM f JOIN m USING (slide_id) WHERE abs(f.centroid_x - m.centroid_x) <= 30 AND sqrt((f.centroid_x - m.centroid_x) ** 2 + (f.centroid_y - m.centroid_y) ** 2) <= 30)"""
@@ -190,6 +214,12 @@ _SCORED = f"""{_PAIRS}, med AS (SELECT slide_id, {', '.join(f'median({c}) AS m_{
 scale AS (SELECT slide_id, {', '.join(f'greatest(1.4826 * coalesce(median(abs({c} - m_{c})), 0), 0.001) AS s_{c}' for c in SHAPE)} FROM placed JOIN med USING (slide_id) GROUP BY slide_id),
 scored AS (SELECT p.*, sqrt(({' + '.join(f'((a.{c} - b.{c}) / s_{c}) ** 2' for c in SHAPE)}) / {len(SHAPE)}) AS score
   FROM pairs p JOIN f a ON a.cell_key = id1 JOIN m b ON b.cell_key = id2 JOIN scale s ON s.slide_id = p.slide_id)"""
+_Z = [*SHAPE, "roundness", "aspect_ratio"]
+_WEIGHTED = f"""{CELLS}, whole AS (SELECT * FROM placed WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_Z, 'pos_x_norm', 'pos_y_norm'])} AND round_no IN (1, 2)),
+z AS (SELECT *, {', '.join(f'({c} - avg({c}) OVER w) / coalesce(nullif(stddev_pop({c}) OVER w, 0), 1) AS z_{c}' for c in _Z)} FROM whole WINDOW w AS (PARTITION BY slide_id)),
+weighted AS (SELECT a.slide_id, a.cell_key AS id1, b.cell_key AS id2, sqrt({' + '.join(f'(a.z_{c} - b.z_{c}) ** 2' for c in SHAPE)}) + 0.5 * sqrt((a.z_roundness - b.z_roundness) ** 2 + (a.z_aspect_ratio - b.z_aspect_ratio) ** 2)
+    + 2.0 * sqrt((a.pos_x_norm - b.pos_x_norm) ** 2 + (a.pos_y_norm - b.pos_y_norm) ** 2) AS distance
+  FROM z a JOIN z b USING (slide_id) WHERE a.round_no = 1 AND b.round_no = 2 AND sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2) <= 25)"""
 _NEAR = "row_number() OVER (PARTITION BY a.cell_key ORDER BY sqrt((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2), b.cell_key)"
 _PATCHED = f"""{LINKED}, patched AS (SELECT l.*, CAST(least(3, floor(least(1, greatest(0, y1 / image_height)) * 4)) AS INTEGER) AS patch_y,
     CAST(least(3, floor(least(1, greatest(0, x1 / image_width)) * 4)) AS INTEGER) AS patch_x FROM linked l JOIN (SELECT slide_id, max(image_width) AS image_width, max(image_height) AS image_height FROM slides GROUP BY slide_id) USING (slide_id))"""
@@ -210,6 +240,8 @@ _FOLD = "list_reduce(list([{'d': distance, 'a': id1, 'b': id2}] ORDER BY distanc
 
 SQL = {
     "greedy_match": f"""WITH {LINKED}, g AS (SELECT slide_id, unnest(list_slice({_FOLD}, 1, 320)) AS p FROM linked WHERE distance <= 2 GROUP BY slide_id) SELECT slide_id, p.a AS id1, p.b AS id2, round(p.d, 6) AS distance FROM g""",
+    "weighted_distances": f"WITH {_WEIGHTED} SELECT id1, id2, round(distance, 6) AS distance FROM weighted",
+    "weighted_match": f"""WITH {_WEIGHTED}, g AS (SELECT slide_id, unnest(list_slice({_FOLD}, 1, 320)) AS p FROM weighted WHERE distance <= 3 GROUP BY slide_id) SELECT slide_id, p.a AS id1, p.b AS id2, round(p.d, 6) AS distance FROM g""",
     "greedy_per_patch": f"""WITH {_PATCHED}, g AS (SELECT slide_id, patch_y, patch_x, unnest(list_slice({_FOLD}, 1, 10)) AS p FROM patched GROUP BY slide_id, patch_y, patch_x) SELECT slide_id, patch_y, patch_x, p.a AS id1, p.b AS id2 FROM g""",
     "radius_candidates": f"WITH {_PAIRS} SELECT id1, id2, round(spatial, 6) AS spatial FROM pairs",
     "scored_candidates": f"WITH {_SCORED} SELECT id1, id2, round(score, 6) AS score FROM scored WHERE score IS NOT NULL",

@@ -69,6 +69,23 @@ def affine_fit(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(models.fit_affine(_close(spark, sf), BY))
 
 
+def clipped_inliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches within 20 px of their slide's mean shift, without those that lie far off for them where that mends the shift."""
+    m = cut(_close(spark, sf))
+    model = cut(models.fit_translation(m, BY))
+    marked = models.residuals(m, model, BY).withColumn("ransac_inlier", F.col("residual_px") <= 20)
+    _, got, diag = models.clip_inliers(marked, model, BY, "translation", 20.0, 2.0)
+    n = got.groupBy("slide_id").agg(F.count_if("ransac_inlier").alias("inliers"), F.round(F.avg("residual_px"), 5).alias("mean_residual"))
+    return n.join(diag.select("slide_id", "used", r("clip_limit")), "slide_id")
+
+
+def feature_registration(spark: SparkSession, sf: str) -> DataFrame:
+    """The shift of each slide by what its cells look like alone."""
+    f, m = (t.where("area is not null and perimeter is not null and roundness is not null and eccentricity is not null and solidity is not null and major_axis_length is not null and minor_axis_length is not null") for t in sides(spark, sf))
+    got = plans.register_by_features(f, m, BY, "cell_key")
+    return got.models.join(got.diagnostics, BY).select("slide_id", r("tx", 3), r("ty", 3), "candidates", "inliers")
+
+
 def affine_residuals(spark: SparkSession, sf: str) -> DataFrame:
     m = cut(_close(spark, sf))
     return models.residuals(m, models.fit_affine(m, BY), BY).select("match_id", r("residual_px", 4))
@@ -204,7 +221,7 @@ def landmark_registration(spark: SparkSession, sf: str) -> DataFrame:
     return plans.register_landmarks(_close(spark, sf), BY, "match_id", "similarity", 5.0, 200).models.select("slide_id", *[r(c, 3) for c in MODEL])
 
 
-QUERIES = {f.__name__: f for f in (translation_mean, translation_median, median_offset, main_displacement, in_main_displacement, translation_grid, similarity_fit, euclidean_fit, affine_fit, affine_residuals, affine_inverse, affine_compose, moved_cells, initial_affine, match_radius, ransac_translation, ransac_inliers, coarse_acceptance, refined_affine, local_affine, leave_one_out, deformation_grid, deformation_grid_local, spline_points, neighbour_refinement, two_stage_matches, registered_slides, registered_centroids, landmark_search, sparse_registration, landmark_registration)}
+QUERIES = {f.__name__: f for f in (translation_mean, translation_median, median_offset, main_displacement, in_main_displacement, translation_grid, similarity_fit, euclidean_fit, affine_fit, clipped_inliers, feature_registration, affine_residuals, affine_inverse, affine_compose, moved_cells, initial_affine, match_radius, ransac_translation, ransac_inliers, coarse_acceptance, refined_affine, local_affine, leave_one_out, deformation_grid, deformation_grid_local, spline_points, neighbour_refinement, two_stage_matches, registered_slides, registered_centroids, landmark_search, sparse_registration, landmark_registration)}
 
 _CLOSE = f"{LINKED}, k AS (SELECT * FROM linked WHERE distance < 0.6 AND abs(dx) < 60 AND abs(dy) < 60)"
 _SIM = _CLOSE + """, g AS (SELECT slide_id, count(*) AS n, avg(x1) AS u, avg(y1) AS v, avg(x2) AS x, avg(y2) AS y, covar_pop(x2, x1) + covar_pop(y2, y1) AS re, covar_pop(x2, y1) - covar_pop(y2, x1) AS im, var_pop(x2) + var_pop(y2) AS den FROM k GROUP BY slide_id),
@@ -238,6 +255,15 @@ SELECT slide_id, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, round(dx,
     "similarity_fit": f"WITH {_SIMS} SELECT slide_id, {_SIX} FROM sim",
     "euclidean_fit": f"WITH {_EUC} SELECT slide_id, {_SIX} FROM sim",
     "affine_fit": f"WITH {_AFF} SELECT slide_id, {_SIX} FROM aff",
+    "clipped_inliers": f"""WITH {_CLOSE}, t AS (SELECT slide_id, avg(dx) AS tx, avg(dy) AS ty FROM k GROUP BY slide_id),
+p AS (SELECT k.*, sqrt((dx - tx) ** 2 + (dy - ty) ** 2) AS res, sqrt((dx - tx) ** 2 + (dy - ty) ** 2) <= 20 AS inn FROM k JOIN t USING (slide_id)),
+a AS (SELECT slide_id, median(res) FILTER (WHERE inn) AS med, count(*) FILTER (WHERE inn) AS n FROM p GROUP BY slide_id),
+b AS (SELECT slide_id, any_value(med) AS med, any_value(n) AS n, any_value(med) + 2 * greatest(1.4826 * median(abs(res - med)) FILTER (WHERE inn), 1e-6) AS lim FROM p JOIN a USING (slide_id) GROUP BY slide_id),
+c AS (SELECT slide_id, avg(dx) AS tx, avg(dy) AS ty, count(*) AS kept FROM p JOIN b USING (slide_id) WHERE inn AND res <= lim GROUP BY slide_id),
+d AS (SELECT p.*, c.kept, sqrt((dx - c.tx) ** 2 + (dy - c.ty) ** 2) AS res2, coalesce(sqrt((dx - c.tx) ** 2 + (dy - c.ty) ** 2) <= 20, false) AS inn2 FROM p LEFT JOIN c USING (slide_id)),
+e AS (SELECT slide_id, any_value(kept) AS kept, median(res2) FILTER (WHERE inn2) AS med2, count(*) FILTER (WHERE inn2) AS m FROM d GROUP BY slide_id),
+u AS (SELECT slide_id, lim, coalesce(n >= 12 AND kept >= 12 AND kept >= n - greatest(1, floor(0.2 * n)) AND m >= 12 AND n - m <= greatest(1, floor(0.2 * n)) AND med - med2 >= 0.1, false) AS used FROM b JOIN e USING (slide_id))
+SELECT slide_id, count(*) FILTER (WHERE CASE WHEN used THEN inn2 ELSE inn END) AS inliers, round(avg(CASE WHEN used THEN res2 ELSE res END), 5) AS mean_residual, any_value(used) AS used, round(any_value(lim), 6) AS clip_limit FROM d JOIN u USING (slide_id) GROUP BY slide_id""",
     "affine_residuals": f"WITH {_AFF} SELECT match_id, round(sqrt((a * x2 + b * y2 + tx - x1) ** 2 + (c * x2 + d * y2 + ty - y1) ** 2), 4) AS residual_px FROM k JOIN aff USING (slide_id)",
     "affine_inverse": f"""WITH {_SIMS}, i AS (SELECT slide_id, d / (a * d - b * c) AS a, -b / (a * d - b * c) AS b, -c / (a * d - b * c) AS c, a / (a * d - b * c) AS d, tx AS ox, ty AS oy FROM sim),
 f2 AS (SELECT *, -(a * ox + b * oy) AS tx, -(c * ox + d * oy) AS ty FROM i) SELECT slide_id, {_SIX} FROM f2""",

@@ -142,3 +142,48 @@ def test_grid_and_offsets(spark):
     assert models.median_offset(m, ["g"], ["id"]).first().tx == pytest.approx(5.5)
     st, marked = models.main_displacement(m, ["g"])
     assert st.first().dx0 in (5.0, 5.5, 6.0) and marked.where("not in_main").count() == 1
+
+
+def test_clipping_equals_numpy_and_keeps_what_it_cannot_mend(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(6):
+        n = (40, 40, 8, 40, 30, 60)[g]
+        d = rng.normal(0, 0.3, (n, 2)) + [5, -3]
+        if g in (0, 4, 5):
+            d[: n // 8] += [4.0, 3.0]
+        if g == 3:
+            d[: n // 2] += [6.0, 0.0]
+        rows += [(g, 100 * g + i, float(x + a), float(y + b), float(x), float(y)) for i, ((x, y), (a, b)) in enumerate(zip(rng.uniform(0, 500, (n, 2)), d))]
+        t = d.mean(0)
+        res = np.hypot(*(d - t).T)
+        inn = res <= 6
+        med = np.median(res[inn])
+        lim = med + 3 * max(1.4826 * np.median(np.abs(res[inn] - med)), 1e-6)
+        seed = inn & (res <= lim)
+        res2 = np.hypot(*(d - d[seed].mean(0)).T)
+        inn2, drop = res2 <= 6, max(1, int(0.2 * inn.sum()))
+        used = inn.sum() >= 12 and seed.sum() >= max(12, inn.sum() - drop) and inn2.sum() >= 12 and inn.sum() - inn2.sum() <= drop and med - np.median(res2[inn2]) >= 0.1
+        want[g] = (bool(used), int((inn2 if used else inn).sum()), round(float(lim), 6))
+    df = spark.createDataFrame(rows, "g int, id int, x1 double, y1 double, x2 double, y2 double")
+    model = models.fit_translation(df, ["g"])
+    marked = models.residuals(df, model, ["g"]).withColumn("ransac_inlier", F.col("residual_px") <= 6)
+    final, got, diag = models.clip_inliers(marked, model, ["g"], "translation", 6.0)
+    n = {r.g: r.n for r in got.groupBy("g").agg(F.count_if("ransac_inlier").alias("n")).collect()}
+    assert {r.g: (r.used, n[r.g], round(r.clip_limit, 6)) for r in diag.collect()} == want
+    assert {True, False} == {u for u, _, _ in want.values()} and final.count() == 6 and got.count() == len(rows)
+    none = models.clip_inliers(marked.limit(0), model.limit(0), ["g"])
+    assert [t.count() for t in none] == [0, 0, 0]
+
+
+def test_trials_are_drawn_from_the_whole_group(spark):
+    """One match in a hundred is true, in a group of many times as many as a small pool would hold."""
+    rng = np.random.default_rng(13)
+    n = 6000
+    d = rng.uniform(-400, 400, (n, 2))
+    d[: n // 50] = [31.0, -17.0] + rng.normal(0, 0.2, (n // 50, 2))
+    rows = [(i, float(x + a), float(y + b), float(x), float(y)) for i, ((x, y), (a, b)) in enumerate(zip(rng.uniform(0, 500, (n, 2)), d))]
+    df = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double")
+    model, marked = models.ransac(df, [], "id", "translation", 2.0, 3000, samples=1)
+    m = model.first()
+    assert abs(m.tx - 31) < 0.2 and abs(m.ty + 17) < 0.2 and marked.where("ransac_inlier").count() >= n // 50

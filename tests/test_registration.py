@@ -44,3 +44,52 @@ def test_like_pairs_equal_ranked_scores_in_split_groups(spark):
     want = top_candidates(shape_score(radius_pairs(f, m, ["g"], at, "cell_key", 150.0), f, m, scales, ["g"], "cell_key", SHAPE), ["g"], 6, threshold=2.0).where("g = 'b' or rank <= 3")
     rows = lambda t: sorted((r.id1, r.id2, round(r.score, 9)) for r in t.collect())
     assert rows(got) == rows(want) and len(rows(got)) > 300
+
+
+def test_window_rules():
+    from cytoloom.plans.matching import window_sizes
+
+    assert window_sizes(1000, 2000) == (20.0, 300.0) and window_sizes(100, 100, residual=10) == (40.0, 100.0)
+    assert window_sizes(9, 9, window=50) == (50.0, 100.0) and window_sizes(9, 9, window=50, guided=80) == (80.0, 120.0)
+    assert window_sizes(9, 9, coarse=7, guided=-1) == (20.0, 7.0)
+
+
+def test_weighted_pairs_equal_brute_force(spark):
+    from cytoloom.operators.neighbors import ordered_union, weighted_pairs
+
+    rng = np.random.default_rng(14)
+    cols = ["a", "b", "t"]
+    rows = [(g, 1000 * s + i, s, *map(float, rng.uniform(0, 60, 2)), *map(float, rng.normal(0, 3, 3)), *map(float, rng.uniform(0, 1, 2))) for g in "pq" for s in (1, 2) for i in range(120)]
+    schema = "g string, id long, s int, centroid_x double, centroid_y double, a double, b double, t double, pos_x_norm double, pos_y_norm double"
+    df = spark.createDataFrame(rows, schema)
+    got = weighted_pairs(df.where("s = 1"), df.where("s = 2"), ["g"], "id", ["a", "b"], ["t"], (1.0, 0.5, 2.0), 8.0, threshold=2.5, cap=40)
+    got = {(r.g, r.id1, r.id2): r.distance for r in got.collect()}
+    p = df.toPandas()
+    want = {}
+    for g in "pq":
+        q = p[p.g == g].reset_index(drop=True)
+        z = (q[cols] - q[cols].mean()) / q[cols].std(ddof=0)
+        f, m = (q.index[q.s == k] for k in (1, 2))
+        for i in f:
+            for j in m:
+                if np.hypot(q.centroid_x[i] - q.centroid_x[j], q.centroid_y[i] - q.centroid_y[j]) <= 8:
+                    d = np.hypot(z.a[i] - z.a[j], z.b[i] - z.b[j]) + 0.5 * abs(z.t[i] - z.t[j]) + 2 * np.hypot(q.pos_x_norm[i] - q.pos_x_norm[j], q.pos_y_norm[i] - q.pos_y_norm[j])
+                    if d <= 2.5:
+                        want[g, q.id[i], q.id[j]] = d
+    assert got.keys() == want.keys() and len(want) > 50 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert weighted_pairs(df.where("s = 1"), df.limit(0), ["g"], "id", ["a"]).count() == 0
+    assert ordered_union(["b", "a"], [], ["a", "c", "b"]) == ["b", "a", "c"]
+
+
+def test_slides_are_registered_by_what_cells_look_like(spark):
+    from cytoloom.plans.matching import register_by_features
+
+    rng = np.random.default_rng(15)
+    f = rng.normal(0, 1, (80, 3))
+    xy = rng.uniform(0, 900, (80, 2))
+    rows = [("g", s * 1000 + i, s, float(xy[i, 0] - 40 * (s == 2)), float(xy[i, 1] + 25 * (s == 2)), *map(float, f[i] + rng.normal(0, 0.01, 3))) for s in (1, 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, id long, s int, centroid_x double, centroid_y double, u double, v double, w double")
+    got = register_by_features(df.where("s = 1"), df.where("s = 2"), ["g"], "id", ["u", "v", "w"], trials=2000)
+    m = got.models.first()
+    assert abs(m.tx - 40) < 1e-6 and abs(m.ty + 25) < 1e-6
+    assert register_by_features(df.limit(0), df.where("s = 2"), ["g"], "id", ["u", "v", "w"]).models.count() == 0
