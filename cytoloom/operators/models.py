@@ -441,29 +441,74 @@ def boundary_anchors(models: DataFrame, sizes: DataFrame, by: Sequence[str], per
     return g.select(*by, "x1", "y1", x.alias("x2"), y.alias("y2"))
 
 
-def fit_spline(landmarks: DataFrame, by: Sequence[str], regular: float = 1e-3, order: Sequence[str] = ("fx", "fy"), most: int = 2000) -> DataFrame:
-    """(by, spline): the thin-plate spline from (fx, fy) to (tx, ty) of each group, as an array of rows fx, fy, wx, wy with
-    the three affine rows last. A group gives at most ``most`` landmarks, those first by ``order`` (a dense system grows
-    with the cube of their number)."""
-    r = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    top = landmarks.select(*by, "fx", "fy", "tx", "ty").dropDuplicates([*by, "fx", "fy"]).withColumn("_r", r).where(F.col("_r") <= most)
+def _thin_plate(s: np.ndarray, v: np.ndarray, regular: float) -> list[float]:
+    """Rows fx, fy, wx, wy of the spline through ``v`` at ``s``, the three affine rows last."""
+    n = len(s)
+    p = np.column_stack([np.ones(n), s])
+    k = np.block([[_kernel(((s[:, None] - s[None]) ** 2).sum(2)) + regular * np.eye(n), p], [p.T, np.zeros((3, 3))]])
+    rhs = np.vstack([v, np.zeros((3, 2))])
+    try:
+        w = np.linalg.solve(k, rhs)
+        if not np.allclose(k @ w, rhs, atol=1e-6 * max(1.0, np.abs(v).max(initial=0))):
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:  # too few points, or all on a line
+        w = np.linalg.lstsq(k, rhs, rcond=None)[0]
+    return np.column_stack([np.vstack([s, np.zeros((3, 2))]), w]).ravel().tolist()
+
+
+SQUARES = 256  # along a side, at most
+
+
+def fit_spline(landmarks: DataFrame, by: Sequence[str], regular: float = 1e-3, most: int = 2000) -> DataFrame:
+    """(by, qy, qx, x0, y0, side, spline): the thin-plate spline from (fx, fy) to (tx, ty) of each group, as an array of rows
+    fx, fy, wx, wy with the three affine rows last. A place that comes twice counts once; missing values don't.
+
+    A dense system grows with the cube of its landmarks. A group of over ``most`` has a base spline through ``most`` of them,
+    of least hash, and squares, each with a spline of what the base leaves over at all landmarks of the square and the
+    eight around it; a point blends those of the four squares whose centres surround it. So every landmark counts. Squares
+    are as large as ``most`` allows; a group whose landmarks crowd beyond ``SQUARES`` along a side raises."""
+    marks = landmarks.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("fx", "fy", "tx", "ty"))).select(*by, "fx", "fy", "tx", "ty")
+    marks = cut(marks.groupBy(*by, "fx", "fy").agg(F.min(F.struct("tx", "ty")).alias("t")).select(*by, "fx", "fy", "t.tx", "t.ty"))
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64("fx", "fy"), "fx", "fy"))
+    top = marks.withColumn("_r", place).where(F.col("_r") <= most)
+    keys = _key_columns(marks, by)
+    squares = "qy int, qx int, x0 double, y0 double, side double"
 
     def solve(t: pa.Table) -> pa.Table:
-        s = np.column_stack([column(t, c) for c in ("fx", "fy")])
-        v = np.column_stack([column(t, c) for c in ("tx", "ty")])
-        n = len(s)
-        d2 = ((s[:, None] - s[None]) ** 2).sum(2)
-        p = np.column_stack([np.ones(n), s])
-        k = np.block([[_kernel(d2) + regular * np.eye(n), p], [p.T, np.zeros((3, 3))]])
-        w = np.linalg.lstsq(k, np.vstack([v, np.zeros((3, 2))]), rcond=None)[0]
-        rows = np.column_stack([np.vstack([s, np.zeros((3, 2))]), w])
-        return pa.table({**{g: t.column(g).slice(0, 1) for g in by}, "spline": pa.array([rows.ravel().tolist()], pa.list_(pa.float64()))})
-
-    return map_groups(top, list(by), solve, _key_columns(top, by) + "spline array<double>", sort=["_r"])
+        rows = _thin_plate(np.column_stack([column(t, c) for c in ("fx", "fy")]), np.column_stack([column(t, c) for c in ("tx", "ty")]), regular)
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in t.column_names if c not in ("fx", "fy", "tx", "ty", "_r")}, "spline": pa.array([rows], pa.list_(pa.float64()))})
+
+    base = map_groups(top, list(by), solve, keys + "spline array<double>", sort=["_r"])
+    base = base.select(*by, *[F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in squares.split(", "))], "spline")
+    large = marks.groupBy(*by).agg(F.count("*").alias("_n"), F.min("fx").alias("x0"), F.min("fy").alias("y0"), F.greatest(F.max("fx") - F.min("fx"), F.max("fy") - F.min("fy")).alias("_w")).where(F.col("_n") > most)
+    large = cut(large)
+    base = cut(base)
+    if not large.limit(1).count():
+        return base
+    m = on(by, marks, large.drop("_n")).withColumn("id", F.xxhash64("fx", "fy"))
+    got = spline_points(m.select(*by, "id", F.col("fx").alias("x"), F.col("fy").alias("y")), base, by, "id", ("_bx", "_by"))
+    m = cut(m.join(got, [*by, "id"]).withColumns({"tx": F.col("tx") - F.col("_bx"), "ty": F.col("ty") - F.col("_by")}).drop("_bx", "_by", "id"))
+    fine = lambda c, o: F.least(F.lit(SQUARES - 1), F.floor((F.col(c) - F.col(o)) / F.col("_w") * SQUARES)).cast("int")
+    crowd = m.groupBy(*by, fine("fy", "y0").alias("_y"), fine("fx", "x0").alias("_x")).agg(F.count("*").alias("_c"))
+    sides = [2**i for i in range(1, SQUARES.bit_length())]
+    at = lambda c: F.floor(F.col(c) * F.col("_m") / SQUARES)
+    around = F.explode(F.array(*[F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    crowd = crowd.withColumn("_m", F.explode(F.array(*map(F.lit, sides)))).withColumns({"_y": at("_y"), "_x": at("_x")}).withColumn("_o", around)
+    crowd = crowd.groupBy(*by, "_m", (F.col("_y") + F.col("_o.y")).alias("_y"), (F.col("_x") + F.col("_o.x")).alias("_x")).agg(F.sum("_c").alias("_c"))
+    fits = crowd.groupBy(*by, "_m").agg(F.max("_c").alias("_c")).groupBy(*by).agg(F.min(F.when(F.col("_c") <= most, F.col("_m"))).alias("_m"))
+    fits = cut(fits)
+    if fits.where("_m is null").limit(1).count():
+        raise ValueError(f"over {most} landmarks of a group crowd within {SQUARES} squares along a side")
+    m = on(by, m, fits).withColumn("side", F.col("_w") / F.col("_m"))
+    own = lambda c, o: F.least(F.col("_m") - 1, F.floor((F.col(c) - F.col(o)) / F.col("side"))).cast("int")
+    m = m.withColumns({"_y": own("fy", "y0"), "_x": own("fx", "x0"), "_o": around})
+    m = m.select(*by, (F.col("_y") + F.col("_o.y")).cast("int").alias("qy"), (F.col("_x") + F.col("_o.x")).cast("int").alias("qx"), "x0", "y0", "side", "fx", "fy", "tx", "ty")
+    local = map_groups(m, [*by, "qy", "qx"], solve, keys + squares + ", spline array<double>", sort=["fx", "fy"])
+    return base.unionByName(cut(local))
 
 
 def spline_points(points: DataFrame, splines: DataFrame, by: Sequence[str], id_col: str = "id", out: tuple[str, str] = ("x_spline", "y_spline")) -> DataFrame:
-    """(by, id, out): each point (by, id, x, y) moved by its group's spline, chunk by chunk."""
+    """(by, id, out): each point (by, id, x, y) moved by its group's spline, chunk by chunk. Ids must be unique in a group."""
 
     def move(rows: pa.Table, side: pa.Table) -> pa.Table:
         w = np.array(side.column("spline")[0].as_py()).reshape(-1, 4)
@@ -474,10 +519,24 @@ def spline_points(points: DataFrame, splines: DataFrame, by: Sequence[str], id_c
         for i in range(0, len(x), step):
             d2 = ((x[i : i + step, None] - s[None, :, :2]) ** 2).sum(2)
             got[i : i + step] += _kernel(d2) @ s[:, 2:]
-        return pa.table({**{g: rows.column(g) for g in by}, id_col: rows.column(id_col), out[0]: got[:, 0], out[1]: got[:, 1]})
+        return pa.table({**{c: rows.column(c) for c in rows.column_names if c not in ("x", "y")}, out[0]: got[:, 0], out[1]: got[:, 1]})
 
     p = points.select(*by, id_col, "x", "y")
-    return map_chunks(p, splines, by, id_col, move, _key_columns(p, by) + f"{id_col} {dict(p.dtypes)[id_col]}, {out[0]} double, {out[1]} double")
+    keys = _key_columns(p, by) + f"{id_col} {dict(p.dtypes)[id_col]}, "
+    moved = map_chunks(p, splines.where("qx is null").select(*by, "spline"), by, id_col, move, keys + f"{out[0]} double, {out[1]} double")
+    local = splines.where("qx is not null")
+    if not local.limit(1).count():
+        return moved
+    grid = local.groupBy(*by).agg(*[F.first(c).alias(f"_{c}") for c in ("x0", "y0", "side")])
+    # the squares whose centres surround a point, and their shares of it
+    q = on(by, p, grid).withColumns({"_u": (F.col("x") - F.col("_x0")) / F.col("_side") - 0.5, "_v": (F.col("y") - F.col("_y0")) / F.col("_side") - 0.5})
+    share = lambda c, d: (1 - (F.col(c) - F.floor(c))) if d == 0 else F.col(c) - F.floor(c)
+    corner = F.explode(F.array(*[F.struct((F.floor("_v") + dy).cast("int").alias("qy"), (F.floor("_u") + dx).cast("int").alias("qx"), (share("_v", dy) * share("_u", dx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])).alias("_c")
+    q = q.select(*by, id_col, "x", "y", corner).select(*by, "_c.qy", "_c.qx", "_c.w", id_col, "x", "y").where("w > 0")
+    kinds = keys.replace(f"{id_col} ", f"qy int, qx int, w double, {id_col} ", 1) if not by else _key_columns(p, by) + f"qy int, qx int, w double, {id_col} {dict(p.dtypes)[id_col]}, "
+    rest = map_chunks(q, local.select(*by, "qy", "qx", "spline"), [*by, "qy", "qx"], id_col, move, kinds + f"{out[0]} double, {out[1]} double")
+    rest = rest.groupBy(*by, id_col).agg(*[F.sum(F.col("w") * F.col(o)).alias(f"_{o}") for o in out])
+    return moved.join(rest, [*by, id_col], "left").select(*by, id_col, *[(F.col(o) + F.coalesce(f"_{o}", F.lit(0.0))).alias(o) for o in out])
 
 
 # -- refinement that keeps neighbour distances -------------------------------------------------------------------

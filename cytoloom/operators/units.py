@@ -164,10 +164,10 @@ def _lookup(text: Column, table: dict[str, list[str]]) -> Column:
     return F.try_element_at(F.create_map(*pairs), text)
 
 
-def noted_unit(notes: Column, quantity: str) -> Column:
+def noted_unit(notes: Column, quantity: str, patterns: dict[str, tuple[str, list[tuple[str, str]]]] = NOTES) -> Column:
     """The unit that the notes state for this quantity; other remarks in them don't count."""
-    about, units = NOTES[quantity]
-    rest = [NOTES[q][0] for q in NOTES if list(NOTES).index(q) < list(NOTES).index(quantity)]
+    about, units = patterns[quantity]
+    rest = [patterns[q][0] for q in list(patterns)[: list(patterns).index(quantity)]]
 
     def unit(seg: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -184,18 +184,22 @@ def noted_unit(notes: Column, quantity: str) -> Column:
     return F.try_element_at(F.transform(F.filter(F.split(_tidy(notes), ";"), ours), unit), F.lit(1))
 
 
-def read_metadata_quantities(records: DataFrame, scanners: DataFrame) -> DataFrame:
+def read_metadata_quantities(records: DataFrame, scanners: DataFrame, aliases: dict[str, dict[str, list[str]]] | None = None, notes: dict[str, tuple[str, list[tuple[str, str]]]] | None = None) -> DataFrame:
     """(record_id, field_name, value) of every readable mpp_x, downsample and origin_x, in micrometres per pixel,
     level-0 pixels per pixel and level-0 pixels.
 
     A unit in the value holds first, then one in the notes, then (origins) a physical coordinate_space, then the
     scanner's own. A record delivered again counts once, by its latest ingested_at. Null, empty or unreadable
     texts, unknown units and unknown scanners give no row; null record ids are no records; an empty table gives
-    no rows. Columns other than those named are ignored.
+    no rows. A scanner listed several times counts by its greatest row. Columns other than those named are ignored.
+    ``aliases`` adds spellings of units to ALIASES, ``notes`` puts other patterns in place of those of NOTES.
     """
+    aliases = {q: {u: [*names, *(aliases or {}).get(q, {}).get(u, [])] for u, names in units.items()} for q, units in ALIASES.items()}
+    notes = NOTES | (notes or {})
     cols = ["scanner_source", "coordinate_space", "origin_x", "downsample", "mpp_x", "notes"]
     r = latest(records, ["record_id"], ["ingested_at"], cols)
-    s = scanners.select(F.lower(F.trim("scanner_source")).alias("_s"), F.col("mpp_unit").alias("_mpp"), F.col("downsample_style").alias("_ds"), F.col("origin_unit").alias("_or")).dropDuplicates(["_s"])
+    s = scanners.select(F.lower(F.trim("scanner_source")).alias("_s"), F.col("mpp_unit").alias("_mpp"), F.col("downsample_style").alias("_ds"), F.col("origin_unit").alias("_or"))
+    s = s.where("_s is not null").groupBy("_s").agg(F.max(F.struct("_mpp", "_ds", "_or")).alias("m")).select("_s", "m.*")
     if take_bounded(s, 10_000) is not None:
         s = F.broadcast(s)  # at most 10,000 scanners; beyond that the join shuffles
     r = r.join(s, F.lower(F.trim("scanner_source")) == F.col("_s"), "left")
@@ -212,12 +216,12 @@ def read_metadata_quantities(records: DataFrame, scanners: DataFrame) -> DataFra
     ratio, percent, level, factor = r"^(NUM) ?[/:] ?(NUM)$", r"^(NUM) ?%$", r"^(?:level|lvl|l)(?:-| ?)(NUM)$", r"^[x×] ?(NUM)$|^(NUM) ?[x×]$"
     bare = r"^(NUM)$"
     dv = F.when(part(ratio) != "", number(part(ratio, 2)) / F.nullif(number(part(ratio)), F.lit(0.0))).when(part(percent) != "", number(part(percent))).when(part(level) != "", number(part(level))).when(part(factor, 0) != "", number(F.concat(part(factor), part(factor, 2)))).otherwise(number(part(bare)))
-    du = F.when((part(ratio) != "") | (part(factor, 0) != ""), "factor").when(part(percent) != "", "percent").when(part(level) != "", "level").when(part(bare) != "", F.coalesce(noted_unit(F.col("notes"), "downsample"), F.col("_ds")))
+    du = F.when((part(ratio) != "") | (part(factor, 0) != ""), "factor").when(part(percent) != "", "percent").when(part(level) != "", "level").when(part(bare) != "", F.coalesce(noted_unit(F.col("notes"), "downsample", notes), F.col("_ds")))
     r = r.select(
         "record_id",
-        F.lit("mpp_x").alias("q1"), mv.alias("v1"), F.when(mt != "", _lookup(mt, ALIASES["mpp_x"])).otherwise(F.coalesce(noted_unit(F.col("notes"), "mpp_x"), F.col("_mpp"))).alias("u1"),
+        F.lit("mpp_x").alias("q1"), mv.alias("v1"), F.when(mt != "", _lookup(mt, aliases["mpp_x"])).otherwise(F.coalesce(noted_unit(F.col("notes"), "mpp_x", notes), F.col("_mpp"))).alias("u1"),
         F.lit("downsample").alias("q2"), dv.alias("v2"), du.alias("u2"),
-        F.lit("origin_x").alias("q3"), ov.alias("v3"), F.when(ot != "", _lookup(ot, ALIASES["origin_x"])).otherwise(F.coalesce(noted_unit(F.col("notes"), "origin_x"), F.nullif(space, F.lit("")), F.col("_or"))).alias("u3"),
+        F.lit("origin_x").alias("q3"), ov.alias("v3"), F.when(ot != "", _lookup(ot, aliases["origin_x"])).otherwise(F.coalesce(noted_unit(F.col("notes"), "origin_x", notes), F.nullif(space, F.lit("")), F.col("_or"))).alias("u3"),
     )
     r = r.withColumn("v1", F.when(F.col("v1") > 0, F.col("v1")))
     r = r.withColumn("v2", F.when(F.when(F.col("u2") == "level", F.col("v2") >= 0).otherwise(F.col("v2") > 0), F.col("v2")))

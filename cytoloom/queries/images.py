@@ -223,7 +223,7 @@ def _canvases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def coarse_rotations(spark: SparkSession, sf: str) -> DataFrame:
     f, m = _canvases(spark, sf)
-    return raster.coarse_rotation(f, m, BY, 128, 2.0, 0.5).select("slide_id", "angle_deg", "dx", "dy", r("ncc", 4))
+    return raster.coarse_rotation(f, m, BY).select("slide_id", "angle_deg", "dx", "dy", r("ncc", 4))
 
 
 def tissue_similarity(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,7 +135,7 @@ def coarse_acceptance(spark: SparkSession, sf: str) -> DataFrame:
 
 def refined_affine(spark: SparkSession, sf: str) -> DataFrame:
     f, m = _points(spark, sf)
-    a, _ = models.refine_affine(f, m, models.initial_affine(f, m, BY), BY, 2)
+    a, _ = models.refine_affine(f, m, models.initial_affine(f, m, BY), BY)
     return a.select("slide_id", *[r(c, 4) for c in MODEL], "status")
 
 
@@ -177,7 +177,7 @@ def spline_points(spark: SparkSession, sf: str) -> DataFrame:
     ends = models.boundary_anchors(model, _sizes(spark, sf), BY)
     pts = lm.drop("id").unionByName(ends).select("slide_id", F.col("x2").alias("fx"), F.col("y2").alias("fy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
     _, m = _points(spark, sf)
-    got = models.spline_points(m, models.fit_spline(pts, BY, most=400), BY)
+    got = models.spline_points(m, models.fit_spline(pts, BY), BY)
     return got.select(F.col("id").alias("cell_key"), r("x_spline", 3), r("y_spline", 3))
 
 
@@ -202,19 +202,19 @@ def registered_slides(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered_centroids(spark: SparkSession, sf: str) -> DataFrame:
     f, m = _points(spark, sf)
-    got = plans.register_centroids(f, m, BY, rounds=2).matches
+    got = plans.register_centroids(f, m, BY).matches
     return got.select(F.col("id").alias("cell_key"), r("x_global", 3), r("y_global", 3), r("x_local", 3), r("y_local", 3))
 
 
 def landmark_search(spark: SparkSession, sf: str) -> DataFrame:
     f, m = sides(spark, sf)
-    return plans.find_landmarks(f, m, BY, "cell_key", k=10, max_deg=20.0, orientation_deg=20.0, max_profile=0.6).select("slide_id", "id1", "id2", "wsi_grid_y", "wsi_grid_x", r("displacement_residual_px", 3))
+    return plans.find_landmarks(f, m, BY, "cell_key", max_deg=20.0, orientation_deg=20.0, max_profile=0.6).select("slide_id", "id1", "id2", "wsi_grid_y", "wsi_grid_x", r("displacement_residual_px", 3))
 
 
 def sparse_registration(spark: SparkSession, sf: str) -> DataFrame:
     f, m = sides(spark, sf)
     coarse = cut(models.fit_translation(_close(spark, sf), BY, "median"))
-    return plans.register_sparse(f, m, coarse, BY, "cell_key", trials=500).models.select("slide_id", *[r(c, 3) for c in MODEL])
+    return plans.register_sparse(f, m, coarse, BY, "cell_key").models.select("slide_id", *[r(c, 3) for c in MODEL])
 
 
 def landmark_registration(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.operators import models
 from cytoloom.operators.models import MODEL
+from cytoloom.runtime import cut
 
 
 def pairs(spark, m, f, g="s", ids=None):
@@ -187,3 +188,26 @@ def test_trials_are_drawn_from_the_whole_group(spark):
     model, marked = models.ransac(df, [], "id", "translation", 2.0, 3000, samples=1)
     m = model.first()
     assert abs(m.tx - 31) < 0.2 and abs(m.ty + 17) < 0.2 and marked.where("ransac_inlier").count() >= n // 50
+
+
+def test_a_large_spline_uses_every_landmark(spark):
+    rng = np.random.default_rng(16)
+    x = np.vstack([rng.uniform(0, 4000, (500, 2)), rng.normal(900, 150, (400, 2))])
+    move = lambda q: q + np.column_stack([20 * np.sin(q[:, 1] / 500) + 5, 15 * np.cos(q[:, 0] / 400)])
+    y = move(x)
+    rows = [("big", *map(float, (*a, *b))) for a, b in zip(x, y)] + [("small", *map(float, (*a, *b))) for a, b in zip(x[:60], y[:60])] + [("big", float(x[0, 0]), float(x[0, 1]), float(y[0, 0]), float(y[0, 1])), ("big", None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, fx double, fy double, tx double, ty double")
+    sp = models.fit_spline(df, ["g"], most=200)
+    assert sp.where("g = 'small'").count() == 1 and sp.where("g = 'big'").count() > 10
+    other = rng.uniform(100, 3900, (200, 2))
+    pts = spark.createDataFrame([(g, i, *map(float, p)) for g in ("big", "small") for i, p in enumerate(np.vstack([x, other]))], "g string, id int, x double, y double")
+    got = {(r.g, r.id): (r.x_spline, r.y_spline) for r in models.spline_points(pts, cut(sp), ["g"]).collect()}
+    assert len(got) == 2 * 1100
+    off = np.hypot(*(np.array([got["big", i] for i in range(900)]) - y).T)
+    assert off.max() < 0.5  # at the landmarks, most of which the base spline doesn't hold
+    away = np.hypot(*(np.array([got["big", 900 + i] for i in range(200)]) - move(other)).T)
+    whole = models.spline_points(pts.where("g = 'big'"), models.fit_spline(df, ["g"]), ["g"])
+    dense = {r.id: (r.x_spline, r.y_spline) for r in whole.collect()}
+    assert np.median(away) < 2 and np.median(np.hypot(*(np.array([got["big", 900 + i] for i in range(200)]) - np.array([dense[900 + i] for i in range(200)])).T)) < 2
+    with pytest.raises(ValueError, match="crowd"):
+        models.fit_spline(df, ["g"], most=2)

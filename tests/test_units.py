@@ -61,3 +61,16 @@ def test_latest_delivery_and_empty_table(spark):
     got = read(spark, [(1, "s", None, "1", "2", "0.5", None, b), (1, "s", None, "9", "9", "9", None, a), (1, "s", None, "1", "2", "0.5", None, b)])
     assert got == {(1, "mpp_x"): 0.5, (1, "downsample"): 2.0, (1, "origin_x"): 1.0}
     assert read(spark, []) == {}
+
+
+def test_callers_add_spellings_and_patterns(spark):
+    from cytoloom.operators.units import NOTES, read_metadata_quantities
+
+    cols = "record_id long, scanner_source string, coordinate_space string, origin_x string, downsample string, mpp_x string, notes string, ingested_at timestamp"
+    r = spark.createDataFrame([(1, "s", None, None, None, "0.5 mikron", None, None), (2, "s", None, None, None, "500", "Aufloesung in nm", None), (3, " S", None, None, None, "2", None, None)], cols)
+    s = spark.createDataFrame([("s", "um", "factor", "px"), ("S ", "mm", None, None), (None, "nm", None, None)], "scanner_source string, mpp_unit string, downsample_style string, origin_unit string")
+    plain = {a.record_id: a.value for a in read_metadata_quantities(r, s).collect()}
+    assert plain == {2: 500.0, 3: 2.0}
+    about, units = NOTES["mpp_x"]
+    more = read_metadata_quantities(r, s, {"mpp_x": {"um": ["mikron"]}}, {"mpp_x": (about + "|aufloesung", units)})
+    assert {a.record_id: round(a.value, 6) for a in more.collect()} == {1: 0.5, 2: 0.5, 3: 2.0}
