@@ -393,15 +393,16 @@ def local_affine(points: DataFrame, landmarks: DataFrame, models: DataFrame, by:
     if leave_out:
         near = near.where("id <> neighbour").withColumn("ordinal", F.row_number().over(W.partitionBy(*by, "id").orderBy("ordinal"))).where(F.col("ordinal") <= k)
     near = near.join(landmarks.select(F.col("id").alias("neighbour"), "x1", "y1", "x2", "y2"), "neighbour")
+    # seen from the point, so that sums of squares don't cancel; its own place is then the shift
+    near = near.join(points.select(*by, "id", "x", "y"), [*by, "id"]).withColumns({"x2": F.col("x2") - F.col("x"), "y2": F.col("y2") - F.col("y")}).drop("x", "y")
     w = 1 / F.pow(F.greatest("distance", F.lit(exact)), F.lit(power))
     fit = fit_affine(near, [*by, "id"], w).withColumnsRenamed({c: f"_l_{c}" for c in MODEL})
     hit = near.where((F.col("ordinal") == 1) & (F.col("distance") <= exact)).select(*by, "id", F.col("x1").alias("_hx"), F.col("y1").alias("_hy"))
     j = points.join(fit, [*by, "id"], "left").join(hit, [*by, "id"], "left")
     j = on(by, j, models.select(*by, *MODEL), "left")
-    lx, ly = apply_xy("x", "y", "_l_")
     gx, gy = apply_xy("x", "y")
     use = F.col("n") >= 3
-    return j.select(*points.columns, F.coalesce("_hx", F.when(use, lx), gx).alias("x_local"), F.coalesce("_hy", F.when(use, ly), gy).alias("y_local"))
+    return j.select(*points.columns, F.coalesce("_hx", F.when(use, F.col("_l_tx")), gx).alias("x_local"), F.coalesce("_hy", F.when(use, F.col("_l_ty")), gy).alias("y_local"))
 
 
 def deformation_grid(models: DataFrame, sizes: DataFrame, by: Sequence[str], grid: int = 16, landmarks: DataFrame | None = None, k: int = 8, power: float = 2.0) -> DataFrame:

@@ -228,7 +228,7 @@ def coarse_rotations(spark: SparkSession, sf: str) -> DataFrame:
 
 def tissue_similarity(spark: SparkSession, sf: str) -> DataFrame:
     f, m = _canvases(spark, sf)
-    return raster.tissue_similarity(f.where("value > 0.05"), m.where("value > 0.05"), BY, 128, 16, 20).select("slide_id", *[r(c, 3) for c in [*MODEL, "dice"]])
+    return raster.tissue_similarity(f.where("value > 0.05"), m.where("value > 0.05"), BY).select("slide_id", *[r(c, 3) for c in [*MODEL, "dice"]])
 
 
 def mask_tiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -140,8 +140,9 @@ def refined_affine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _landmarks(spark: SparkSession, sf: str) -> DataFrame:
-    _, m = models.ransac(linked(spark, sf), BY, "match_id", "translation", 3.0, 300)
-    best = m.where("ransac_inlier").groupBy("slide_id", "id2").agg(F.min(F.struct("residual_px", "id1", "x1", "y1", "x2", "y2")).alias("s"))
+    """The nearest of each round-2 cell's candidates that were recorded as inliers."""
+    told = table(spark, sf, "cell_matches").where("ransac_inlier").select("match_id")
+    best = linked(spark, sf).join(told, "match_id", "left_semi").groupBy("slide_id", "id2").agg(F.min(F.struct("distance", "id1", "x1", "y1", "x2", "y2")).alias("s"))
     return cut(best.select("slide_id", F.col("id2").alias("id"), "s.x1", "s.y1", "s.x2", "s.y2"))
 
 
@@ -232,6 +233,24 @@ _AFF = _CLOSE + """, g AS (SELECT slide_id, count(*) AS n, avg(x1) AS u, avg(y1)
 h AS (SELECT *, xx * yy - xy * xy AS det, n >= 3 AND xx * yy - xy * xy > 1e-9 * xx * yy AS ok FROM g),
 l AS (SELECT *, CASE WHEN ok THEN (xu * yy - yu * xy) / det ELSE 1 END AS a, CASE WHEN ok THEN (yu * xx - xu * xy) / det ELSE 0 END AS b, CASE WHEN ok THEN (xv * yy - yv * xy) / det ELSE 0 END AS c, CASE WHEN ok THEN (yv * xx - xv * xy) / det ELSE 1 END AS d FROM h),
 aff AS (SELECT slide_id, a, b, u - a * x - b * y AS tx, c, d, v - c * x - d * y AS ty FROM l)"""
+_GLOB = f"""{LINKED}, lm AS MATERIALIZED (SELECT slide_id, id2 AS id, x1, y1, x2, y2 FROM (SELECT l.*, row_number() OVER (PARTITION BY l.slide_id, id2 ORDER BY l.distance, id1) AS rn
+  FROM linked l JOIN cell_matches m USING (match_id) WHERE m.ransac_inlier) WHERE rn = 1), """ + _AFF[len(_CLOSE) + 2 :].replace("FROM k GROUP", "FROM lm GROUP")
+
+
+def _local(fixed: str, moving: str, leave_out: bool = False) -> str:
+    """CTE ``loc`` (slide_id, id, u, v): points ``pts`` (slide_id, id, x, y, gu, gv) by the affine of their eight nearest landmarks from
+    ``moving`` to ``fixed``, or as gu, gv say."""
+    cov = lambda p, q: f"s{p}{q} - s{p} * s{q} / sw"
+    sums = ", ".join(f"sum(w * {p} * {q}) AS s{p}{q}" for p, q in ("aa", "ab", "bb", "au", "bu", "av", "bv"))
+    return f"""nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_id, id ORDER BY d, lid) AS o FROM (SELECT p.slide_id, p.id, l.id AS lid, l.x{moving} - p.x AS a, l.y{moving} - p.y AS b, l.x{fixed} AS u, l.y{fixed} AS v,
+    sqrt((p.x - l.x{moving}) ** 2 + (p.y - l.y{moving}) ** 2) AS d FROM pts p JOIN lm l USING (slide_id){' WHERE p.id <> l.id' if leave_out else ''})) WHERE o <= 8),
+sums AS (SELECT slide_id, id, count(*) AS n, sum(w) AS sw, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * u) AS su, sum(w * v) AS sv, {sums}, max(u) FILTER (WHERE o = 1 AND d <= 1e-6) AS hu, max(v) FILTER (WHERE o = 1 AND d <= 1e-6) AS hv
+  FROM (SELECT *, 1 / greatest(d, 1e-6) ** 2 AS w FROM nn) GROUP BY ALL),
+covs AS (SELECT *, {', '.join(f'{cov(p, q)} AS c{p}{q}' for p, q in ('aa', 'ab', 'bb', 'au', 'bu', 'av', 'bv'))} FROM sums), dets AS (SELECT *, caa * cbb - cab * cab AS det, caa * cbb - cab * cab > 1e-9 * caa * cbb AND caa * cbb - cab * cab > 0 AS ok FROM covs),
+coef AS (SELECT *, CASE WHEN ok THEN (cau * cbb - cbu * cab) / det ELSE 1 END AS ca, CASE WHEN ok THEN (cbu * caa - cau * cab) / det ELSE 0 END AS cb, CASE WHEN ok THEN (cav * cbb - cbv * cab) / det ELSE 0 END AS cc, CASE WHEN ok THEN (cbv * caa - cav * cab) / det ELSE 1 END AS cd FROM dets),
+loc AS (SELECT p.*, coalesce(hu, CASE WHEN n >= 3 THEN (su - ca * sa - cb * sb) / sw END, gu) AS u, coalesce(hv, CASE WHEN n >= 3 THEN (sv - cc * sa - cd * sb) / sw END, gv) AS v FROM pts p LEFT JOIN coef USING (slide_id, id))"""
+
+
 _SIX = ", ".join(f"round({c}, 4) AS {c}" for c in MODEL)
 _MAIN = f"""{LINKED}, bins AS (SELECT slide_id, floor(dx / 64) AS bx, floor(dy / 64) AS by_, count(*) AS n FROM linked GROUP BY ALL), mode AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY n DESC, bx, by_) AS rn FROM bins) WHERE rn = 1),
 m1 AS (SELECT l.slide_id, median(dx) AS x1m, median(dy) AS y1m FROM linked l JOIN mode ON mode.slide_id = l.slide_id AND floor(dx / 64) = bx AND floor(dy / 64) = by_ GROUP BY l.slide_id),
@@ -254,6 +273,14 @@ j AS (SELECT c.*, dx, dy, (gy - ky) ** 2 + (gx - kx) ** 2 AS f, row_number() OVE
 SELECT slide_id, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, round(dx, 6) AS dx, round(dy, 6) AS dy, f = 0 AS known FROM j WHERE rn = 1""",
     "similarity_fit": f"WITH {_SIMS} SELECT slide_id, {_SIX} FROM sim",
     "euclidean_fit": f"WITH {_EUC} SELECT slide_id, {_SIX} FROM sim",
+    "local_affine": f"""WITH {_GLOB}, pts AS (SELECT m.slide_id, cell_key AS id, centroid_x AS x, centroid_y AS y, a * centroid_x + b * centroid_y + tx AS gu, c * centroid_x + d * centroid_y + ty AS gv FROM m JOIN aff USING (slide_id)), {_local('1', '2')}
+SELECT id AS cell_key, round(u, 4) AS x_local, round(v, 4) AS y_local FROM loc""",
+    "leave_one_out": f"""WITH {_GLOB}, pts AS (SELECT lm.slide_id, id, x2 AS x, y2 AS y, a * x2 + b * y2 + tx AS gu, c * x2 + d * y2 + ty AS gv, x1, y1 FROM lm JOIN aff USING (slide_id)), {_local('1', '2', True)}
+SELECT id AS cell_key, round(sqrt((u - x1) ** 2 + (v - y1) ** 2), 4) AS residual_px FROM loc""",
+    "deformation_grid_local": f"""WITH {_GLOB}, z AS (SELECT slide_id, max(image_width) AS w, max(image_height) AS h FROM slides GROUP BY slide_id),
+g2 AS (SELECT slide_id, gy, gx, gx * (w - 1) / 7 AS x, gy * (h - 1) / 7 AS y, a, b, c, d, tx, ty, a * d - b * c AS det FROM z JOIN aff USING (slide_id), (SELECT unnest(range(8)) AS gy), (SELECT unnest(range(8)) AS gx)),
+pts AS (SELECT slide_id, gy * 8 + gx AS id, gy, gx, x, y, (d * (x - tx) - b * (y - ty)) / det AS gu, (a * (y - ty) - c * (x - tx)) / det AS gv FROM g2 WHERE abs(det) > 1e-12), {_local('2', '1')}
+SELECT slide_id, CAST(gy AS INTEGER) AS gy, CAST(gx AS INTEGER) AS gx, round(u, 4) AS moving_x_local, round(v, 4) AS moving_y_local, round(u - gu, 4) AS delta_x, round(v - gv, 4) AS delta_y FROM loc""",
     "affine_fit": f"WITH {_AFF} SELECT slide_id, {_SIX} FROM aff",
     "clipped_inliers": f"""WITH {_CLOSE}, t AS (SELECT slide_id, avg(dx) AS tx, avg(dy) AS ty FROM k GROUP BY slide_id),
 p AS (SELECT k.*, sqrt((dx - tx) ** 2 + (dy - ty) ** 2) AS res, sqrt((dx - tx) ** 2 + (dy - ty) ** 2) <= 20 AS inn FROM k JOIN t USING (slide_id)),
