@@ -46,8 +46,9 @@ def hard_constraints(matches: DataFrame, max_area_ratio: float = 2.5, max_aspect
     return matches.where(reduce(lambda a, b: a & b, tests)) if tests else matches
 
 
-def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch: str | None = None, left: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
-    """Rounds of pairs that are first at both ends, logged; more than ``max_rounds`` raise. With ``patch``, ``left`` says how many each patch may still take: a
+def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch: str | None = None, left: DataFrame | None = None, most: int = 0, max_rounds: int = 1000) -> DataFrame:
+    """Rounds of pairs that are first at both ends, logged; more than ``max_rounds`` raise. ``most``: what no patch may take
+    more than, so that ranks beyond it are cut off before the shuffle. With ``patch``, ``left`` says how many each patch may still take: a
     pair is safe to take if no more than that many open pairs of its patch come up to it in the order."""
     key = F.struct(*order)
     done: list[DataFrame] = []
@@ -61,7 +62,7 @@ def _greedy(edges: DataFrame, group: Sequence[str], order: Sequence[str], patch:
         first = open_.join(a, [*group, "id1", "id2"], "left_semi").join(b, [*group, "id1", "id2"], "left_semi")
         if patch:
             ranked = open_.withColumn("_rank", F.row_number().over(W.partitionBy(*group, patch).orderBy(*order)))
-            safe = ranked.where("_rank <= _left").select(*group, "id1", "id2")
+            safe = ranked.where((F.col("_rank") <= most) & (F.col("_rank") <= F.col("_left"))).select(*group, "id1", "id2")
             first = first.join(safe, [*group, "id1", "id2"], "left_semi").drop("_left")
         picked = cut(first.select(*edges.columns))
         n_picked = picked.count()
@@ -106,7 +107,7 @@ def patch_balanced_match(candidates: DataFrame, group: Sequence[str], patch: str
     c = cut(candidates.where(clean(F.col(order[0]).cast("double")).isNotNull()))
     patches = cut(c.select(*group, patch).distinct())
     n = patches.groupBy(*group).agg(F.greatest(F.lit(min_per_patch), F.floor(F.lit(top_k) / F.count("*"))).cast("int").alias("_quota"))
-    one = _greedy(c, group, order, patch, patches.withColumn("_left", F.lit(min_per_patch))).withColumn("phase", F.lit(1))
+    one = _greedy(c, group, order, patch, patches.withColumn("_left", F.lit(min_per_patch)), min_per_patch).withColumn("phase", F.lit(1))
     rest = c if threshold is None else c.where(F.col(order[0]) <= threshold)
 
     def unmatched(of: DataFrame, used: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def patch_balanced_match(candidates: DataFrame, group: Sequence[str], patch: str
     one = cut(one)
     had = one.groupBy(*group, patch).agg(F.count("*").alias("_n"))
     left = on(group, patches, n).join(had, [*group, patch], "left").select(*group, patch, (F.col("_quota") - F.coalesce("_n", F.lit(0))).alias("_left"))
-    two = cut(_greedy(unmatched(rest, one), group, order, patch, cut(left)).withColumn("phase", F.lit(2)))
+    two = cut(_greedy(unmatched(rest, one), group, order, patch, cut(left), max(min_per_patch, top_k)).withColumn("phase", F.lit(2)))
     both = one.unionByName(two)
     three = _greedy(unmatched(rest, both), group, order).withColumn("phase", F.lit(3))
     out = both.unionByName(three)
