@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cytoloom.functions.scalar import clean, clip
+from cytoloom.functions.scalar import clip
 from cytoloom.functions.stats import MAD, keep_robust, medians, on, robust_extents
 from cytoloom.operators.neighbors import _key_columns, knn, mutual_nearest
 from cytoloom.runtime import column, cut, map_groups

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.operators import masks, models, raster, segment
 from cytoloom.operators.models import MODEL
-from cytoloom.queries.base import BY, CELLS, MASK, cells, mask, r, sides, table
+from cytoloom.queries.base import BY, CELLS, MASK, cells, mask, r, table
 from cytoloom.runtime import cut
 from cytoloom.sources import sinks, tables
 from cytoloom.sources import tiles as dense

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cytoloom.operators import consensus, models
 from cytoloom.operators.models import MODEL
 from cytoloom.plans import matching as plans
-from cytoloom.queries.base import BY, CELLS, LINKED, cells, linked, r, sides, table
+from cytoloom.queries.base import BY, CELLS, LINKED, linked, r, sides, table
 from cytoloom.runtime import cut
 
 
