@@ -291,16 +291,19 @@ def stitch_tiles(tiles: DataFrame, by: Sequence[str], union: bool = True) -> Dat
     tile's window meets an earlier tile's core label on a pixel; without ``union`` they stay apart. Labels are numbered 1..N
     in the order of their least (tile, label)."""
     t = tiles.where("label > 0").withColumn("node", F.col("tile").cast("long") * (1 << 32) + F.col("label").cast("long"))
-    core = t.where("in_core").groupBy(*by, "y", "x").agg(F.min("node").alias("node"))
-    core = cut(core)
     key = lambda c: F.xxhash64(*by, c)
-    names = core.select(*by, "node", key("node").alias("k")).distinct()
+    if union:
+        # a pixel lies in few tiles, so its labels are a short list; a join of pixels with pixels would be planned by the size of
+        # what they are exploded from
+        core = t.groupBy(*by, "y", "x").agg(F.min(F.when(F.col("in_core"), F.col("node"))).alias("node"), F.collect_set("node").alias("_late")).where("node is not null")
+        core = cut(core.withColumn("_late", F.filter("_late", lambda n: F.shiftright(n, 32) > F.shiftright("node", 32))))
+    else:
+        core = cut(t.where("in_core").groupBy(*by, "y", "x").agg(F.min("node").alias("node")))
+    names = cut(core.select(*by, "node").distinct().withColumn("k", key("node")))
     part = names.withColumn("label", F.col("k"))
     if union:
-        meet = t.select(*by, "y", "x", F.col("node").alias("late")).join(core.withColumnRenamed("node", "early"), [*by, "y", "x"]).where(F.shiftright("late", 32) > F.shiftright("early", 32))
-        edges = meet.select(key("early").alias("a"), key("late").alias("b")).distinct()
-        nodes = names.select(F.col("k").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-        part = names.join(components(nodes, edges).withColumnRenamed("node", "k"), "k")
+        edges = core.where("size(_late) > 0").select(*by, "node", F.explode("_late").alias("_l")).distinct().select(key("node").alias("a"), key("_l").alias("b"))
+        part = names.join(components(names.select(F.col("k").alias("node")), edges).withColumnRenamed("node", "k"), "k")
     least = part.groupBy(*by, "label").agg(F.min("node").alias("_f"))
     num = least.withColumn("new", F.row_number().over(W.partitionBy(*by).orderBy("_f"))).select(*by, "label", "new")
     num = part.join(num, [*by, "label"]).select(*by, "node", F.col("new").alias("label"))
