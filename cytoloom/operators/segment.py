@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cytoloom.runtime import to_arrow
+from cytoloom.runtime import column, map_groups, to_arrow
 
 Segmenter = Callable[[np.ndarray], np.ndarray]
 
@@ -59,3 +60,26 @@ def segment_tiles(tiles: DataFrame, segmenter: Segmenter, by: Sequence[str], min
                 yield pa.RecordBatch.from_arrays([cols[f.name] for f in out], schema=out)
 
     return tiles.mapInArrow(run, schema)
+
+
+def segment_pixels(pixels: DataFrame, segmenter: Segmenter, by: Sequence[str], value: str, tile: int = 256, min_share: float = 0.001, dtype: str = "float32") -> DataFrame:
+    """(by, y0, x0, y, x, label): what ``segment_tiles`` gives for the dense tiles of a pixel table (by, y, x, value). An image
+    lives only while it is segmented, so that a task holds one, not the tiles of a batch on both sides of Python."""
+    p = pixels.select(*by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("float" if dtype == "float32" else "double").alias("v"))
+    p = p.withColumns({"y0": F.floor(F.col("y") / tile).cast("int") * tile, "x0": F.floor(F.col("x") / tile).cast("int") * tile})
+    types = dict(p.dtypes)
+
+    def run(t: pa.Table) -> pa.Table | None:
+        y0, x0 = t.column("y0")[0].as_py(), t.column("x0")[0].as_py()
+        img = np.zeros((tile, tile), dtype)
+        img[column(t, "y") - y0, column(t, "x") - x0] = column(t, "v")
+        if np.count_nonzero(img) < min_share * img.size:
+            return None
+        label = segmenter(img)
+        y, x = np.nonzero(label)
+        if not len(y):
+            return None
+        same = t.slice(0, 1).take(pa.array(np.zeros(len(y), np.int64)))
+        return pa.table({**{g: same.column(g) for g in (*by, "y0", "x0")}, "y": (y + y0).astype(np.int32), "x": (x + x0).astype(np.int32), "label": label[y, x].astype(np.int32)})
+
+    return map_groups(p, [*by, "y0", "x0"], run, "".join(f"`{g}` {types[g]}, " for g in by) + "y0 int, x0 int, y int, x int, label int")

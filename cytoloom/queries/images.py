@@ -12,7 +12,6 @@ from cytoloom.operators.models import MODEL
 from cytoloom.queries.base import BY, CELLS, MASK, cells, mask, r, table
 from cytoloom.runtime import cut
 from cytoloom.sources import sinks, tables
-from cytoloom.sources import tiles as dense
 
 IMG = ["image"]
 
@@ -250,8 +249,8 @@ def contour_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def segmented(spark: SparkSession, sf: str) -> DataFrame:
     """The rectangles as images in dense tiles, segmented tile by tile, and stitched: their boxes."""
-    t = dense.dense_tiles(mask(spark, sf), IMG, "label", 250).withColumn("tile", (F.col("y0") / 250 * 4 + F.col("x0") / 250).cast("long"))
-    p = segment.segment_tiles(t, segment.threshold_segmenter(), IMG).withColumns({"tile": F.col("tile").cast("int"), "in_core": F.lit(True)})
+    p = segment.segment_pixels(mask(spark, sf), segment.threshold_segmenter(), IMG, "label", 250)
+    p = p.withColumns({"tile": (F.col("y0") / 250 * 4 + F.col("x0") / 250).cast("int"), "in_core": F.lit(True)}).drop("y0", "x0")
     s = masks.stitch_tiles(p, IMG, union=False)
     return s.groupBy("image", "label").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0")).select("image", "area", "x0", "y0")
 
