@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +30,29 @@ def _sampled(cells: DataFrame, params: Sequence[str], place: Callable[[dict, np.
     Zeros are left out."""
     kind = dict(source.dtypes)[value] if order == 0 else "double"
     s = source.select(*by, F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), F.col(value).cast(kind).alias("_v"))
-    s = s.withColumns({"_ty": F.floor(F.col("_y") / tile), "_tx": F.floor(F.col("_x") / tile)})
-    tiles = cut(s.groupBy(*by, "_ty", "_tx").agg(F.collect_list(F.struct("_y", "_x", "_v")).alias("_p")))  # a tile bounds the list
+    s = s.where("_v is not null").withColumns({"_ty": F.floor(F.col("_y") / tile), "_tx": F.floor(F.col("_x") / tile)})
+    s = s.withColumn("_k", ((F.col("_y") - F.col("_ty") * tile) * tile + F.col("_x") - F.col("_tx") * tile).cast("int"))
+    # a tile bounds the lists; two of numbers take a fifth of one of structs
+    tiles = cut(s.groupBy(*by, "_ty", "_tx").agg(F.collect_list(F.struct("_k", "_v")).alias("_p")).select(*by, "_ty", "_tx", F.col("_p._k").alias("_k"), F.col("_p._v").alias("_v")))
     ends = tiles.groupBy(*by).agg(*[f(c).alias(f"_{n}{c}") for c in ("_ty", "_tx") for n, f in (("lo", F.min), ("hi", F.max))])
     need = on(by, cells, ends)
     span = lambda a, b, c: F.sequence(F.greatest(F.floor(F.col(a) / tile), F.col(f"_lo{c}")), F.least(F.floor(F.col(b) / tile), F.col(f"_hi{c}")))
     some = lambda a, b, c: (F.floor(F.col(b) / tile) >= F.col(f"_lo{c}")) & (F.floor(F.col(a) / tile) <= F.col(f"_hi{c}"))
     need = need.where(some("_sy0", "_sy1", "_ty") & some("_sx0", "_sx1", "_tx")).withColumn("_ty", F.explode(span("_sy0", "_sy1", "_ty"))).withColumn("_tx", F.explode(span("_sx0", "_sx1", "_tx")))
-    both = need.select(*by, "_y0", "_x0", "_h", "_w", *params, "_ty", "_tx").join(tiles, [*by, "_ty", "_tx"]).drop("_ty", "_tx")
+    # the cells are exploded from small tables, by whose size they would be broadcast; what a cell's place is told from goes once
+    here = need.select(*by, "_y0", "_x0", "_ty", "_tx").hint("merge").join(tiles, [*by, "_ty", "_tx"])
+    both = here.unionByName(cells.select(*by, "_y0", "_x0", "_h", "_w", *params), allowMissingColumns=True)
 
     def look(t: pa.Table) -> pa.Table | None:
-        first = {c: t.column(c)[0].as_py() for c in ("_y0", "_x0", "_h", "_w", *params)}
-        p = pa.chunked_array(t.column("_p")).combine_chunks() if not isinstance(t.column("_p"), pa.ChunkedArray) else t.column("_p").combine_chunks()
-        flat = (p.chunk(0) if isinstance(p, pa.ChunkedArray) else p).flatten()
-        py, px, pv = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        own = _whole(pc.is_null(t.column("_ty"))).to_numpy(zero_copy_only=False)
+        if own.all() or not own.any():
+            return None
+        first = {c: t.column(c)[int(own.argmax())].as_py() for c in ("_y0", "_x0", "_h", "_w", *params)}
+        t = t.filter(pa.array(~own))
+        k, pv = (_flat(t.column(c)).to_numpy(zero_copy_only=False) for c in ("_k", "_v"))
+        many = pc.list_value_length(_whole(t.column("_k"))).to_numpy(zero_copy_only=False)
+        ty, tx = (np.repeat(column(t, c), many) for c in ("_ty", "_tx"))
+        py, px = ty * tile + k // tile, tx * tile + k % tile
         key = (py << 32) + px
         o = np.argsort(key, kind="stable")
         key, pv = key[o], pv[o]
@@ -69,14 +79,18 @@ def _sampled(cells: DataFrame, params: Sequence[str], place: Callable[[dict, np.
                     got += np.where(hit, (1 - np.abs(sy - fy - dy)) * (1 - np.abs(sx - fx - dx)) * pv[i], 0)
         keep = got != 0
         n = int(keep.sum())
-        return pa.table({**{g: pa.concat_arrays([_one(t.column(g))] * n) if n else pa.array([], t.column(g).type) for g in by}, "y": y[keep].astype(np.int64), "x": x[keep].astype(np.int64), value: got[keep]}) if n else None
+        return pa.table({**{g: _whole(t.column(g)).take(pa.array(np.zeros(n, np.int64))) for g in by}, "y": y[keep].astype(np.int64), "x": x[keep].astype(np.int64), value: got[keep]}) if n else None
 
     return map_groups(both, [*by, "_y0", "_x0"], look, _key_columns(source, by) + f"y long, x long, `{value}` {kind}")
 
 
-def _one(c: pa.ChunkedArray | pa.Array) -> pa.Array:
-    c = c.slice(0, 1)
-    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+def _whole(c: pa.ChunkedArray | pa.Array) -> pa.Array:
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+
+
+def _flat(c: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return _whole(c).flatten()
 
 
 def _cells(sizes: DataFrame, by: Sequence[str], size: int) -> DataFrame:
@@ -113,18 +127,29 @@ def field_warp(source: DataFrame, field: DataFrame, sizes: DataFrame, by: Sequen
     """The source moved by a coarse field: (by, gy, gx, sx, sy) tells where the output pixel (gy x step, gx x step) comes from;
     between nodes the place is interpolated linearly. Any map that can be evaluated at the nodes, a local affine or a
     spline, warps this way. Cells with a missing node are left empty."""
-    f = field.select(*by, "gy", "gx", F.col("sx").alias("_sx"), F.col("sy").alias("_sy"))
-    corner = lambda dy, dx, n: f.select(*by, (F.col("gy") - dy).alias("gy"), (F.col("gx") - dx).alias("gx"), F.col("_sx").alias(f"x{n}"), F.col("_sy").alias(f"y{n}"))
-    c = _cells(sizes.select(*by, "width", "height"), by, step)
-    for n, (dy, dx) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        c = c.join(corner(dy, dx, n), [*by, "gy", "gx"])
-    c = _looking(c, [F.col(f"x{n}") for n in range(4)], [F.col(f"y{n}") for n in range(4)])
+    m = max(1, 128 // step)  # cells along a side of a block
+    f = field.where("sx is not null and sy is not null and not isnan(sx) and not isnan(sy)").select(*by, F.struct(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), "sx", "sy").alias("_n"))
+    # the nodes on a block's first row or column are the last of the block before
+    of = lambda c: F.explode(F.sequence(F.ceil(F.col(c) / m) - 1, F.floor(F.col(c) / m)))
+    f = f.withColumn("gy", of("_n.gy")).withColumn("gx", of("_n.gx")).where("gy >= 0 and gx >= 0")
+    c = f.groupBy(*by, "gy", "gx").agg(F.collect_list("_n").alias("_n"))  # at most (m + 1) x (m + 1)
+    c = on(by, c, sizes.select(*by, "width", "height")).withColumns({"_y0": F.col("gy") * (m * step), "_x0": F.col("gx") * (m * step)}).where("_y0 < height and _x0 < width")
+    c = c.withColumns({"_h": F.least(F.lit(m * step), F.col("height") - F.col("_y0")), "_w": F.least(F.lit(m * step), F.col("width") - F.col("_x0"))})
+    c = c.withColumns({"_gy": F.col("_n.gy"), "_gx": F.col("_n.gx"), "_nx": F.col("_n.sx"), "_ny": F.col("_n.sy")})
+    c = cut(_looking(c, [F.array_min("_nx"), F.array_max("_nx")], [F.array_min("_ny"), F.array_max("_ny")]).select(*by, "_y0", "_x0", "_h", "_w", "_gy", "_gx", "_nx", "_ny", "_sx0", "_sx1", "_sy0", "_sy1"))
 
     def place(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, v = (x - p["_x0"]) / step, (y - p["_y0"]) / step
-        return tuple((1 - v) * ((1 - u) * p[f"{n}0"] + u * p[f"{n}1"]) + v * ((1 - u) * p[f"{n}2"] + u * p[f"{n}3"]) for n in "xy")
-
-    return _sampled(c, [f"{n}{i}" for n in "xy" for i in range(4)], place, source, by, order, value, max(step, 16))
+        j, i = np.array(p["_gy"]) - p["_y0"] // step, np.array(p["_gx"]) - p["_x0"] // step
+        a, b = ((y - p["_y0"]) // step).astype(int), ((x - p["_x0"]) // step).astype(int)
+        u, v = (x - p["_x0"] - b * step) / step, (y - p["_y0"] - a * step) / step
+        got = []
+        for n in ("_nx", "_ny"):
+            g = np.full((m + 1, m + 1), np.nan)
+            g[j, i] = p[n]
+            got.append((1 - v) * ((1 - u) * g[a, b] + u * g[a, b + 1]) + v * ((1 - u) * g[a + 1, b] + u * g[a + 1, b + 1]))
+        return got[0], got[1]
+
+    return _sampled(c, ["_gy", "_gx", "_nx", "_ny"], place, source, by, order, value, 32)
 
 
 def field_nodes(sizes: DataFrame, by: Sequence[str], step: int) -> DataFrame:
