@@ -320,53 +320,85 @@ def _canvas(t: pa.Table, shape: tuple[int, int]) -> np.ndarray:
 def _rotate(img: np.ndarray, deg: float) -> np.ndarray:
     h, w = img.shape
     c, s = math.cos(math.radians(deg)), math.sin(math.radians(deg))
-    yy, xx = np.mgrid[0:h, 0:w]
     cy, cx = (h - 1) / 2, (w - 1) / 2
+    full = [np.flatnonzero(img.any(axis)) for axis in (0, 1)]
+    if not len(full[0]):
+        return np.zeros_like(img)
+    # only the box in which what isn't zero comes to lie
+    ends = np.array([(x, y) for x in (full[0][0] - cx, full[0][-1] - cx) for y in (full[1][0] - cy, full[1][-1] - cy)])
+    ox, oy = c * ends[:, 0] - s * ends[:, 1] + cx, s * ends[:, 0] + c * ends[:, 1] + cy
+    ya, yb, xa, xb = (int(np.clip(v, 0, n)) for v, n in ((math.floor(oy.min()) - 2, h), (math.ceil(oy.max()) + 3, h), (math.floor(ox.min()) - 2, w), (math.ceil(ox.max()) + 3, w)))
+    yy, xx = np.mgrid[ya:yb, xa:xb]
     sx, sy = c * (xx - cx) + s * (yy - cy) + cx, -s * (xx - cx) + c * (yy - cy) + cy
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
     out = np.zeros_like(img)
+    rim = np.zeros((h + 2, w + 2))  # places off the image are 0
+    rim[1:-1, 1:-1] = img
+    fx, fy = sx - x0, sy - y0
+    at = np.clip(y0 + 1, 0, h) * (w + 2) + np.clip(x0 + 1, 0, w)
+    inside = (y0 >= -1) & (x0 >= -1) & (y0 < h) & (x0 < w)
+    flat, got = rim.ravel(), np.zeros(sx.shape)
     for dy in (0, 1):
         for dx in (0, 1):
-            x, y = x0 + dx, y0 + dy
-            ok = (x >= 0) & (y >= 0) & (x < w) & (y < h)
-            wgt = (1 - np.abs(sx - x)) * (1 - np.abs(sy - y))
-            out[ok] += wgt[ok] * img[y[ok], x[ok]]
+            got += ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)) * flat[at + dy * (w + 2) + dx]
+    out[ya:yb, xa:xb] = np.where(inside, got, 0)
     return out
 
 
-def coarse_rotation(fixed: DataFrame, moving: DataFrame, by: Sequence[str], size: int = 256, max_deg: float = 2.0, step_deg: float = 0.1) -> DataFrame:
+def _blurred(t: pa.Table, shape: tuple[int, int], sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """What ``gaussian_blur`` gives, on a canvas: of all pixels, also those around it."""
+    r = int(truncate * sigma + 0.5)
+    k = np.array([math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)])
+    k /= k.sum()
+    h, w = shape
+    wide = np.zeros((h + 2 * r, w + 2 * r))
+    y, x = column(t, "y").astype(int) + r, column(t, "x").astype(int) + r
+    ok = (y >= 0) & (x >= 0) & (y < h + 2 * r) & (x < w + 2 * r)
+    np.add.at(wide, (y[ok], x[ok]), column(t, "value")[ok])
+    rows = sum(k[i] * wide[:, i : i + w] for i in range(2 * r + 1))
+    return sum(k[i] * rows[i : i + h] for i in range(2 * r + 1))
+
+
+def coarse_rotation(fixed: DataFrame, moving: DataFrame, by: Sequence[str], size: int = 256, max_deg: float = 2.0, step_deg: float = 0.1, blur: tuple[float, float] | None = None) -> DataFrame:
     """(by, angle_deg, dx, dy, ncc) of each group: the rotation about the canvas' centre and shift that lay the moving density
-    on the fixed one. Both are given as rasters of at most size x size (by, y, x, value), blurred already.
+    on the fixed one. Both are given as rasters of at most size x size (by, y, x, value), blurred already, or with ``blur``
+    (sigma, truncate) still to be blurred, so that only pixels with points are moved.
 
-    Each angle of each group is one piece of work: the shift comes from the phase of the windowed spectra, the angle from
-    the greatest correlation (the first among equals)."""
+    Each group is one piece of work, as its rasters are bounded: the shift of each angle comes from the phase of the windowed
+    spectra, the angle from the greatest correlation (the first among equals)."""
     n = int(round(max_deg / step_deg))
-    angles = F.explode(F.array(*[F.lit(round(i * step_deg, 6)) for i in range(-n, n + 1)])).alias("angle_deg")
+    angles = [round(i * step_deg, 6) for i in range(-n, n + 1)]
     both = fixed.select(*by, "y", "x", "value", F.lit(1).alias("side")).unionByName(moving.select(*by, "y", "x", "value", F.lit(2).alias("side")))
-    both = both.where(f"y >= 0 and x >= 0 and y < {size} and x < {size}").select("*", angles)
+    r = int(blur[0] * blur[1] + 0.5) if blur else 0
+    both = both.where(f"y >= {-r} and x >= {-r} and y < {size + r} and x < {size + r}")
     window = np.outer(np.hanning(size), np.hanning(size))
 
     def fit(t: pa.Table) -> pa.Table | None:
         side = column(t, "side")
         if not ((side == 1).any() and (side == 2).any()):
             return None
-        f = _canvas(t.filter(pa.array(side == 1)), (size, size))
-        m = _rotate(_canvas(t.filter(pa.array(side == 2)), (size, size)), column(t, "angle_deg")[0])
-        cross = np.fft.rfft2(f * window) * np.conj(np.fft.rfft2(m * window))
-        peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), s=f.shape)
-        dy, dx = np.unravel_index(int(peak.argmax()), peak.shape)
-        dy, dx = (int(d) - size if d > size // 2 else int(d) for d in (dy, dx))
-        moved = np.zeros_like(m)
-        ys, xs = slice(max(dy, 0), size + min(dy, 0)), slice(max(dx, 0), size + min(dx, 0))
-        yt, xt = slice(max(-dy, 0), size + min(-dy, 0)), slice(max(-dx, 0), size + min(-dx, 0))
-        moved[ys, xs] = m[yt, xt]
-        a, b = f - f.mean(), moved - moved.mean()
-        ncc = float((a * b).sum() / max(1e-12, math.sqrt((a * a).sum() * (b * b).sum())))
-        return pa.table({**{g: t.column(g).slice(0, 1) for g in by}, "angle_deg": t.column("angle_deg").slice(0, 1), "dx": [float(dx)], "dy": [float(dy)], "ncc": [ncc]})
-
-    got = map_groups(both, [*by, "angle_deg"], fit, _key_columns(both, by) + "angle_deg double, dx double, dy double, ncc double")
-    best = got.groupBy(*by).agg(F.min(F.struct((-F.col("ncc")).alias("c"), "angle_deg", "dx", "dy")).alias("s"))
-    return best.select(*by, "s.angle_deg", "s.dx", "s.dy", (-F.col("s.c")).alias("ncc"))
+        f, still = (_blurred(s, (size, size), *blur) if blur else _canvas(s, (size, size)) for s in (t.filter(pa.array(side == i)) for i in (1, 2)))
+        spectrum, a = np.fft.rfft2(f * window), f - f.mean()
+        aa, best = (a * a).sum(), None  # the mean of ``a`` is 0, so ``moved`` need not be centred beside it
+        for deg in angles:
+            m = _rotate(still, deg)
+            full = np.flatnonzero(m.any(1))  # other rows have no spectrum
+            waves = np.zeros(spectrum.shape, complex)
+            waves[full] = np.fft.rfft(m[full] * window[full], axis=1)
+            cross = spectrum * np.conj(np.fft.fft(waves, axis=0))
+            peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), s=f.shape)
+            dy, dx = np.unravel_index(int(peak.argmax()), peak.shape)
+            dy, dx = (int(d) - size if d > size // 2 else int(d) for d in (dy, dx))
+            ys, xs = slice(max(dy, 0), size + min(dy, 0)), slice(max(dx, 0), size + min(dx, 0))
+            yt, xt = slice(max(-dy, 0), size + min(-dy, 0)), slice(max(-dx, 0), size + min(-dx, 0))
+            moved = m[yt, xt]
+            bb = (moved * moved).sum() - moved.sum() ** 2 / m.size
+            ncc = float((a[ys, xs] * moved).sum() / max(1e-12, math.sqrt(aa * max(bb, 0.0))))
+            if best is None or ncc > best[3]:
+                best = (deg, float(dx), float(dy), ncc)
+        return pa.table({**{g: t.column(g).slice(0, 1) for g in by}, **{c: [v] for c, v in zip(("angle_deg", "dx", "dy", "ncc"), best)}})
+
+    return map_groups(both, list(by), fit, _key_columns(both, by) + "angle_deg double, dx double, dy double, ncc double", parts=int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def tissue_similarity(fixed: DataFrame, moving: DataFrame, by: Sequence[str], size: int = 256, population: int = 24, rounds: int = 40, seed: int = 2) -> DataFrame:

@@ -211,22 +211,25 @@ def stretched_density(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("slide_id", "round_no", "y", "x", r("value"))
 
 
-def _canvases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = cells(spark, sf)
+def _canvases(spark: SparkSession, sf: str) -> DataFrame:
+    c = cut(cells(spark, sf).select("slide_id", "round_no", "centroid_x", "centroid_y"))
     s = c.groupBy("slide_id").agg((F.greatest(F.max("centroid_x"), F.max("centroid_y")) / 100).alias("px"))
     c = c.join(s, "slide_id").withColumns({"cx": F.col("centroid_x") / F.col("px") + 10, "cy": F.col("centroid_y") / F.col("px") + 10})
-    d = raster.gaussian_blur(raster.density(c, ["slide_id", "round_no"], "cx", "cy"), ["slide_id", "round_no"], 1.5, 2.0)
+    return raster.density(c, ["slide_id", "round_no"], "cx", "cy")
+
+
+def _rounds(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = cut(d)
     return d.where("round_no = 1").drop("round_no"), d.where("round_no = 2").drop("round_no")
 
 
 def coarse_rotations(spark: SparkSession, sf: str) -> DataFrame:
-    f, m = _canvases(spark, sf)
-    return raster.coarse_rotation(f, m, BY).select("slide_id", "angle_deg", "dx", "dy", r("ncc", 4))
+    f, m = _rounds(_canvases(spark, sf))
+    return raster.coarse_rotation(f, m, BY, blur=(1.5, 2.0)).select("slide_id", "angle_deg", "dx", "dy", r("ncc", 4))
 
 
 def tissue_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    f, m = _canvases(spark, sf)
+    f, m = _rounds(raster.gaussian_blur(_canvases(spark, sf), ["slide_id", "round_no"], 1.5, 2.0))
     return raster.tissue_similarity(f.where("value > 0.05"), m.where("value > 0.05"), BY).select("slide_id", *[r(c, 3) for c in [*MODEL, "dice"]])
 
 
